@@ -74,7 +74,79 @@ def leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(LEAKS_SQL.replace("FROM events", "FROM {events}"), events=events)
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str, path: str, text: str) -> DataFrame:
+    return read_texts(spark, f"{sf_dir}/{name}.parquet", path, text)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents as texts at a path of their own."""
-    location = f"{sf_dir}/documents.parquet"
-    return read_texts(spark, location, "concat(source, '/', lang, '/', doc_id, '.txt')", "text")
+    return texts(spark, sf_dir, "documents", "concat(source, '/', lang, '/', doc_id, '.txt')", "text")
+
+
+# Files of the corpus with their content, a few of them made special.
+FILES_SQL = """
+WITH f AS (
+  SELECT path, min(event_id) AS first_id, LINES_OF_FILE AS body
+  FROM leaks GROUP BY path)
+SELECT CASE WHEN first_id % 13 = 5 THEN 1 ELSE 0 END AS root_ord,
+       concat('/data/', path) AS abs_path, path, first_id,
+       CASE first_id % 13
+         WHEN 0 THEN ''
+         WHEN 1 THEN concat(substr(body, 1, 40), chr(0), body)
+         WHEN 2 THEN concat(repeat('x', 600), chr(0), chr(10), body)
+         WHEN 6 THEN concat(body, chr(13), chr(10))
+         WHEN 7 THEN concat(body, chr(10), chr(10))
+         ELSE body END AS body,
+       CASE WHEN first_id % 13 = 3 THEN 11534336 ELSE strlen(body) END AS size,
+       CASE WHEN first_id % 13 = 4 THEN 'permission denied' END AS error
+FROM f
+"""
+
+# One patch per event: the line is added, every tenth one below a deletion and
+# between context lines, and case 22 was there before, at another line.
+PATCHES_SQL = """
+SELECT 1000000000 - event_id AS seq, commit_sha, commit_author AS author, commit_date,
+       path AS old_path, path AS new_path,
+       CASE WHEN event_id % 10 = 0 THEN
+         concat('@@ -3,2 +2,0 @@ func main()', chr(10), '-password = "', commit_sha, '"', chr(10), '--- gone', chr(10),
+                '@@ -9,2 +', cast(line_no AS string), ',3 @@', chr(10), ' context', chr(10), '+', line, chr(10), '-old', chr(10),
+                ' more', chr(10), '\\\\ No newline at end of file', chr(10))
+       ELSE concat('@@ -0,0 +', cast(line_no AS string), CASE WHEN event_id % 2 = 0 THEN ' @@' ELSE ',1 @@' END, chr(10),
+                   '+', line, chr(10)) END AS patch
+FROM leaks
+UNION ALL
+SELECT 2000000000 - event_id, concat('0', substr(commit_sha, 2)), 'first author', concat('2020-', substr(commit_date, 6)),
+       path, path, concat('@@ -0,0 +77,2 @@', chr(10), '+', chr(10), '+', line, chr(10))
+FROM leaks WHERE event_id % 24 = 22
+"""
+
+
+def _files_sql(lines_of_file: str) -> str:
+    return FILES_SQL.replace("LINES_OF_FILE", lines_of_file)
+
+
+SPARK_FILES = _files_sql(
+    "array_join(transform(array_sort(collect_list(struct(line_no, line))), x -> x.line), chr(10))"
+).replace("strlen(", "octet_length(")
+DUCKDB_FILES = _files_sql("string_agg(line, chr(10) ORDER BY line_no)")
+SPARK_PATCHES = PATCHES_SQL
+DUCKDB_PATCHES = PATCHES_SQL.replace("\\\\", "\\")
+
+
+def files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A manifest with content; files of one residue are also seen from a second root."""
+    rows = spark.sql(SPARK_FILES.replace("FROM leaks", "FROM {leaks}"), leaks=leaks(spark, sf_dir))
+    rows = rows.selectExpr(
+        "root_ord", "'/data' AS root", "abs_path", "path", "first_id", "size",
+        "CASE WHEN error IS NULL THEN cast(body AS binary) END AS content", "error",
+    )
+    again = rows.filter("first_id % 13 IN (5, 8)")
+    second = again.selectExpr(
+        "2 AS root_ord", "concat('/data/', split(path, '/')[0]) AS root", "abs_path",
+        "substring(path, length(split(path, '/')[0]) + 2) AS path", "first_id", "size", "content", "error",
+    )
+    return rows.unionByName(second)
+
+
+def patches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(SPARK_PATCHES.replace("FROM leaks", "FROM {leaks}"), leaks=leaks(spark, sf_dir))

@@ -18,6 +18,7 @@ HASH_DIGITS = 16
 SHORT_SHA = 7
 TTY_LIMIT = 256
 UNSAFE = "[\\x00-\\x08\\x0A-\\x1F\\x7F\\u2028\\u2029]"
+LATIN = "ISO-8859-1"
 RFC3339 = "yyyy-MM-dd'T'HH:mm:ssXXX"
 
 
@@ -75,6 +76,20 @@ def redact_at(match: Column, secret: Column, offset: Column) -> Column:
     return F.when(found, bytes_as_text(spanned)).otherwise(redact_all(match, secret))
 
 
+def as_characters(text: Column) -> Column:
+    """Text that is not UTF-8, read one character per byte.
+
+    Splitting and matching work on characters and would replace stray bytes;
+    seen this way none is lost. :func:`from_characters` turns pieces back.
+    """
+    latin = F.decode(text.cast("binary"), LATIN)
+    return F.when(F.is_valid_utf8(text), text).otherwise(latin)
+
+
+def from_characters(piece: Column, latin: Column) -> Column:
+    return F.when(latin, F.encode(piece, LATIN).cast("string")).otherwise(piece)
+
+
 def secret_hash(secret: Column) -> Column:
     return F.sha2(secret.cast("binary"), 256)
 

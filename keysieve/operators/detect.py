@@ -22,17 +22,19 @@ from keysieve.functions.arrays import running_starts
 from keysieve.functions.keywords import folded, holds_any, minimal
 from keysieve.functions.regex import parse, portable
 from keysieve.functions.text import (
+    LATIN,
+    as_characters,
     bytes_as_text,
     drop_cr,
     file_lines,
     fingerprint,
+    from_characters,
     redact_bytes,
     shannon_entropy,
 )
 from keysieve.operators.suppress import DIRECTIVE, INLINE, inline_suppressed
 from keysieve.sources.rulesets import Allowlist, Rule, RuleSet
 
-LATIN = "ISO-8859-1"
 COMMIT_COLUMNS = ("commit_sha", "commit_author", "commit_date")
 FINDING_COLUMNS = (
     "rule_id", "file", "line", "column", "match", "secret", "fingerprint", "is_heuristic",
@@ -152,12 +154,9 @@ def matches(lines: DataFrame, ruleset: RuleSet) -> DataFrame:
     secret), ``value`` (the secret as text), and ``before``, ``raw``, ``after``
     (the match around the secret, as bytes).
     """
-    valid = F.is_valid_utf8("line")
-    # Bytes that are not UTF-8 are read one character per byte, so that offsets
-    # and hashes still refer to the bytes of the line.
-    latin = F.decode(F.col("line").cast("binary"), LATIN)
+    # offsets and hashes refer to the bytes of the line, valid or not
     found = candidates(lines, ruleset).withColumns(
-        {"_subject": F.when(valid, F.col("line")).otherwise(latin), "_latin": ~valid}
+        {"_subject": as_characters(F.col("line")), "_latin": ~F.is_valid_utf8("line")}
     )
     marked = per_rule(ruleset, _pieces)
     nested, cut = _nested(ruleset)
@@ -290,25 +289,18 @@ def detect(
 
 
 def lines_of(texts: DataFrame) -> DataFrame:
-    """``(path, text, ...)`` to one row per line, numbered from 1.
-
-    Splitting works on characters; text that is not UTF-8 is split one
-    character per byte and put back, so no byte is lost.
-    """
+    """``(path, text, ...)`` to one row per line, numbered from 1."""
     kept = [c for c in texts.columns if c != "text"]
-    valid = F.is_valid_utf8("text")
-    latin = F.decode(F.col("text").cast("binary"), LATIN)
     viewed = texts.select(
         *kept,
-        (~valid).alias("_latin"),
-        F.when(valid, F.col("text")).otherwise(latin).alias("_text"),
+        (~F.is_valid_utf8("text")).alias("_latin"),
+        as_characters(F.col("text")).alias("_text"),
     )
     parts = viewed.select(
         *kept, "_latin", F.posexplode(file_lines(F.col("_text"))).alias("_at", "_line")
     )
-    line = drop_cr(F.col("_line"))
-    restored = F.when(F.col("_latin"), F.encode(line, LATIN).cast("string")).otherwise(line)
-    return parts.select(*kept, (F.col("_at") + 1).alias("line_no"), restored.alias("line"))
+    line = from_characters(drop_cr(F.col("_line")), F.col("_latin"))
+    return parts.select(*kept, (F.col("_at") + 1).alias("line_no"), line.alias("line"))
 
 
 def detect_texts(texts: DataFrame, ruleset: RuleSet, **options) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from keysieve.functions.joins import SALTS, salted_lookup
 from keysieve.functions.regex import portable
 from keysieve.functions.text import content_key
 
@@ -14,8 +15,6 @@ INLINE = "inline-ignore"
 BASELINE = "baseline"
 REASONS = (INLINE, "allowlist", BASELINE)
 
-SALTS = 16
-
 
 def _directive_pattern(directive: str) -> str:
     return portable(rf"(?i)\Q{directive}\E\b(:[a-zA-Z0-9_,-]+)?")
@@ -46,23 +45,13 @@ def baseline_keys(baseline: DataFrame) -> DataFrame:
 def mark_known(findings: DataFrame, baseline: DataFrame, *, salts: int = SALTS) -> DataFrame:
     """Adds ``known``: whether the baseline holds the finding's content key.
 
-    One leaked key may own a large share of all findings, so the findings'
-    side is salted and the (distinct) baseline keys are repeated per salt. No
-    broadcast is asked for: adaptive execution broadcasts the keys if they
-    measure small.
+    One leaked key may own a large share of all findings, hence the salted join.
     """
-    keyed = findings.withColumns(
-        {
-            "_key": content_key(F.col("fingerprint")),
-            "_salt": F.pmod(F.xxhash64("file", "line", "column", "commit_sha"), F.lit(salts)).cast("int"),
-        }
-    )
-    salted = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
-    keys = baseline_keys(baseline).select(
-        F.col("content_key").alias("_key"), salted.alias("_salt"), F.lit(True).alias("known")
-    )
-    joined = keyed.join(keys, ["_key", "_salt"], "left")
-    return joined.withColumn("known", F.coalesce("known", F.lit(False))).drop("_key", "_salt")
+    keyed = findings.withColumn("content_key", content_key(F.col("fingerprint")))
+    keys = baseline_keys(baseline).withColumn("known", F.lit(True))
+    place = ["file", "line", "column", "commit_sha"]
+    marked = salted_lookup(keyed, keys, ["content_key"], place, salts)
+    return marked.withColumn("known", F.coalesce("known", F.lit(False))).drop("content_key")
 
 
 def apply_baseline(findings: DataFrame, baseline: DataFrame, *, salts: int = SALTS) -> DataFrame:
