@@ -8,36 +8,24 @@ from pyspark.sql import functions as F
 BLOCK = 256
 
 
-def _starts(values: Column, first: Column) -> Column:
-    seed = F.struct(first.cast("long").alias("at"), F.array().cast("array<bigint>").alias("out"))
+def _starts(values: str, first: str) -> str:
+    return f"""aggregate({values},
+        struct(cast({first} AS bigint) AS at, cast(array() AS array<bigint>) AS out),
+        (s, v) -> struct(s.at + v AS at, concat(s.out, array(s.at)) AS out),
+        s -> s.out)"""
 
-    def step(state: Column, value: Column) -> Column:
-        return F.struct(
-            (state["at"] + value).alias("at"),
-            F.concat(state["out"], F.array(state["at"])).alias("out"),
-        )
 
-    return F.aggregate(values, seed, step, lambda state: state["out"])
-
-
-def running_starts(values: Column) -> Column:
-    """Sum of all earlier elements, for each element of an array of bigint.
+def running_starts(values: str) -> Column:
+    """Sum of all earlier elements, for each element of a column of bigint arrays.
 
     Appending to an array copies it, so long arrays are summed block by block:
     a minified line with half a million matches stays far from quadratic.
     """
-    count = F.size(values)
-    blocks = F.transform(
-        F.sequence(F.lit(0), F.floor((count - 1) / BLOCK).cast("int")),
-        lambda b: F.slice(values, b * BLOCK + 1, F.lit(BLOCK)),
-    )
-    sums = F.transform(
-        blocks, lambda b: F.aggregate(b, F.lit(0).cast("long"), lambda a, v: a + v)
-    )
-    long = F.flatten(F.zip_with(blocks, _starts(sums, F.lit(0)), _starts))
-    return (
-        F.when(count == 0, F.array().cast("array<bigint>"))
-        .when(count == 1, F.array(F.lit(0).cast("long")))
-        .when(count <= BLOCK, _starts(values, F.lit(0)))
-        .otherwise(long)
+    blocks = f"""transform(sequence(0, cast(floor((size({values}) - 1) / {BLOCK}) AS int)),
+        b -> slice({values}, b * {BLOCK} + 1, {BLOCK}))"""
+    sums = f"transform({blocks}, b -> aggregate(b, 0L, (a, v) -> a + v))"
+    return F.expr(
+        f"""CASE WHEN size({values}) <= {BLOCK} THEN {_starts(values, '0')}
+        ELSE flatten(zip_with({blocks}, {_starts(sums, '0')}, (b, first) -> {_starts('b', 'first')}))
+        END"""
     )

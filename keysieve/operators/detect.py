@@ -122,29 +122,30 @@ def _pieces(rule: Rule) -> str | None:
     return f"regexp_replace(_subject, {quoted(pattern)}, {quoted(marked)})"
 
 
-def _nested(ruleset: RuleSet):
+def _nested(specs: dict[int, str]):
     """Arrow function doing the same for rules that cannot be cut on the plan."""
-    specs = {}
-    for ordinal, rule in enumerate(ruleset.rules):
-        if _pieces(rule) is None:
-            specs[ordinal] = parse(rule.regex, python=True).capture(rule.group)
 
     @F.pandas_udf("string")
     def cut(ordinals: pd.Series, subjects: pd.Series) -> pd.Series:
         compiled = {ordinal: re.compile(text) for ordinal, text in specs.items()}
 
-        def marked(match):
-            start, end = match.span(1) if match.start(1) >= 0 else match.span()
-            text, first, last = match.string, match.start(), match.end()
-            return f"\n{text[first:start]}\n{text[start:end]}\n{text[end:last]}\n"
+        def marked(pattern, text):
+            out, at, done = [], 0, 0
+            while at <= len(text) and (match := pattern.search(text, at)):
+                start, end = match.span(1) if match.start(1) >= 0 else match.span()
+                first, last = match.span()
+                pieces = (text[done:first], text[first:start], text[start:end], text[end:last])
+                out.append("\n".join(pieces) + "\n")
+                done, at = last, last + (first == last)
+            return "".join(out) + text[done:]
 
         cuts = [
-            compiled[o].sub(marked, text) if o in compiled else None
+            marked(compiled[o], text) if o in compiled else None
             for o, text in zip(ordinals, subjects)
         ]
         return pd.Series(cuts, index=ordinals.index, dtype=object)
 
-    return list(specs), cut
+    return cut
 
 
 def matches(lines: DataFrame, ruleset: RuleSet) -> DataFrame:
@@ -154,14 +155,20 @@ def matches(lines: DataFrame, ruleset: RuleSet) -> DataFrame:
     secret), ``value`` (the secret as text), and ``before``, ``raw``, ``after``
     (the match around the secret, as bytes).
     """
+    nested = {
+        ordinal: parse(rule.regex, python=True).capture(rule.group)
+        for ordinal, rule in enumerate(ruleset.rules)
+        if _pieces(rule) is None
+    }
     # offsets and hashes refer to the bytes of the line, valid or not
-    found = candidates(lines, ruleset).withColumns(
-        {"_subject": as_characters(F.col("line")), "_latin": ~F.is_valid_utf8("line")}
+    found = candidates(lines, ruleset).select(
+        "*", as_characters(F.col("line")).alias("_subject"), (~F.is_valid_utf8("line")).alias("_latin")
     )
-    marked = per_rule(ruleset, _pieces)
-    nested, cut = _nested(ruleset)
+    # Inside a lambda the patterns stay out of the generated Java code, which
+    # they would push beyond the method size that the JIT compiles.
+    marked = F.transform(F.array("_subject"), lambda s: per_rule(ruleset, _pieces))[0]
     if nested:
-        found = found.withColumn("_nested", cut("rule_ord", "_subject"))
+        found = found.withColumn("_nested", _nested(nested)("rule_ord", "_subject"))
         marked = F.when(F.col("rule_ord").isin(*nested), F.col("_nested")).otherwise(marked)
     found = found.withColumn("_pieces", F.split(marked, "\n"))
     sizes = F.transform(
@@ -169,7 +176,7 @@ def matches(lines: DataFrame, ruleset: RuleSet) -> DataFrame:
         lambda p: F.when(F.col("_latin"), F.length(p)).otherwise(F.octet_length(p)).cast("long"),
     )
     found = found.withColumn("_sizes", sizes)
-    found = found.withColumn("_starts", running_starts(F.col("_sizes")))
+    found = found.withColumn("_starts", running_starts("_sizes"))
     count = F.floor(F.size("_pieces") / 4).cast("int")
     hits = F.when(count > 0, F.sequence(F.lit(0), count - 1))
     found = found.select("*", F.explode(hits).alias("_hit"))
