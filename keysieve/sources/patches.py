@@ -76,8 +76,7 @@ def _path(line: Column) -> Column:
 def split_commits(commits: DataFrame) -> DataFrame:
     """Patch files from ``(seq, text)``, one commit (or one staged diff) per row.
 
-    ``text`` is the output of ``git log -p`` or ``git diff --staged``; the
-    commit header may have lost its leading word "commit" to the reader.
+    ``text`` is the output of ``git log -p`` or ``git diff --staged``.
     """
     viewed = commits.select(
         F.col("seq").alias("_commit"),
@@ -85,7 +84,7 @@ def split_commits(commits: DataFrame) -> DataFrame:
         F.concat(F.lit("\n"), as_characters(F.col("text"))).alias("_text"),
     )
     header = F.substring_index("_text", "\ndiff --git ", 1)
-    sha = F.regexp_extract(header, "\\A\n(?:commit )?([0-9a-f]{40,64})\\b", 1)
+    sha = F.regexp_extract(header, "\\A\ncommit ([0-9a-f]{40,64})\\b", 1)
     author = F.regexp_extract(header, "(?md)^Author: *(.*?) *<", 1)
     date = F.trim(F.regexp_extract(header, "(?md)^(?:Author)?Date: +(.+)$", 1))
     parts = F.split("_text", "\ndiff --git ")
@@ -142,30 +141,29 @@ def _iso_date(text: Column) -> Column:
     )
 
 
-def read_history(spark: SparkSession, location: str) -> DataFrame:
-    """Patch files from exports of ``git log -p -U0``, one text file per repository.
+def _records(spark: SparkSession, location: str, start: str) -> DataFrame:
+    """``(seq, text)``: text files cut where a line begins with ``start``.
 
-    Records end where the next commit starts, so a single large export is
-    still read by many tasks. ``seq`` orders the commits of a file as written.
+    Spark splits files at record ends, so one large export is still read by
+    many tasks. ``seq`` orders the records of a file as they were written.
     """
-    reader = spark.read.option("lineSep", "\ncommit ")
-    raw = reader.text(location).select(
-        F.struct(
-            F.col("_metadata.file_path").alias("file"),
-            F.col("_metadata.file_block_start").alias("block"),
-            F.monotonically_increasing_id().alias("row"),
-        ).alias("seq"),
-        F.col("value").alias("text"),
+    seq = F.struct(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("row"),
+    )
+    records = spark.read.option("lineSep", "\n" + start).text(location)
+    text = F.when(F.startswith("value", F.lit(start)), F.col("value")).otherwise(
+        F.concat(F.lit(start), F.col("value"))
     )
-    return split_commits(raw)
+    return records.select(seq.alias("seq"), text.alias("text"))
+
+
+def read_history(spark: SparkSession, location: str) -> DataFrame:
+    """Patch files from exports of ``git log -p -U0``, one text file per repository."""
+    return split_commits(_records(spark, location, "commit "))
 
 
 def read_staged(spark: SparkSession, location: str) -> DataFrame:
     """Patch files from ``git diff --staged -U0`` output, one text file per repository."""
-    raw = spark.read.option("wholetext", True).text(location)
-    return split_commits(
-        raw.select(
-            F.struct(F.col("_metadata.file_path").alias("file")).alias("seq"),
-            F.col("value").alias("text"),
-        )
-    )
+    return split_commits(_records(spark, location, "diff --git "))
