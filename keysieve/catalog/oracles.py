@@ -345,7 +345,7 @@ def _oracles() -> dict[str, str]:
     ms = "(event_id * 7 % 5003)"
     out["durations"] = (
         f"SELECT event_id, CASE WHEN {ms} < 100 THEN format('{{}}ms', {ms})"
-        f" ELSE format('{{}}.{{}}s', ({ms} + 50) // 1000, (({ms} + 50) % 1000) // 100) END AS duration FROM events"
+        f" ELSE format('{{:.1f}}s', CAST({ms} // 1000 AS DOUBLE) + ({ms} % 1000) / 1000.0) END AS duration FROM events"
     )
     out["path_excluded"] = f"{PATHS} SELECT path, excluded_by IS NOT NULL AS excluded, excluded_by FROM ex"
     out["excluded_counts"] = (

@@ -125,8 +125,10 @@ def sanitize_text(text: Column) -> Column:
 
 
 def format_duration(milliseconds: Column) -> Column:
-    seconds = F.format_string("%.1fs", milliseconds / F.lit(1000.0))
-    return F.when(milliseconds < 100, F.format_string("%dms", milliseconds)).otherwise(seconds)
+    """``40ms`` below a tenth of a second, else ``1.2s``, rounded from the exact binary value."""
+    seconds = F.floor(milliseconds / 1000).cast("double") + (milliseconds % 1000) / F.lit(1000.0)
+    long = F.concat(F.call_function("format_number", seconds, F.lit("0.0")), F.lit("s"))
+    return F.when(milliseconds < 100, F.format_string("%dms", milliseconds)).otherwise(long)
 
 
 def rfc3339(timestamp: Column) -> Column:

@@ -17,7 +17,7 @@ def keep_earliest(
     order: str = "seq",
     show_suppressed: bool = True,
     strict: bool = False,
-    keep_raw: bool = False,
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """Collapse occurrences of the same secret in the same file.
 
@@ -29,7 +29,8 @@ def keep_earliest(
 
     Adds ``inline_hits``, the suppressed occurrences that went into the row.
     Without ``show_suppressed`` they are only counted: a row still marked
-    suppressed stands for a fingerprint with no other occurrence.
+    suppressed stands for a fingerprint with no other occurrence. The columns
+    named in ``keep`` depend on the secret alone and are carried along.
 
     A plain aggregation: a secret copied into a million commits is reduced
     before the shuffle, and the same code keeps state on a stream.
@@ -43,7 +44,7 @@ def keep_earliest(
         seen = F.struct(hidden.alias("hidden"), seen.alias("seen"))
     if not show_suppressed:
         placed = F.struct(hidden.alias("hidden"), placed.alias("placed"))
-    shown = (*SHOWN, "raw") if keep_raw else SHOWN
+    shown = (*SHOWN, *keep)
     grouped = findings.groupBy("fingerprint").agg(
         F.min_by(F.struct(*shown), seen).alias("shown"),
         F.min_by(F.struct(*PLACE), placed).alias("place"),
@@ -55,5 +56,5 @@ def keep_earliest(
         else F.col(f"{'place' if name in PLACE else 'shown'}.{name}").alias(name)
         for name in FINDING_COLUMNS
     ]
-    raw = [F.col("shown.raw")] if keep_raw else []
-    return grouped.select(*columns, "inline_hits", *raw)
+    kept = [F.col(f"shown.{name}").alias(name) for name in keep]
+    return grouped.select(*columns, "inline_hits", *kept)

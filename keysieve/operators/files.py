@@ -40,7 +40,10 @@ def select_files(
     and size checks. Pass ``overlapping=False`` when the roots are known to be
     disjoint: the pass is then free of a shuffle.
     """
-    rows = manifest.withColumn("excluded_by", matcher.excluded_by(F.col("path")))
+    excluded_by = matcher.excluded_by(F.col("path"))
+    if "named" in manifest.columns:  # a file that is itself a root is never excluded
+        excluded_by = F.when(~F.col("named"), excluded_by)
+    rows = manifest.withColumn("excluded_by", excluded_by)
     limit = max_mb * MEGABYTE
     status = (
         F.when(F.col("excluded_by").isNotNull(), EXCLUDED)
@@ -87,17 +90,21 @@ def scanned_texts(files: DataFrame) -> DataFrame:
     return kept.select("path", F.col("content").cast("string").alias("text"))
 
 
-def coverage(files: DataFrame) -> DataFrame:
-    """One row of counters. An excluded directory counts once."""
+def status_counters() -> list[Column]:
+    """Aggregates over files with a final status."""
+    counted = {
+        "files_scanned": SCANNED, "files_unreadable": UNREADABLE,
+        "files_oversized": OVERSIZED, "files_binary": BINARY,
+    }
+    return [F.count_if(F.col("status") == status).alias(name) for name, status in counted.items()]
 
-    def count(status: str) -> Column:
-        return F.count_if(F.col("status") == status)
 
+def paths_excluded() -> Column:
+    """Excluded paths; an excluded directory counts once. Needs no file content."""
     pruned = F.when(F.col("status") == EXCLUDED, F.struct("root_ord", "excluded_by"))
-    return files.agg(
-        count(SCANNED).alias("files_scanned"),
-        F.count_distinct(pruned).alias("paths_excluded"),
-        count(UNREADABLE).alias("files_unreadable"),
-        count(OVERSIZED).alias("files_oversized"),
-        count(BINARY).alias("files_binary"),
-    )
+    return F.count_distinct(pruned).alias("paths_excluded")
+
+
+def coverage(files: DataFrame) -> DataFrame:
+    """One row of counters."""
+    return files.agg(*status_counters(), paths_excluded())

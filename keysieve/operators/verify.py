@@ -57,20 +57,28 @@ def probe_set(findings: DataFrame) -> DataFrame:
     return probes.select("provider", secret_hash(F.col("raw")).alias("secret_sha256"), "raw")
 
 
+def hash_raw(findings: DataFrame) -> DataFrame:
+    """The findings with the hash of their secret in place of the secret."""
+    if "raw" not in findings.columns:
+        return findings
+    return findings.withColumn("secret_sha256", secret_hash(F.col("raw"))).drop("raw")
+
+
 def label(findings: DataFrame, status: DataFrame, *, show_suppressed: bool = False) -> DataFrame:
     """Set ``verification`` from a table ``(provider, secret_sha256, status)``.
 
     Only reportable findings of checkable rules are labelled; without an answer
     they are unknown. With ``show_suppressed`` a suppressed finding takes the
-    label of a reportable one with the same fingerprint. ``raw`` is dropped.
+    label of a reportable one with the same fingerprint. Needs the ``raw``
+    secret, or its ``secret_sha256``; both are dropped.
     """
-    columns = [c for c in findings.columns if c != "raw"]
+    findings = hash_raw(findings)
+    columns = [c for c in findings.columns if c != "secret_sha256"]
     place = ["file", "line", "column", "commit_sha"]
     answers = status.groupBy("provider", "secret_sha256").agg(F.min("status").alias("_status"))
     keyed = findings.withColumns(
         {
             "provider": provider_of(F.col("rule_id")),
-            "secret_sha256": secret_hash(F.col("raw")),
             "_live": ~F.coalesce("suppressed", F.lit(False)),
         }
     )

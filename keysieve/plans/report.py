@@ -27,7 +27,7 @@ def _live() -> Column:
     return ~F.coalesce("suppressed", F.lit(False))
 
 
-def _one_row(frames: list[DataFrame]) -> DataFrame:
+def one_row(frames: list[DataFrame]) -> DataFrame:
     """Several one-row frames side by side, without a join."""
     stacked = frames[0]
     for frame in frames[1:]:
@@ -71,7 +71,7 @@ def summary(
     verdict is 1 for reportable findings or unreadable files.
     """
     zero = F.lit(0).cast("long")
-    row = _one_row([finding_counts(findings), coverage])
+    row = one_row([finding_counts(findings), coverage])
     row = row.withColumns(
         {name: F.coalesce(name, zero) if name in row.columns else zero for name in COVERAGE}
     )

@@ -4,20 +4,27 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 
 from keysieve.functions.globs import PathMatcher, path_matcher
 from keysieve.operators.dedup import keep_earliest
 from keysieve.operators.detect import FINDING_COLUMNS, detect, detect_texts
-from keysieve.operators.files import coverage, file_status, scanned_texts
+from keysieve.operators.files import (
+    coverage,
+    inspect_files,
+    paths_excluded,
+    scanned_texts,
+    select_files,
+    status_counters,
+)
 from keysieve.operators.suppress import DIRECTIVE, apply_baseline, reportable
-from keysieve.operators.verify import label
+from keysieve.operators.verify import hash_raw, label
 from keysieve.plans import report
 from keysieve.sources.patches import added_lines, files_touched
 from keysieve.sources.rulesets import RuleSet
 from keysieve.sources.scratch import materialized
-from keysieve.sources.tree import read_ignore, read_tree
+from keysieve.sources.tree import read_ignore, read_selected, select_tree
 
 
 @dataclass(frozen=True)
@@ -54,34 +61,68 @@ def finish(
     show_suppressed: bool = False,
     exit_zero: bool = False,
     duration_ms: int | None = 0,
-    keep_on_disk: bool = False,
 ) -> ScanResult:
-    """Baseline, labels and summary on top of annotated findings.
-
-    ``keep_on_disk`` writes the findings to the scratch folder once, so that
-    findings, summary and report do not each scan the source again.
-    """
+    """Baseline, labels and summary on top of annotated findings."""
     if baseline is not None:
-        extra = findings.select(*FINDING_COLUMNS, *(c for c in findings.columns if c not in FINDING_COLUMNS))
-        findings = apply_baseline(extra, baseline)
+        findings = apply_baseline(findings, baseline)
     if status is not None:
         findings = label(findings, status, show_suppressed=show_suppressed)
-    if "raw" in findings.columns:
-        findings = findings.drop("raw")
-    if keep_on_disk:
-        findings = materialized(findings, "findings")
     totals = report.summary(
         findings, covered, show_suppressed=show_suppressed, exit_zero=exit_zero, duration_ms=duration_ms
     )
     return ScanResult(findings, totals, show_suppressed)
 
 
+def _found(findings: DataFrame, keep_on_disk: bool) -> DataFrame:
+    """Detected findings, written once if several steps will use them.
+
+    What is written holds hashes of secrets, never secrets.
+    """
+    findings = hash_raw(findings)
+    return materialized(findings, "findings") if keep_on_disk else findings
+
+
 def scan_texts(
-    texts: DataFrame, ruleset: RuleSet, *, directive: str = DIRECTIVE, status: DataFrame | None = None, **options
+    texts: DataFrame,
+    ruleset: RuleSet,
+    *,
+    directive: str = DIRECTIVE,
+    status: DataFrame | None = None,
+    keep_on_disk: bool = False,
+    **options,
 ) -> ScanResult:
     """Scan a table of ``(path, text)``."""
     found = detect_texts(texts, ruleset, directive=directive, keep_raw=status is not None)
     covered = texts.agg(F.count(F.lit(1)).alias("files_scanned"))
+    return finish(_found(found, keep_on_disk), covered, status=status, **options)
+
+
+def _scan_inspected(
+    files: DataFrame,
+    named: DataFrame,
+    ruleset: RuleSet,
+    *,
+    directive: str = DIRECTIVE,
+    status: DataFrame | None = None,
+    keep_on_disk: bool = False,
+    **options,
+) -> ScanResult:
+    """Scan files with a final status; ``named`` has the same rows, without content.
+
+    With ``keep_on_disk`` the contents are read once: the file counters are
+    observed while the findings are written, by tasks that count once each.
+    """
+    seen = Observation()
+    watched = files.observe(seen, *status_counters()) if keep_on_disk else files
+    found = detect_texts(
+        scanned_texts(watched), ruleset, directive=directive, keep_raw=status is not None
+    )
+    found = _found(found, keep_on_disk)
+    if keep_on_disk:
+        counted = files.sparkSession.createDataFrame([Row(**seen.get)])
+        covered = report.one_row([counted, named.agg(paths_excluded())])
+    else:
+        covered = coverage(files)
     return finish(found, covered, status=status, **options)
 
 
@@ -90,16 +131,15 @@ def scan_files(
     ruleset: RuleSet,
     *,
     matcher: PathMatcher | None = None,
-    directive: str = DIRECTIVE,
-    status: DataFrame | None = None,
     overlapping: bool = True,
     **options,
 ) -> ScanResult:
     """Scan a manifest that already holds the content of its files."""
     matcher = matcher or path_matcher((), ruleset.use_default_excludes)
-    files = file_status(manifest, matcher, max_mb=ruleset.max_file_size_mb, overlapping=overlapping)
-    found = detect_texts(scanned_texts(files), ruleset, directive=directive, keep_raw=status is not None)
-    return finish(found, coverage(files), status=status, **options)
+    max_mb = ruleset.max_file_size_mb
+    named = select_files(manifest, matcher, max_mb=max_mb, overlapping=overlapping)
+    files = inspect_files(named, max_mb=max_mb)
+    return _scan_inspected(files, named.drop("content"), ruleset, **options)
 
 
 def scan_tree(
@@ -109,16 +149,14 @@ def scan_tree(
     *,
     ignore: list[str] | None = None,
     default_excludes: bool = True,
-    directive: str = DIRECTIVE,
-    status: DataFrame | None = None,
     **options,
 ) -> ScanResult:
     """Scan directory trees; the ignore file of the first root applies."""
     lines = read_ignore(roots[0]) if ignore is None else ignore
     matcher = path_matcher(lines, ruleset.use_default_excludes and default_excludes)
-    files = read_tree(spark, roots, matcher, max_mb=ruleset.max_file_size_mb)
-    found = detect_texts(scanned_texts(files), ruleset, directive=directive, keep_raw=status is not None)
-    return finish(found, coverage(files), status=status, **options)
+    named = select_tree(spark, roots, matcher, max_mb=ruleset.max_file_size_mb)
+    files = read_selected(named, max_mb=ruleset.max_file_size_mb)
+    return _scan_inspected(files, named, ruleset, **options)
 
 
 def scan_patches(
@@ -129,6 +167,7 @@ def scan_patches(
     strict: bool = False,
     show_suppressed: bool = False,
     status: DataFrame | None = None,
+    keep_on_disk: bool = False,
     **options,
 ) -> ScanResult:
     """Scan the lines that commits or a staged diff add.
@@ -138,7 +177,16 @@ def scan_patches(
     """
     keep_raw = status is not None
     found = detect(added_lines(patch_files), ruleset, directive=directive, keep=("seq",), keep_raw=keep_raw)
-    kept = keep_earliest(found, show_suppressed=show_suppressed, strict=strict, keep_raw=keep_raw)
+    kept = keep_earliest(
+        hash_raw(found),
+        show_suppressed=show_suppressed,
+        strict=strict,
+        keep=("secret_sha256",) if keep_raw else (),
+    )
     return finish(
-        kept, files_touched(patch_files), show_suppressed=show_suppressed, status=status, **options
+        _found(kept, keep_on_disk),
+        files_touched(patch_files),
+        show_suppressed=show_suppressed,
+        status=status,
+        **options,
     )

@@ -8,6 +8,7 @@ selected files are read in tasks balanced by size.
 
 from __future__ import annotations
 
+import itertools
 import os
 import stat
 from collections.abc import Iterator
@@ -17,12 +18,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keysieve.functions.globs import PathMatcher, ignore_lines
-from keysieve.operators.files import MAX_FILE_SIZE_MB, SELECTED, inspect_files, select_files
+from keysieve.operators.files import (
+    EXCLUDED,
+    MAX_FILE_SIZE_MB,
+    SELECTED,
+    inspect_files,
+    select_files,
+)
 from keysieve.sources.scratch import scratch_path
 
 IGNORE_FILE = ".keysieveignore"
 SKIPPED_FOLDER = ".git"
 BATCH_BYTES = 32 << 20
+BATCH_ROWS = 10_000
 TASK_BYTES = 128 << 20
 
 ENTRY_SCHEMA = (
@@ -45,34 +53,39 @@ def read_ignore(root: str, name: str = IGNORE_FILE) -> list[str]:
         return []
 
 
-def _list_folders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The regular files and sub-folders of each folder; links are left alone."""
-    for batch in batches:
-        for row in batch.to_pylist():
-            found = []
+def _entries(folder: dict) -> Iterator[dict]:
+    """Regular files and sub-folders of one folder; links are left alone."""
+    with os.scandir(folder["abs_path"]) as entries:
+        for entry in entries:
+            is_folder = entry.is_dir(follow_symlinks=False)
+            if is_folder and entry.name == SKIPPED_FOLDER:
+                continue
+            if not is_folder and not entry.is_file(follow_symlinks=False):
+                continue
             try:
-                entries = list(os.scandir(row["abs_path"]))
+                size = None if is_folder else entry.stat(follow_symlinks=False).st_size
             except OSError:
-                continue  # vanished or not permitted below the root: not fatal
-            for entry in entries:
-                folder = entry.is_dir(follow_symlinks=False)
-                if folder and entry.name == SKIPPED_FOLDER:
-                    continue
-                if not folder and not entry.is_file(follow_symlinks=False):
-                    continue
+                size = None
+            path = f"{folder['path']}/{entry.name}" if folder["path"] else entry.name
+            yield {
+                "root_ord": folder["root_ord"], "root": folder["root"], "abs_path": entry.path,
+                "path": path, "size": size, "folder": is_folder, "named": False,
+            }
+
+
+def _list_folders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for folder in batch.to_pylist():
+            found = _entries(folder)
+            while True:
+                rows = []
                 try:
-                    size = None if folder else entry.stat(follow_symlinks=False).st_size
+                    rows.extend(itertools.islice(found, BATCH_ROWS))
                 except OSError:
-                    size = None
-                path = f"{row['path']}/{entry.name}" if row["path"] else entry.name
-                found.append(
-                    {
-                        "root_ord": row["root_ord"], "root": row["root"], "abs_path": entry.path,
-                        "path": path, "size": size, "folder": folder, "named": False,
-                    }
-                )
-            for at in range(0, len(found), 10_000):
-                yield pa.RecordBatch.from_pylist(found[at : at + 10_000], ENTRY_ARROW)
+                    pass  # vanished or not permitted: below the root that is not fatal
+                if not rows:
+                    break
+                yield pa.RecordBatch.from_pylist(rows, ENTRY_ARROW)
 
 
 def _roots(roots: list[str]) -> list[tuple]:
@@ -147,18 +160,22 @@ def _read_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield part(batch.num_rows)
 
 
-def read_tree(
+def select_tree(
     spark: SparkSession, roots: list[str], matcher: PathMatcher, *, max_mb: int = MAX_FILE_SIZE_MB
 ) -> DataFrame:
-    """Every file below the roots with its status, and the content of those scanned."""
+    """The manifest with the status that follows from names and sizes."""
     entries = list_tree(spark, roots, matcher)
     chosen = select_files(entries, matcher, max_mb=max_mb, overlapping=len(roots) > 1)
-    # a pruned folder is a row of its own; a file named as a root is never excluded
+    # a pruned folder is a row of its own
     pruned = F.when(F.col("folder"), F.col("path")).otherwise(F.col("excluded_by"))
-    status = F.when(F.col("folder"), "excluded").otherwise(F.col("status"))
-    chosen = chosen.withColumns({"excluded_by": pruned, "status": status})
+    status = F.when(F.col("folder"), EXCLUDED).otherwise(F.col("status"))
+    return chosen.withColumns({"excluded_by": pruned, "status": status})
+
+
+def read_selected(chosen: DataFrame, *, max_mb: int = MAX_FILE_SIZE_MB) -> DataFrame:
+    """The manifest with the content of the selected files and their final status."""
     total = chosen.filter(F.col("status") == SELECTED).agg(F.sum("size")).first()[0] or 0
-    tasks = max(spark.sparkContext.defaultParallelism, -(-total // TASK_BYTES))
+    tasks = max(chosen.sparkSession.sparkContext.defaultParallelism, -(-total // TASK_BYTES))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema)
     read = chosen.repartition(int(tasks)).mapInArrow(
         _read_files, f"{schema}, content binary, error string"
@@ -166,6 +183,13 @@ def read_tree(
     return inspect_files(read, max_mb=max_mb)
 
 
+def read_tree(
+    spark: SparkSession, roots: list[str], matcher: PathMatcher, *, max_mb: int = MAX_FILE_SIZE_MB
+) -> DataFrame:
+    """Every file below the roots with its status, and the content of those scanned."""
+    return read_selected(select_tree(spark, roots, matcher, max_mb=max_mb), max_mb=max_mb)
+
+
 def write_tree(texts: DataFrame, root: str) -> None:
     """Write ``(path, text)`` rows as files below ``root``, from the tasks."""
 

@@ -140,6 +140,8 @@ def test_tree(spark, tree):
     }
     # node_modules, sub/vendor, the empty build folder, and the minified file
     assert coverage(files).first().paths_excluded == 4
+    named = read_tree(spark, [str(tree / "a.min.js")], path_matcher()).collect()
+    assert [(r.path, r.status) for r in named] == [("a.min.js", "scanned")]
     assert scanned_texts(files).count() == 5
 
 
