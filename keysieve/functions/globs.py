@@ -47,7 +47,7 @@ def _segment_class(glob: str, at: int) -> tuple[str, int]:
         if not char:
             raise GlobError(f"unclosed class in {glob!r}")
         ranged = char == "-" and body and glob[at + 1 : at + 2] not in ("]", "")
-        body += "-" if ranged else _char(ord(char), False)
+        body += "-" if ranged else _char(ord(char))
         at += 1
     return f"(?!/)[{'^' if negate else ''}{body}]", at + 1
 
@@ -100,7 +100,7 @@ def glob_pattern(glob: str) -> str:
                     if at >= len(glob):
                         raise GlobError(f"trailing backslash in {glob!r}")
                     char = glob[at]
-                out, at = out + _char(ord(char), False), at + 1
+                out, at = out + _char(ord(char)), at + 1
             start = char == "/"
         if depth:
             raise GlobError(f"unclosed braces in {glob!r}")

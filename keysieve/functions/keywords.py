@@ -21,6 +21,10 @@ BY_RARITY = "zxq_-:/.0123456789jkvbypgwfmculdhrsinoate "
 ODD_CASES = {"i": "\u0130", "k": "\u212a"}
 
 
+def rarest(chars: Iterable[str]) -> str | None:
+    return min(chars, key=BY_RARITY.find, default=None)
+
+
 def minimal(keywords: Iterable[str]) -> list[str]:
     """Lower-cased keywords without those that contain another one."""
     found = sorted({k.lower() for k in keywords if k})
@@ -37,7 +41,7 @@ def _cases(char: str) -> list[str]:
 
 def _literal(text: str) -> str:
     # U+0130 lower-cases to an i with a combining dot
-    return "".join(_char(ord(c), False) + ("\u0307?" if c == "i" else "") for c in text)
+    return "".join(_char(ord(c)) + ("\u0307?" if c == "i" else "") for c in text)
 
 
 def any_pattern(keywords: Iterable[str]) -> str:
@@ -45,13 +49,13 @@ def any_pattern(keywords: Iterable[str]) -> str:
     pivots: dict[str, list[str]] = {}
     for word in minimal(keywords):
         at = min(range(len(word)), key=lambda i: BY_RARITY.find(word[i]))
-        behind = f"(?<={_literal(word[:at])}{_char(ord(word[at]), False)})" if at else ""
+        behind = f"(?<={_literal(word[:at])}{_char(ord(word[at]))})" if at else ""
         pivots.setdefault(word[at], []).append(behind + _literal(word[at + 1 :]))
     if not pivots:
         return "[^\\s\\S]"
-    first = _class_text([(ord(p), ord(p)) for p in pivots], False)
+    first = _class_text([(ord(p), ord(p)) for p in pivots])
     branches = "|".join(
-        f"{_char(ord(p), False)}(?:{'|'.join(rest)})" for p, rest in pivots.items()
+        f"{_char(ord(p))}(?:{'|'.join(rest)})" for p, rest in pivots.items()
     )
     return f"(?={first})(?:{branches})"
 

@@ -41,11 +41,20 @@ POSIX = {
 # Code points outside ASCII that fold onto an ASCII letter.
 ASCII_FOLDS = {"k": 0x212A, "s": 0x017F}
 
-# ASCII word edges; ``w`` stands for the dialect's ASCII word class.
-WORD_EDGE = "(?:(?<!{w})(?={w})|(?<={w})(?!{w}))"
-NOT_WORD_EDGE = "(?:(?<!{w})(?!{w})|(?<={w})(?={w}))"
-JAVA_WORD = "\\w"
-PYTHON_WORD = "[0-9A-Za-z_]"
+# Where the dialects differ: word edges (ASCII in RE2 only), line and text ends.
+_EDGE = "(?:(?<!{w})(?={w})|(?<={w})(?!{w}))"
+_NO_EDGE = "(?:(?<!{w})(?!{w})|(?<={w})(?={w}))"
+JAVA, PYTHON, RE2 = "java", "python", "re2"
+ASSERTIONS = {
+    JAVA: {"edge": _EDGE.format(w="\\w"), "inside": _NO_EDGE.format(w="\\w"), "end": "\\z"},
+    PYTHON: {
+        "edge": _EDGE.format(w="[0-9A-Za-z_]"), "inside": _NO_EDGE.format(w="[0-9A-Za-z_]"), "end": "\\Z",
+    },
+    RE2: {"edge": "\\b", "inside": "\\B", "end": "\\z"},
+}
+for _name, _texts in ASSERTIONS.items():
+    _texts["line start"] = "(?m:^)" if _name == RE2 else "(?:\\A|(?<=\\n))"
+    _texts["line end"] = "(?m:$)" if _name == RE2 else f"(?=\\n|{_texts['end']})"
 
 
 class PatternError(ValueError):
@@ -113,6 +122,40 @@ def _first(nodes: list) -> list:
     return [(0, MAX_CODE)]  # may start with whatever follows
 
 
+def _required(group: Group) -> list[str]:
+    if len(group.branches) != 1 or not group.low:
+        return []
+    found = []
+    for node in group.branches[0]:
+        if isinstance(node, Group):
+            found.extend(_required(node))
+        elif node.min_width() and len(node.first) == 1 and node.first[0][0] == node.first[0][1]:
+            found.append(chr(node.first[0][0]))
+    return found
+
+
+def _disjoint(one, other) -> bool:
+    return all(b < c or d < a for a, b in one for c, d in other)
+
+
+def _settle(group: Group, follow: tuple) -> None:
+    """Make repetitions possessive where giving characters back cannot help.
+
+    That is so when nothing that may follow starts with a character of the
+    repeated class. RE2 never backtracks; this keeps java.util.regex from
+    walking back over long runs.
+    """
+    for branch in group.branches:
+        after = follow
+        for node in reversed(branch):
+            if isinstance(node, Group):
+                _settle(node, _merge((*after, *node.first)) if node.quant else after)
+            elif node.quant in ("*", "+", "?") or node.quant.endswith("}"):
+                if _disjoint(node.first, after):
+                    node.quant += "+"
+            after = node.first if node.min_width() else _merge((*node.first, *after))
+
+
 @dataclass(frozen=True)
 class Split:
     """A rule cut around its secret: ``before`` + ``secret`` + ``after``.
@@ -130,24 +173,31 @@ class Split:
 class Pattern:
     root: Group
     groups: int
+    dialect: str
 
     @property
     def text(self) -> str:
         """The whole pattern, without any capture."""
         return self.root.body()
 
+    def required(self) -> list[str]:
+        """Characters that every match contains."""
+        return _required(self.root)
+
     def guard(self) -> str:
         """A lookahead for the characters a match can start with.
 
         It spares java.util.regex trying assertions and every branch of an
         alternation at each character of the line.
         """
+        if self.dialect == RE2:
+            return ""
         head = next((n for n in self.root.branches[0] if n.width or n.quant), None)
         plain = len(self.root.branches) == 1 and head is self.root.branches[0][0]
         if plain and not (isinstance(head, Group) and len(head.branches) > 1):
             return ""
         first = self.root.first
-        return "" if first == ((0, MAX_CODE),) else f"(?={_class_text(first, False)})"
+        return "" if first == ((0, MAX_CODE),) else f"(?={_class_text(first)})"
 
     def split(self, index: int) -> Split | None:
         """Cut around capture ``index``.
@@ -266,41 +316,41 @@ def _category(name: str) -> tuple:
     return tuple(ranges)
 
 
-def _char(code: int, python: bool) -> str:
+def _char(code: int, dialect: str = JAVA) -> str:
     char = chr(code)
     if char.isascii() and (char.isalnum() or char in " _"):
         return char
     if 0x21 <= code <= 0x7E:
         return "\\" + char
-    if code <= 0xFFFF:
-        return f"\\u{code:04X}"
-    return f"\\U{code:08X}" if python else f"\\x{{{code:X}}}"
+    if dialect == PYTHON:
+        return f"\\U{code:08X}"
+    return f"\\x{{{code:X}}}"
 
 
-def _range_text(low: int, high: int, python: bool) -> str:
-    if not python and low < BIT_CLASS:
+def _range_text(low: int, high: int, dialect: str) -> str:
+    if dialect == JAVA and low < BIT_CLASS:
         # java.util.regex tests listed Latin-1 characters with one table lookup,
         # but every range with a call of its own
-        listed = "".join(_char(c, python) for c in range(low, min(high, BIT_CLASS - 1) + 1))
-        return listed + (_range_text(BIT_CLASS, high, python) if high >= BIT_CLASS else "")
+        listed = "".join(_char(c) for c in range(low, min(high, BIT_CLASS - 1) + 1))
+        return listed + (_range_text(BIT_CLASS, high, dialect) if high >= BIT_CLASS else "")
     ends = [low] if low == high else [low, high]
-    return ("-" if high > low + 1 else "").join(_char(c, python) for c in ends)
+    return ("-" if high > low + 1 else "").join(_char(c, dialect) for c in ends)
 
 
-def _class_text(ranges, python: bool) -> str:
+def _class_text(ranges, dialect: str = JAVA) -> str:
     ranges = _merge(ranges)
     if ranges == ((0, MAX_CODE),):
         return "[\\s\\S]"
     if not ranges:
         return "[^\\s\\S]"
     if len(ranges) == 1 and ranges[0][0] == ranges[0][1]:
-        return _char(ranges[0][0], python)
+        return _char(ranges[0][0], dialect)
     sign = ""
     if ranges[0][0] == 0 and ranges[-1][1] == MAX_CODE:
         sign, ranges = "^", _complement(ranges)
-    if ranges == WORD and not python:
+    if ranges == WORD and dialect == JAVA:
         return "[^\\w]" if sign else "\\w"
-    body = "".join(_range_text(low, high, python) for low, high in ranges)
+    body = "".join(_range_text(low, high, dialect) for low, high in ranges)
     return f"[{sign}{body}]"
 
 
@@ -308,9 +358,10 @@ def _class_text(ranges, python: bool) -> str:
 
 
 class _Reader:
-    def __init__(self, source: str, python: bool):
+    def __init__(self, source: str, dialect: str):
         self.source = source
-        self.python = python
+        self.dialect = dialect
+        self.assertions = ASSERTIONS[dialect]
         self.at = 0
         self.captures = 0
         self.names: set[str] = set()
@@ -337,7 +388,9 @@ class _Reader:
         root = Group(None, self.branches(frozenset()))
         if self.at < len(self.source):
             self.fail("unmatched )")
-        return Pattern(root, self.captures)
+        if self.dialect == JAVA:
+            _settle(root, ((0, MAX_CODE),))
+        return Pattern(root, self.captures, self.dialect)
 
     def branches(self, flags: frozenset) -> list[list]:
         done, current = [], []
@@ -408,25 +461,21 @@ class _Reader:
         if char == ".":
             return [self.chars(((0, MAX_CODE),) if "s" in flags else _complement(((10, 10),)))]
         if char == "^":
-            return [Atom("(?:\\A|(?<=\\n))" if "m" in flags else "\\A", 0)]
+            return [Atom(self.assertions["line start"] if "m" in flags else "\\A", 0)]
         if char == "$":
-            end = self.end_anchor()
-            return [Atom(f"(?=\\n|{end})" if "m" in flags else end, 0)]
+            return [Atom(self.assertions["line end" if "m" in flags else "end"], 0)]
         if char in "*+?":
             self.fail("nothing to repeat")
         if char == "\\":
             return self.escape(flags)
         return [self.literal(ord(char), flags)]
 
-    def end_anchor(self) -> str:
-        return "\\Z" if self.python else "\\z"
-
     def literal(self, code: int, flags: frozenset) -> Atom:
         codes = _fold_char(code) if "i" in flags else {code}
         return self.chars([(c, c) for c in codes])
 
     def chars(self, ranges) -> Atom:
-        return Atom(_class_text(ranges, self.python), 1, _merge(ranges))
+        return Atom(_class_text(ranges, self.dialect), 1, _merge(ranges))
 
     def group(self, flags: frozenset) -> Group:
         index = None
@@ -466,12 +515,12 @@ class _Reader:
             text = self.source[self.at : end if end >= 0 else len(self.source)]
             self.at += len(text) + (2 if end >= 0 else 0)
             return [self.literal(ord(c), flags) for c in text]
-        word = PYTHON_WORD if self.python else JAVA_WORD
-        for name, text in (("b", WORD_EDGE), ("B", NOT_WORD_EDGE), ("A", "\\A")):
-            if self.take(name):
-                return [Atom(text.format(w=word), 0)]
-        if self.take("z"):
-            return [Atom(self.end_anchor(), 0)]
+        for letter, text in (
+            ("b", self.assertions["edge"]), ("B", self.assertions["inside"]),
+            ("A", "\\A"), ("z", self.assertions["end"]),
+        ):
+            if self.take(letter):
+                return [Atom(text, 0)]
         if self.take("C"):
             self.fail("single-byte \\C is not supported")
         ranges = self.class_escape(flags)
@@ -564,9 +613,9 @@ class _Reader:
 
 
 @lru_cache(maxsize=4096)
-def parse(source: str, python: bool = False) -> Pattern:
+def parse(source: str, dialect: str = JAVA) -> Pattern:
     """Read an RE2 pattern; raises :class:`PatternError` if RE2 would reject it."""
-    return _Reader(source, python).read()
+    return _Reader(source, dialect).read()
 
 
 def portable(source: str) -> str:

@@ -15,12 +15,14 @@ import re
 from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keysieve.functions.arrays import running_starts
-from keysieve.functions.keywords import folded, holds_any, minimal
-from keysieve.functions.regex import parse, portable
+from keysieve.functions.keywords import folded, holds_any, minimal, rarest
+from keysieve.functions.regex import JAVA, PYTHON, RE2, parse, portable
 from keysieve.functions.text import (
     LATIN,
     as_characters,
@@ -106,20 +108,38 @@ def candidates(lines: DataFrame, ruleset: RuleSet) -> DataFrame:
     return each.filter(F.col("rule_ord").isNotNull()).drop("_low")
 
 
+def _marking(rule: Rule, dialect: str = JAVA) -> tuple[str, list[str]] | None:
+    """A pattern with captures, and which of them are before, secret, after.
+
+    None if a match is not simply these three in a row.
+    """
+    cut = parse(rule.regex, dialect).split(rule.group)
+    if cut is None:
+        return None
+    if cut.bare:
+        return f"{cut.before}({cut.secret}){cut.after}", ["", "1", ""]
+    return f"({cut.before})({cut.secret})({cut.after})", ["1", "2", "3"]
+
+
+def _marked(parts: list[str], sign: str) -> str:
+    return "\n" + "".join((sign + part if part else "") + "\n" for part in parts)
+
+
 def _pieces(rule: Rule) -> str | None:
     """SQL for the line cut at every match: gap, before, secret, after, gap, ...
 
     A line holds no newline, so newlines can mark the cuts: one regular
     expression pass yields all matches with their positions.
     """
-    cut = parse(rule.regex).split(rule.group)
-    if cut is None:
+    marking = _marking(rule)
+    if marking is None:
         return None
-    if cut.bare:
-        pattern, marked = f"{cut.before}({cut.secret}){cut.after}", "\n\n$1\n\n"
-    else:
-        pattern, marked = f"({cut.before})({cut.secret})({cut.after})", "\n$1\n$2\n$3\n"
-    return f"regexp_replace(_subject, {quoted(pattern)}, {quoted(marked)})"
+    pattern, parts = marking
+    replaced = f"regexp_replace(_subject, {quoted(pattern)}, {quoted(_marked(parts, '$'))})"
+    needed = rarest(parse(rule.regex).required())
+    if needed is None or any(needed in word for word in rule.keywords):
+        return replaced
+    return f"IF(contains(_subject, {quoted(needed)}), {replaced}, _subject)"
 
 
 def _nested(specs: dict[int, str]):
@@ -148,15 +168,41 @@ def _nested(specs: dict[int, str]):
     return cut
 
 
+def _linear(ruleset: RuleSet):
+    """Arrow function that cuts lines with RE2 itself, in time linear in their length."""
+    specs = {}
+    for ordinal, rule in enumerate(ruleset.rules):
+        if marking := _marking(rule, RE2):
+            specs[ordinal] = marking[0], _marked(marking[1], "\\")
+
+    @F.pandas_udf("string")
+    def cut(ordinals: pd.Series, subjects: pd.Series) -> pd.Series:
+        out = pd.Series([None] * len(subjects), index=subjects.index, dtype=object)
+        for ordinal, rows in subjects.dropna().groupby(ordinals):
+            if ordinal in specs:
+                pattern, marked = specs[ordinal]
+                lines = pa.array(rows.tolist(), pa.large_string())
+                cuts = pc.replace_substring_regex(lines, pattern=pattern, replacement=marked)
+                out.loc[rows.index] = cuts.to_pylist()
+        return out
+
+    return cut
+
+
 def matches(lines: DataFrame, ruleset: RuleSet) -> DataFrame:
     """Every match of every candidate rule, with the secret picked out.
 
     Adds ``rule_ord``, ``rule_id``, ``column`` (1-based byte offset of the
     secret), ``value`` (the secret as text), and ``before``, ``raw``, ``after``
     (the match around the secret, as bytes).
+
+    java.util.regex may take time quadratic in the length of a line, when a
+    rule starts often and runs far before it fails. With the rule set's
+    ``linear_from``, lines of at least that many bytes are matched by RE2 in an
+    Arrow function.
     """
     nested = {
-        ordinal: parse(rule.regex, python=True).capture(rule.group)
+        ordinal: parse(rule.regex, PYTHON).capture(rule.group)
         for ordinal, rule in enumerate(ruleset.rules)
         if _pieces(rule) is None
     }
@@ -170,6 +216,11 @@ def matches(lines: DataFrame, ruleset: RuleSet) -> DataFrame:
     if nested:
         found = found.withColumn("_nested", _nested(nested)("rule_ord", "_subject"))
         marked = F.when(F.col("rule_ord").isin(*nested), F.col("_nested")).otherwise(marked)
+    if ruleset.linear_from is not None:
+        long = F.when(F.octet_length("line") >= ruleset.linear_from, F.col("_subject"))
+        found = found.withColumn("_linear", _linear(ruleset)("rule_ord", long))
+        # a short line, or a rule that cannot be cut this way, has no linear result
+        marked = F.when(F.col("_linear").isNotNull(), F.col("_linear")).otherwise(marked)
     found = found.withColumn("_pieces", F.split(marked, "\n"))
     sizes = F.transform(
         "_pieces",

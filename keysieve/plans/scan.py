@@ -24,7 +24,7 @@ from keysieve.plans import report
 from keysieve.sources.patches import added_lines, files_touched
 from keysieve.sources.rulesets import RuleSet
 from keysieve.sources.scratch import materialized
-from keysieve.sources.tree import read_ignore, read_selected, select_tree
+from keysieve.sources.tree import read_ignore, read_selected, scan_root, select_tree
 
 
 @dataclass(frozen=True)
@@ -152,7 +152,7 @@ def scan_tree(
     **options,
 ) -> ScanResult:
     """Scan directory trees; the ignore file of the first root applies."""
-    lines = read_ignore(roots[0]) if ignore is None else ignore
+    lines = read_ignore(scan_root(roots)) if ignore is None else ignore
     matcher = path_matcher(lines, ruleset.use_default_excludes and default_excludes)
     named = select_tree(spark, roots, matcher, max_mb=ruleset.max_file_size_mb)
     files = read_selected(named, max_mb=ruleset.max_file_size_mb)

@@ -52,11 +52,18 @@ class Rule:
 
 @dataclass(frozen=True)
 class RuleSet:
+    """Rules, global allowlists, and the settings of a scan.
+
+    ``linear_from`` sends lines of at least that many bytes to a matcher that
+    takes linear time; by default none is.
+    """
+
     rules: tuple[Rule, ...]
     allowlists: tuple[Allowlist, ...] = ()
     use_default_excludes: bool = True
     max_file_size_mb: int = MAX_FILE_SIZE_MB
     no_entropy: bool = False
+    linear_from: int | None = None
     title: str = ""
     disabled_rules: tuple[str, ...] = field(default=(), compare=False)
     extends_default: bool = field(default=False, compare=False)

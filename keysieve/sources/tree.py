@@ -44,6 +44,12 @@ ENTRY_ARROW = pa.schema(
 )
 
 
+def scan_root(roots: list[str]) -> str:
+    """Where the ignore file and the project rules are: the first root, or its
+    folder if it is a file."""
+    return roots[0] if os.path.isdir(roots[0]) else os.path.dirname(os.path.abspath(roots[0]))
+
+
 def read_ignore(root: str, name: str = IGNORE_FILE) -> list[str]:
     """Patterns of the ignore file at the root; none if there is no such file."""
     try:
