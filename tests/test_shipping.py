@@ -29,4 +29,4 @@ def test_from_another_folder(tmp_path):
     repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     script = textwrap.dedent(SCRIPT).format(repo=repo, root=str(tmp_path / "root"))
     done = subprocess.run([sys.executable, "-c", script], cwd=tmp_path, capture_output=True, text=True, timeout=300)
-    assert "RESULT ['a/.env', 'b'] 2" in done.stdout, done.stdout + done.stderr[-2000:]
+    assert "RESULT ['a/.env', 'b'] 3" in done.stdout, done.stdout + done.stderr[-2000:]
