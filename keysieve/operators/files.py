@@ -18,6 +18,8 @@ MEGABYTE = 1024 * 1024
 SNIFF_BYTES = 512
 LONGEST_LINE = 256 * MEGABYTE
 
+BROADCAST_ROWS = 100_000
+
 EXCLUDED, UNREADABLE, OVERSIZED = "excluded", "unreadable", "oversized"
 DUPLICATE, BINARY, SCANNED, SELECTED = "duplicate", "binary", "scanned", "selected"
 
@@ -38,7 +40,8 @@ def select_files(
 
     Files under several roots count for the first root, after the exclusion
     and size checks. Pass ``overlapping=False`` when the roots are known to be
-    disjoint: the pass is then free of a shuffle.
+    disjoint: the pass is then free of a shuffle. If the manifest holds
+    contents, they are not shuffled for it as long as few files are repeated.
     """
     excluded_by = matcher.excluded_by(F.col("path"))
     if "named" in manifest.columns:  # a file that is itself a root is never excluded
@@ -54,10 +57,28 @@ def select_files(
     rows = rows.withColumn("status", status)
     if not overlapping:
         return rows
-    wanted = F.when(F.col("status") == SELECTED, F.col("root_ord"))
-    first = F.min(wanted).over(Window.partitionBy("abs_path"))
-    later = (F.col("status") == SELECTED) & (F.col("root_ord") > first)
-    return rows.withColumn("status", F.when(later, DUPLICATE).otherwise(F.col("status")))
+    chosen = F.col("status") == SELECTED
+    if "content" in rows.columns:
+        rows = rows.join(_repeated(rows.filter(chosen)), "abs_path", "left")
+    else:
+        wanted = F.when(chosen, F.col("root_ord"))
+        rows = rows.withColumn("_first", F.min(wanted).over(Window.partitionBy("abs_path")))
+    later = chosen & F.coalesce(F.col("root_ord") > F.col("_first"), F.lit(False))
+    status = F.when(later, DUPLICATE).otherwise(F.col("status"))
+    return rows.withColumn("status", status).drop("_first")
+
+
+def _repeated(rows: DataFrame) -> DataFrame:
+    """``(abs_path, _first)`` of the files below several roots.
+
+    Broadcast only if they were counted to be few; otherwise an ordinary join.
+    """
+    seen = rows.groupBy("abs_path").agg(
+        F.min("root_ord").alias("_first"), F.count(F.lit(1)).alias("_roots")
+    )
+    repeated = seen.filter("_roots > 1").drop("_roots")
+    few = repeated.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return F.broadcast(repeated) if few else repeated
 
 
 def inspect_files(files: DataFrame, *, max_mb: int = MAX_FILE_SIZE_MB) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from keysieve.catalog import corpus
 from keysieve.functions.globs import path_matcher
+from keysieve.functions.joins import salted_lookup
 from keysieve.operators import detect as D
 from keysieve.operators import suppress as S
 from keysieve.operators.dedup import keep_earliest
@@ -99,6 +100,30 @@ def test_disjoint_roots_need_no_shuffle(spark):
     assert "Window" in plan(select_files(rows, path_matcher()))
 
 
+def test_contents_are_not_shuffled_for_a_few_repeated_files(spark):
+    schema = "root_ord int, abs_path string, path string, size bigint, content binary, error string"
+    rows = spark.createDataFrame([(0, "/a", "a", 1, b"x", None), (1, "/a", "b", 1, b"x", None), (1, "/c", "c", 1, b"x", None)], schema)
+    chosen = select_files(rows, path_matcher())
+    assert sorted((r.path, r.status) for r in chosen.collect()) == [("a", "selected"), ("b", "duplicate"), ("c", "selected")]
+    text = plan(chosen)
+    assert "BroadcastHashJoin" in text and "Window" not in text
+
+
+def test_a_hot_key_is_spread(spark):
+    hot = spark.range(4000).selectExpr("'k' AS key", "id AS n")
+    lookup = spark.createDataFrame([("k", 1), ("z", 2)], "key string, v int")
+    settings = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")
+    for name, value in zip(settings, ("-1", "false")):
+        spark.conf.set(name, value)
+    try:
+        joined = salted_lookup(hot, lookup, ["key"], ["n"])
+        sizes = joined.groupBy(F.spark_partition_id()).agg(F.count("v")).collect()
+    finally:
+        for name in settings:
+            spark.conf.unset(name)
+    assert sum(s[1] for s in sizes) == 4000 and max(s[1] for s in sizes) < 4000
+
+
 def test_report_never_gathers_findings(spark, rules):
     found = D.detect(lines(spark), rules)
     covered = spark.createDataFrame([(1,)], "files_scanned bigint")
