@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from keysieve.sources.scratch import materialized
 from keysieve.sources.tables import read_texts, spread
 
 LEAKS_SQL = """
@@ -134,7 +135,7 @@ DUCKDB_PATCHES = PATCHES_SQL.replace("\\\\", "\\")
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A manifest with content; files of one residue are also seen from a second root."""
+    """A manifest with content, as a stored table; some files are also seen from a second root."""
     rows = spark.sql(SPARK_FILES.replace("FROM leaks", "FROM {leaks}"), leaks=leaks(spark, sf_dir))
     rows = rows.selectExpr(
         "root_ord", "'/data' AS root", "abs_path", "path", "first_id", "size",
@@ -145,7 +146,7 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
         "2 AS root_ord", "concat('/data/', split(path, '/')[0]) AS root", "abs_path",
         "substring(path, length(split(path, '/')[0]) + 2) AS path", "first_id", "size", "content", "error",
     )
-    return rows.unionByName(second)
+    return materialized(rows.unionByName(second), "manifest")
 
 
 def patches(spark: SparkSession, sf_dir: str) -> DataFrame:
