@@ -23,6 +23,7 @@ executor loses remembered chunks only; they are encoded again.
 from __future__ import annotations
 
 import json
+import os
 from dataclasses import dataclass
 
 import numpy as np
@@ -35,9 +36,9 @@ from keysieve.llm.common import per_batch
 
 WINDOW = 8
 AVERAGE_CHUNK = 4
-REMEMBERED = 300_000
+REMEMBERED = 400_000
 LONGEST_REMEMBERED = 512
-BATCH_ROWS = 256
+BATCH_ROWS = 512
 BLOCK = 1 << 22
 CHAIN_BYTES = 2048
 
@@ -93,7 +94,9 @@ def joints(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
     safe = np.concatenate(([0], safe, [len(raw)]))
     left = safe[np.searchsorted(safe, at, side="right") - 1]
     right = safe[np.searchsorted(safe, at, side="left")]
-    return np.unique(np.concatenate(([0], left, right, [len(raw)])))
+    border = np.zeros(len(raw) + 1, dtype=bool)
+    border[left] = border[right] = border[0] = border[-1] = True
+    return np.flatnonzero(border)
 
 
 class ChunkEncoder:
@@ -108,54 +111,56 @@ class ChunkEncoder:
         self.chunking, self.remembered = chunking, remembered
         names = [self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size())]
         self.lengths = np.array([len(name) for name in names])  # one character stands for one byte
-        self.young: dict[bytes, tuple[bytes, str]] = {}
-        self.old: dict[bytes, tuple[bytes, str]] = {}
+        #: Ids of remembered chunks, of this generation and the last. All decode to themselves but those listed apart.
+        self.ids: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+        self.long: list[bytes] = []
+        self.decoded_otherwise: dict[bytes, str] = {}
 
-    def encode_apart(self, pieces: list[bytes]) -> list[tuple[bytes, str]]:
-        """Ids as little-endian 32-bit integers, and the text decoded from them.
+    def encode_apart(self, pieces: list[bytes]) -> None:
+        """Encodes and decodes pieces that are not remembered, and remembers them.
 
         Pieces that begin with a blank and end with a printable ASCII character may
-        stand one after another, for the reason given above; they are encoded as one
+        stand one after another, for the reason given above; some are encoded as one
         text and the tokens dealt back by their lengths. Others are encoded alone.
         """
-        result: list[tuple[bytes, str] | None] = [None] * len(pieces)
         groups, chain, size = [], [], 0
-        for i, piece in enumerate(pieces):
+        for piece in pieces:
             if piece[0] in (10, 32) and 32 < piece[-1] < 127:
-                chain.append(i)
+                chain.append(piece)
                 size += len(piece)
                 if size >= CHAIN_BYTES:
                     groups.append(chain)
                     chain, size = [], 0
             else:
-                groups.append([i])
+                groups.append([piece])
         groups += [chain] if chain else []
-        texts = [b"".join([pieces[i] for i in group]).decode() for group in groups]
+        texts = [b"".join(group).decode() for group in groups]
         tokens_of = [one.ids for one in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         decoded_of = self.tokenizer.decode_batch(tokens_of, skip_special_tokens=False)
-        for group, ids, text in zip(groups, tokens_of, decoded_of, strict=True):
-            decoded = text.encode()
-            packed = np.array(ids, dtype="<u4").tobytes()
-            ends = np.cumsum([len(pieces[i]) for i in group])
-            tokens = np.searchsorted(np.cumsum(self.lengths[ids]), ends, side="right").tolist() if ids else [0]
-            at = token = 0
-            for i, end, next_token in zip(group, ends.tolist(), tokens):
-                result[i] = (packed[4 * token : 4 * next_token], decoded[at:end].decode())
-                at, token = end, next_token
-        return result
-
-    def recall(self, piece: bytes) -> tuple[bytes, str] | None:
-        known = self.young.get(piece)
-        if known is None and (known := self.old.get(piece)) is not None:
-            self.young[piece] = known
-        return known
-
-    def remember(self, piece: bytes, known: tuple[bytes, str]) -> None:
-        if len(piece) > LONGEST_REMEMBERED:
-            return
-        if len(self.young) >= self.remembered:
-            self.old, self.young = self.young, {}
-        self.young[piece] = known
+        for group, ids, text, decoded in zip(groups, tokens_of, texts, decoded_of, strict=True):
+            packed = np.array(ids, dtype="<u4")
+            if len(group) == 1:
+                self.ids[group[0]] = packed.tobytes()
+                if decoded != text:
+                    self.decoded_otherwise[group[0]] = decoded
+                continue
+            if decoded != text:
+                raise ValueError("a chain of chunks does not decode to itself")
+            ends = np.cumsum([len(piece) for piece in group])
+            at = 4 * np.searchsorted(np.cumsum(self.lengths[packed]), ends, side="right")
+            packed, start = packed.tobytes(), 0
+            for piece, end in zip(group, at.tolist()):
+                self.ids[piece] = packed[start:end]
+                start = end
+
+    def turn(self) -> None:
+        """After a batch: long pieces are forgotten, and the older generation once the younger is full."""
+        for piece in self.long:
+            self.ids.pop(piece, None)
+        self.long.clear()
+        if len(self.ids) >= self.remembered:
+            self.older, self.ids = self.ids, {}
 
     def encode(self, texts: list[str | None]) -> list[tuple[bytes, str]]:
         """One pair of ids and decoded text for each text; a null text is empty."""
@@ -168,20 +173,23 @@ class ChunkEncoder:
                 split.append([whole[a:b] for a, b in zip(borders, borders[1:])])
             else:
                 split.append([])
-        known, new = {}, []
-        for piece in set().union(*split):
-            found = self.recall(piece)
-            if found is None:
+        new = []
+        for piece in set().union(*split).difference(self.ids):
+            known = self.older.get(piece)
+            if known is None:
                 new.append(piece)
+                if len(piece) > LONGEST_REMEMBERED:
+                    self.long.append(piece)
             else:
-                known[piece] = found
-        for piece, found in zip(new, self.encode_apart(new), strict=True):
-            known[piece] = found
-            self.remember(piece, found)
-        result = []
-        for pieces in split:
-            found = [known[p] for p in pieces]
-            result.append((b"".join([f[0] for f in found]), "".join([f[1] for f in found])))
+                self.ids[piece] = known
+        self.encode_apart(new)
+        known, result = self.ids, []
+        for text, pieces in zip(texts, split, strict=True):
+            decoded = text or ""  # the pieces in order, each of which decodes to itself
+            if self.decoded_otherwise:
+                decoded = "".join([self.decoded_otherwise.get(p) or p.decode() for p in pieces])
+            result.append((b"".join(map(known.__getitem__, pieces)), decoded))
+        self.turn()
         return result
 
 
@@ -192,6 +200,7 @@ def worker_encoder(path: str, chunking: Chunking, remembered: int) -> ChunkEncod
     """The encoder of this Python worker: it outlives a task, and so do its chunks."""
     key = (path, chunking, remembered)
     if key not in _ENCODERS:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark has a worker for every core
         _ENCODERS[key] = ChunkEncoder(path, chunking, remembered)
     return _ENCODERS[key]
 
