@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keysieve.llm.common import LOWER, UPPER, broadcast_if_small, written
+from keysieve.llm.common import LOWER, UPPER, broadcast_if_small, fresh, written
 
 WINDOW = 10
 # ASCII characters that are no part of a word once A-Z is in lower case.
@@ -116,8 +116,7 @@ def search(postings: DataFrame, chosen: DataFrame, slop: int | None = None) -> D
     )
     key = [F.coalesce("doc_id", F.lit(-1)).alias("d"), F.col("doc_id").isNull().alias("n"), "version", "phrase"]
     exact_next = next_.select(*key, "start").distinct()
-    rare = rare.where("start >= 0").withColumns({"d": F.coalesce("doc_id", F.lit(-1)), "n": F.col("doc_id").isNull()}) if slop is None \
-        else rare.withColumns({"d": F.coalesce("doc_id", F.lit(-1)), "n": F.col("doc_id").isNull()})
+    rare = rare.withColumns({"d": F.coalesce("doc_id", F.lit(-1)), "n": F.col("doc_id").isNull()})
     stands = F.slice("around", F.greatest(F.col("start") - F.col("from_place"), F.lit(0)) + 1, F.col("size")) == F.col("words")
     exact = rare.where("start >= 0").join(exact_next, ["d", "n", "version", "phrase", "start"], "left_semi").where(stands)
     exact = exact.select("doc_id", "version", "phrase", "size", "start", F.lit("phrase").alias("kind"))
@@ -190,8 +189,9 @@ def keep_clean(documents: DataFrame, items: DataFrame, length: int = WINDOW) ->
     """
     dirty = contamination(documents, items, length).where("n_hit > 0")
     dirty = written(dirty.select("doc_id", "version").distinct(), "decontam-dirty")
-    ids = dirty.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("_dirty_id")).distinct()
-    nameless = dirty.where("doc_id IS NULL").select(F.col("version").alias("_dirty_version"))
-    kept = documents.join(ids, documents["doc_id"] == F.col("_dirty_id"), "left_anti")
-    version = F.when(documents["doc_id"].isNull(), F.xxhash64(documents["text"]))
-    return kept.join(nameless, version == F.col("_dirty_version"), "left_anti")
+    dirty_id, dirty_version = fresh(documents, "_dirty_id"), fresh(documents, "_dirty_version")
+    ids = dirty.where("doc_id IS NOT NULL").select(F.col("doc_id").alias(dirty_id)).distinct()
+    nameless = dirty.where("doc_id IS NULL").select(F.col("version").alias(dirty_version))
+    kept = documents.join(ids, documents["doc_id"] == F.col(dirty_id), "left_anti")
+    version = F.when(F.col("doc_id").isNull(), F.xxhash64("text"))
+    return kept.join(nameless, version == F.col(dirty_version), "left_anti")

@@ -117,14 +117,17 @@ def written_by_batch(lines: DataFrame) -> DataFrame:
     return lines.sparkSession.read.schema(lines.schema).parquet(path)
 
 
-def deduplicated(documents: DataFrame, least: int = LEAST_LENGTH, batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
-    """The documents with their other columns, ``text`` without repeated lines, ``n_lines`` and ``n_dropped``.
+def deduplicated(documents: DataFrame, least: int = LEAST_LENGTH, batches: int = BATCHES, fanout: int = FANOUT,
+                 counts: tuple[str, str] = ("n_lines", "n_dropped")) -> DataFrame:
+    """The documents with their other columns, ``text`` without repeated lines, and two counts of lines.
+
+    The counts, of lines before and of lines dropped, are called as ``counts`` says.
 
     A key of at least ``least`` code points that two documents hold keeps its lines
     in the document with the smallest id only, all of them. A null or empty text is
     one empty line and becomes the empty text. Rows that share an id are one
     document: they do not take lines from each other. A null id counts as the
-    largest. An empty table gives no rows. Columns that are called like the two
+    largest. An empty table gives no rows. Columns that are called like the
     counts are replaced by them.
     """
     dropped = lines_to_drop(documents, least, batches, fanout)
@@ -147,8 +150,8 @@ def deduplicated(documents: DataFrame, least: int = LEAST_LENGTH, batches: int =
     kept = F.transform(F.filter(paired, lambda p: p["kept"]), lambda p: p["line"])
     result = joined.withColumns(
         {
-            "n_lines": n_lines.cast("long"),
-            "n_dropped": F.coalesce(F.size(F.when(F.col(places).isNotNull(), F.col(places))), F.lit(0)).cast("long"),
+            counts[0]: n_lines.cast("long"),
+            counts[1]: F.coalesce(F.size(F.when(F.col(places).isNotNull(), F.col(places))), F.lit(0)).cast("long"),
             "text": F.when(F.col(places).isNull(), text).otherwise(F.array_join(kept, "\n")),
         }
     )

@@ -8,6 +8,23 @@ from keysieve.llm.lines import LEAST_LENGTH
 
 ASCII_LOWER = f"translate(coalesce(text, ''), '{UPPER}', '{LOWER}')"
 
+MINHASH = f"""
+WITH RECURSIVE doc AS (
+  SELECT doc_id, regexp_extract_all({ASCII_LOWER}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+sh AS (
+  SELECT doc_id, unnest(CASE WHEN len(w) >= 2 THEN list_distinct([w[i] || ' ' || w[i + 1] FOR i IN generate_series(1, len(w) - 1)])
+    WHEN len(w) = 1 THEN w ELSE [] END) AS s FROM doc),
+size AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+link AS (
+  SELECT a, b FROM common JOIN size x ON x.doc_id = a JOIN size y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+edge AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM doc UNION SELECT reach.a, edge.b FROM reach JOIN edge ON edge.a = reach.b),
+least AS (SELECT a, min(b) AS m FROM reach GROUP BY a)
+SELECT doc.doc_id, coalesce(n, 0) AS n_shingles, m AS component_id, m = doc.doc_id AS kept
+FROM doc LEFT JOIN size ON size.doc_id = doc.doc_id JOIN least ON least.a = doc.doc_id
+"""
+
 LINES = f"""
 WITH cut AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
@@ -54,6 +71,7 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """
 
 ORACLES = {
+    "op2_minhash": MINHASH,
     "op6_lines": LINES,
     "op8_decontamination": DECONTAMINATION,
     "op10_topk": TOP_K,

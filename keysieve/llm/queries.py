@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keysieve.llm import bpe, decontam, html, langid, lines, pii, quality, topk
+from keysieve.llm import bpe, decontam, html, langid, license, lines, neardup, pii, quality, topk
 from keysieve.llm.common import held_out, table
 from keysieve.llm.oracles import ORACLES
 
@@ -23,6 +23,15 @@ def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
 
 
+def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.components_of(table(spark, sf_dir, "documents"), neardup.Near(words=2, percent=80))
+
+
+def op3_license(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license.scan(license.document_files(table(spark, sf_dir, "documents")))
+    return found.withColumnRenamed("key", "doc_id")
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -56,6 +65,8 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_html": op1_html,
+    "op2_minhash": op2_minhash,
+    "op3_license": op3_license,
     "op4_quality": op4_quality,
     "op5_bpe": op5_bpe,
     "op6_lines": op6_lines,
