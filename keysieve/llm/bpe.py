@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from keysieve.llm.common import per_batch
+from keysieve.llm.common import per_batch, worker_memory
 
 WINDOW = 8
 AVERAGE_CHUNK = 4
@@ -193,16 +193,14 @@ class ChunkEncoder:
         return result
 
 
-_ENCODERS: dict[tuple, ChunkEncoder] = {}
-
-
 def worker_encoder(path: str, chunking: Chunking, remembered: int) -> ChunkEncoder:
     """The encoder of this Python worker: it outlives a task, and so do its chunks."""
-    key = (path, chunking, remembered)
-    if key not in _ENCODERS:
+    known = worker_memory()
+    key = ("bpe", path, chunking.window, chunking.average, remembered)
+    if key not in known:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark has a worker for every core
-        _ENCODERS[key] = ChunkEncoder(path, chunking, remembered)
-    return _ENCODERS[key]
+        known[key] = ChunkEncoder(path, chunking, remembered)
+    return known[key]
 
 
 def check_tokenizer(path: str) -> None:

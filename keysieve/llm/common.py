@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import sys
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -18,6 +19,15 @@ BROADCAST_BYTES = 32 << 20
 HELD_OUT_FOLDS = 5
 
 
+def worker_memory() -> dict:
+    """A dictionary that lives as long as this Python process, whatever task it runs.
+
+    Functions travel to tasks by value and take a copy of their module's state
+    along, so module variables start anew with every task.
+    """
+    return vars(sys).setdefault("_keysieve_memory", {})
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

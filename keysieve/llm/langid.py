@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from keysieve.llm.common import held_out, per_batch
+from keysieve.llm.common import held_out, per_batch, worker_memory
 
 SAMPLE_PER_LANGUAGE = 600
 BUCKETS_LOG2 = 12
@@ -42,15 +42,12 @@ def family_of(language: str) -> str:
     return next((name for name, codes in FAMILIES.items() if code in codes.split()), f"language {language}")
 
 
-_LETTERS: np.ndarray | None = None
-
-
 def letters() -> np.ndarray:
     """For each code point, whether it is a letter."""
-    global _LETTERS
-    if _LETTERS is None:
-        _LETTERS = np.fromiter((chr(c).isalpha() for c in range(0x110000)), dtype=bool, count=0x110000)
-    return _LETTERS
+    known = worker_memory()
+    if "letters" not in known:
+        known["letters"] = np.fromiter((chr(c).isalpha() for c in range(0x110000)), dtype=bool, count=0x110000)
+    return known["letters"]
 
 
 def vector(text: str | None) -> np.ndarray | None:

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from keysieve.llm.common import per_batch
+from keysieve.llm.common import per_batch, worker_memory
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "uri", "account")
@@ -37,13 +37,10 @@ SPAN = T.ArrayType(
     )
 )
 
-_AUTOMATON = None
-
-
 def automaton():
     """One automaton per worker over anchors: (kind of anchor, its length)."""
-    global _AUTOMATON
-    if _AUTOMATON is None:
+    known = worker_memory()
+    if "anchors" not in known:
         import ahocorasick
 
         found = ahocorasick.Automaton()
@@ -58,8 +55,8 @@ def automaton():
             for form in {cue, cue.upper(), cue.capitalize(), cue.title()}:
                 found.add_word(form, ("cue", len(form)))
         found.make_automaton()
-        _AUTOMATON = found
-    return _AUTOMATON
+        known["anchors"] = found
+    return known["anchors"]
 
 
 def run_of(text: str, at: int, allowed: frozenset) -> int:
