@@ -39,7 +39,9 @@ POSIX = {
     "xdigit": ((0x30, 0x39), (0x41, 0x46), (0x61, 0x66)),
 }
 # Code points outside ASCII that fold onto an ASCII letter.
-ASCII_FOLDS = {"k": 0x212A, "s": 0x017F}
+#: Cased characters lie below this; dotted and dotless i have no other case in RE2.
+CASED_CODES = 0x1E944
+UNFOLDED = {0x0130, 0x0131}
 
 # Where the dialects differ: word edges (ASCII in RE2 only), line and text ends.
 _EDGE = "(?:(?<!{w})(?={w})|(?<={w})(?!{w}))"
@@ -278,19 +280,27 @@ def _complement(ranges) -> tuple:
     return tuple(out)
 
 
+@lru_cache(maxsize=1)
+def _orbits() -> dict[int, frozenset[int]]:
+    """For each cased character, all characters that differ from it in case alone.
+
+    Built from the one-to-one mappings of every cased character, in both
+    directions: some letters are only reached from the other side. Dotted and
+    dotless i fold to themselves.
+    """
+    group: dict[int, set[int]] = {}
+    for code in range(CASED_CODES):
+        char = chr(code)
+        for other in (char.lower(), char.upper(), char.title()):
+            if other != char and len(other) == 1 and not {code, ord(other)} & UNFOLDED:
+                joined = group.get(code, {code}) | group.get(ord(other), {ord(other)})
+                for member in joined:
+                    group[member] = joined
+    return {code: frozenset(members) for code, members in group.items()}
+
+
 def _fold_char(code: int) -> set[int]:
-    char = chr(code)
-    found = {code}
-    for other in (char.lower(), char.upper()):
-        if len(other) == 1:
-            found.add(ord(other))
-            found.update(ord(c) for c in (other.lower(), other.upper()) if len(c) == 1)
-    for letter, extra in ASCII_FOLDS.items():
-        if extra in found or ord(letter) in found:
-            found.update((extra, ord(letter), ord(letter.upper())))
-    if code == 0x0130 or code == 0x0131:  # dotted / dotless i fold only to themselves
-        return {code}
-    return found - {0x0130, 0x0131}
+    return set(_orbits().get(code, (code,)))
 
 
 def _fold(ranges) -> tuple:

@@ -16,17 +16,19 @@ MASK = "****...****"
 MASKED = "[REDACTED]"
 HASH_DIGITS = 16
 SHORT_SHA = 7
-TTY_LIMIT = 256
 UNSAFE = "[\\x00-\\x08\\x0A-\\x1F\\x7F\\u2028\\u2029]"
 LATIN = "ISO-8859-1"
 RFC3339 = "yyyy-MM-dd'T'HH:mm:ssXXX"
 
 
-def shannon_entropy(text: Column) -> Column:
-    """Bits per byte: characters are counted, the denominator is the byte length."""
+def shannon_entropy(text: Column, size: Column | None = None) -> Column:
+    """Bits per byte: characters are counted, the denominator is the byte length.
+
+    ``size`` is the byte length where ``text`` stands for bytes that are not UTF-8.
+    """
     chars = F.array_distinct(F.split(text, ""))
     counts = F.transform(chars, lambda c: F.length(text) - F.length(F.replace(text, c, F.lit(""))))
-    scale = F.lit(1.0) / F.octet_length(text)
+    scale = F.lit(1.0) / (F.octet_length(text) if size is None else size)
 
     def add(total: Column, count: Column) -> Column:
         share = count * scale
@@ -114,14 +116,8 @@ def short_sha(sha: Column) -> Column:
 
 
 def sanitize_text(text: Column) -> Column:
-    """Neutralise terminal control characters; long values are cut only when
-    they have to be rewritten or exceed the limit in bytes."""
-    clean = F.regexp_replace(text, UNSAFE, "�")
-    cut = F.when(
-        F.length(text) > TTY_LIMIT,
-        F.concat(F.substring(clean, 1, TTY_LIMIT), F.lit("…")),
-    ).otherwise(clean)
-    return cut
+    """Neutralise terminal control characters; nothing is cut, so a printed fingerprint can be used."""
+    return F.regexp_replace(text, UNSAFE, "�")
 
 
 def format_duration(milliseconds: Column) -> Column:

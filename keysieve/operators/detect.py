@@ -5,8 +5,9 @@
 Each step is a DataFrame to DataFrame function made of built-in expressions;
 none shuffles, so the same code runs on a batch table and on a stream.  Rules
 are constants of the plan.  The only Python in it is an Arrow function for
-rules whose secret sits under a repetition or an alternation, and it is in the
-plan only if such a rule is.
+rules whose secret sits under a repetition or an alternation, and for rules that
+are to be matched in linear time; it is in the plan only if such a rule is, and
+sees the lines of such rules only.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ from keysieve.functions.text import (
     redact_bytes,
     shannon_entropy,
 )
-from keysieve.operators.suppress import DIRECTIVE, INLINE, inline_suppressed
+from keysieve.operators.suppress import DIRECTIVE, INLINE, first_directive, in_scope
 from keysieve.sources.rulesets import Allowlist, Rule, RuleSet
 
 COMMIT_COLUMNS = ("commit_sha", "commit_author", "commit_date")
@@ -91,8 +92,12 @@ def gate(lines: DataFrame, ruleset: RuleSet, column: str = "line") -> DataFrame:
     return lines.filter(holds_any(F.col(column), ruleset.keywords))
 
 
-def candidates(lines: DataFrame, ruleset: RuleSet) -> DataFrame:
-    """One row per line and rule with one of the rule's keywords on the line."""
+def candidates(lines: DataFrame, ruleset: RuleSet, directive: str | None = None) -> DataFrame:
+    """One row per line and rule with one of the rule's keywords on the line.
+
+    With a ``directive``, ``_directive`` is the first one on the line, found once
+    per line. A line must not hold a newline.
+    """
     words = [minimal(rule.keywords) for rule in ruleset.rules]
     tried = ", ".join(
         f"CASE WHEN {' OR '.join(f'contains(_low, {quoted(w)})' for w in group)} THEN {ordinal} END"
@@ -100,10 +105,13 @@ def candidates(lines: DataFrame, ruleset: RuleSet) -> DataFrame:
         if group
     )
     low = folded(F.col("line"), [w for group in words for w in group])
-    each = (
-        gate(lines, ruleset)
-        .withColumn("_low", low)
-        .select("*", F.expr(f"explode(cast(array({tried}) AS array<int>))").alias("rule_ord"))
+    broken = F.raise_error(F.lit("a line holds a newline; cut texts with lines_of")).cast("string")
+    worth = gate(lines, ruleset)
+    worth = worth.withColumn("line", F.when(F.contains("line", F.lit("\n")), broken).otherwise(F.col("line")))
+    if directive is not None:
+        worth = worth.withColumn("_directive", first_directive(F.col("line"), directive))
+    each = worth.withColumn("_low", low).select(
+        "*", F.expr(f"explode(cast(array({tried}) AS array<int>))").alias("rule_ord")
     )
     return each.filter(F.col("rule_ord").isNotNull()).drop("_low")
 
@@ -168,12 +176,17 @@ def _nested(specs: dict[int, str]):
     return cut
 
 
-def _linear(ruleset: RuleSet):
-    """Arrow function that cuts lines with RE2 itself, in time linear in their length."""
+def _linear(ruleset: RuleSet) -> dict[int, tuple[str, str]]:
+    """Pattern and replacement in RE2 of the rules that the rule set wants matched by it."""
     specs = {}
     for ordinal, rule in enumerate(ruleset.rules):
-        if marking := _marking(rule, RE2):
+        if rule.id in ruleset.linear_rules and (marking := _marking(rule, RE2)):
             specs[ordinal] = marking[0], _marked(marking[1], "\\")
+    return specs
+
+
+def _cut_by_re2(specs: dict[int, tuple[str, str]]):
+    """Arrow function that cuts lines with RE2 itself, in time linear in their length."""
 
     @F.pandas_udf("string")
     def cut(ordinals: pd.Series, subjects: pd.Series) -> pd.Series:
@@ -189,38 +202,36 @@ def _linear(ruleset: RuleSet):
     return cut
 
 
-def matches(lines: DataFrame, ruleset: RuleSet) -> DataFrame:
+def matches(lines: DataFrame, ruleset: RuleSet, directive: str | None = None) -> DataFrame:
     """Every match of every candidate rule, with the secret picked out.
 
     Adds ``rule_ord``, ``rule_id``, ``column`` (1-based byte offset of the
     secret), ``value`` (the secret as text), and ``before``, ``raw``, ``after``
-    (the match around the secret, as bytes).
+    (the match around the secret, as bytes); ``line`` itself is not carried on,
+    so a line with very many matches costs as much as they are long together.
 
     java.util.regex may take time quadratic in the length of a line, when a
-    rule starts often and runs far before it fails. With the rule set's
-    ``linear_from``, lines of at least that many bytes are matched by RE2 in an
-    Arrow function.
+    rule starts often and runs far before it fails. The rule set's
+    ``linear_rules`` are matched by RE2 in an Arrow function instead.
     """
+    linear = _linear(ruleset)
     nested = {
         ordinal: parse(rule.regex, PYTHON).capture(rule.group)
         for ordinal, rule in enumerate(ruleset.rules)
-        if _pieces(rule) is None
+        if ordinal not in linear and _pieces(rule) is None
     }
     # offsets and hashes refer to the bytes of the line, valid or not
-    found = candidates(lines, ruleset).select(
+    found = candidates(lines, ruleset, directive).select(
         "*", as_characters(F.col("line")).alias("_subject"), (~F.is_valid_utf8("line")).alias("_latin")
     )
     # Inside a lambda the patterns stay out of the generated Java code, which
     # they would push beyond the method size that the JIT compiles.
     marked = F.transform(F.array("_subject"), lambda s: per_rule(ruleset, _pieces))[0]
-    if nested:
-        found = found.withColumn("_nested", _nested(nested)("rule_ord", "_subject"))
-        marked = F.when(F.col("rule_ord").isin(*nested), F.col("_nested")).otherwise(marked)
-    if ruleset.linear_from is not None:
-        long = F.when(F.octet_length("line") >= ruleset.linear_from, F.col("_subject"))
-        found = found.withColumn("_linear", _linear(ruleset)("rule_ord", long))
-        # a short line, or a rule that cannot be cut this way, has no linear result
-        marked = F.when(F.col("_linear").isNotNull(), F.col("_linear")).otherwise(marked)
+    for name, specs, cut in (("_nested", nested, _nested), ("_linear", linear, _cut_by_re2)):
+        if specs:
+            chosen = F.col("rule_ord").isin(*specs)
+            found = found.withColumn(name, cut(specs)("rule_ord", F.when(chosen, F.col("_subject"))))
+            marked = F.when(chosen, F.col(name)).otherwise(marked)
     found = found.withColumn("_pieces", F.split(marked, "\n"))
     sizes = F.transform(
         "_pieces",
@@ -230,25 +241,35 @@ def matches(lines: DataFrame, ruleset: RuleSet) -> DataFrame:
     found = found.withColumn("_starts", running_starts("_sizes"))
     count = F.floor(F.size("_pieces") / 4).cast("int")
     hits = F.when(count > 0, F.sequence(F.lit(0), count - 1))
-    found = found.select("*", F.explode(hits).alias("_hit"))
 
-    def piece(at: int) -> Column:
-        return F.get("_pieces", F.col("_hit") * 4 + at)
+    def piece(hit: Column, at: int) -> Column:
+        return F.get("_pieces", hit * 4 + at)
+
+    each = F.transform(
+        hits,
+        lambda hit: F.struct(
+            (F.get("_starts", hit * 4 + 2) + 1).cast("int").alias("column"),
+            piece(hit, 1).alias("before"), piece(hit, 2).alias("secret"), piece(hit, 3).alias("after"),
+        ),
+    )
+    kept = [c for c in found.columns if c != "line" and (not c.startswith("_") or c == "_directive")]
+    found = found.select(*kept, "_latin", F.explode(each).alias("_hit")).filter(F.col("_hit.secret") != "")
 
     def raw(text: Column) -> Column:
         return F.when(F.col("_latin"), F.encode(text, LATIN)).otherwise(text.cast("binary"))
 
-    found = found.filter(piece(2) != "").withColumns(
+    found = found.withColumns(
         {
             "rule_id": per_rule(ruleset, lambda r: quoted(r.id), "cast(NULL AS string)"),
-            "column": (F.get("_starts", F.col("_hit") * 4 + 2) + 1).cast("int"),
-            "value": piece(2),
-            "before": raw(piece(1)),
-            "raw": raw(piece(2)),
-            "after": raw(piece(3)),
+            "column": F.col("_hit.column"),
+            "before": raw(F.col("_hit.before")),
+            "raw": raw(F.col("_hit.secret")),
+            "after": raw(F.col("_hit.after")),
         }
     )
-    return found.drop(*(c for c in found.columns if c.startswith("_")))
+    # a secret may be UTF-8 although its line is not
+    text = F.coalesce(F.try_validate_utf8(F.col("raw").cast("string")), F.col("_hit.secret"))
+    return found.withColumn("value", text).drop("_hit", "_latin")
 
 
 def entropy_gate(found: DataFrame, ruleset: RuleSet) -> DataFrame:
@@ -259,7 +280,7 @@ def entropy_gate(found: DataFrame, ruleset: RuleSet) -> DataFrame:
     threshold = per_rule(
         ruleset, lambda r: f"{r.entropy!r}D" if r.entropy > 0 else None, "cast(NULL AS double)"
     )
-    return found.filter(threshold.isNull() | (shannon_entropy(F.col("value")) > threshold))
+    return found.filter(threshold.isNull() | (shannon_entropy(F.col("value"), F.octet_length("raw")) > threshold))
 
 
 def allowlist_filter(
@@ -297,13 +318,16 @@ def project(
     keep: tuple[str, ...] = (),
     keep_raw: bool = False,
 ) -> DataFrame:
-    """Matches to finding records; the raw secret stops here unless asked for."""
+    """Matches to finding records; the raw secret stops here unless asked for.
+
+    A ``directive`` must have been given to :func:`matches` as well.
+    """
     heuristic = per_rule(
         ruleset, lambda r: "true" if r.is_heuristic else None, "cast(NULL AS boolean)"
     )
     hidden = F.lit(None).cast("boolean")
     if directive is not None:
-        hidden = F.when(inline_suppressed(F.col("line"), F.col("rule_id"), directive), F.lit(True))
+        hidden = F.when(in_scope(F.col("_directive"), F.col("rule_id"), directive), F.lit(True))
     shown = redact_bytes(F.col("raw"))
     columns = {
         "rule_id": F.col("rule_id"),
@@ -340,9 +364,10 @@ def detect(
     """Findings of a table of lines ``(path, line_no, line, ...)``.
 
     Lines under a directive are marked suppressed, not dropped. Commit columns
-    and the columns named in ``keep`` are carried through.
+    and the columns named in ``keep`` are carried through. A line that holds a
+    newline is an error.
     """
-    found = screened(matches(lines, ruleset), ruleset, honor_rule_paths=honor_rule_paths)
+    found = screened(matches(lines, ruleset, directive), ruleset, honor_rule_paths=honor_rule_paths)
     return project(found, ruleset, directive=directive, keep=keep, keep_raw=keep_raw)
 
 

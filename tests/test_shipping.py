@@ -18,7 +18,7 @@ texts = spark.createDataFrame([("a/.env", "x"), ("b", "y")], "path string, text
 write_tree(texts, {root!r})
 files = read_tree(spark, [{root!r}], path_matcher())
 lines = spark.createDataFrame([("p", 1, "ab c1")], "path string, line_no int, line string")
-rules = RuleSet(rules=(Rule("n", "(?:a(b)|c)+", ("a",)), Rule("l", "c([0-9])", ("c",))), linear_from=1)
+rules = RuleSet(rules=(Rule("n", "(?:a(b)|c)+", ("a",)), Rule("l", "c([0-9])", ("c",))), linear_rules=frozenset("l"))
 print("RESULT", sorted(r.path for r in files.collect()), detect(lines, rules).count())
 """
 
