@@ -16,20 +16,13 @@ from keysieve.sources.rulesets import MAX_FILE_SIZE_MB
 # Fixed values of the file policy.
 MEGABYTE = 1024 * 1024
 SNIFF_BYTES = 512
-LONGEST_LINE = 256 * MEGABYTE
-
-BROADCAST_ROWS = 100_000
 
 EXCLUDED, UNREADABLE, OVERSIZED = "excluded", "unreadable", "oversized"
 DUPLICATE, BINARY, SCANNED, SELECTED = "duplicate", "binary", "scanned", "selected"
 
 
-def line_limit(max_mb: int) -> int:
-    """A line this long makes its file unreadable; it follows the size limit."""
-    return max_mb * MEGABYTE if max_mb > 0 else LONGEST_LINE
-
-
 def is_binary(content: Column) -> Column:
+    """A zero byte near the start. Text in UTF-16 has some too, so skipping such files is an option."""
     return F.contains(F.substring(content, 1, SNIFF_BYTES), F.lit(b"\x00"))
 
 
@@ -41,7 +34,9 @@ def select_files(
     Files under several roots count for the first root, after the exclusion
     and size checks. Pass ``overlapping=False`` when the roots are known to be
     disjoint: the pass is then free of a shuffle. If the manifest holds
-    contents, they are not shuffled for it as long as few files are repeated.
+    contents, the few files that are repeated are joined to it, and adaptive
+    execution broadcasts them if they measure small. ``max_mb`` is a limit only
+    if it is above 0.
     """
     excluded_by = matcher.excluded_by(F.col("path"))
     if "named" in manifest.columns:  # a file that is itself a root is never excluded
@@ -69,40 +64,38 @@ def select_files(
 
 
 def _repeated(rows: DataFrame) -> DataFrame:
-    """``(abs_path, _first)`` of the files below several roots.
-
-    Broadcast only if they were counted to be few; otherwise an ordinary join.
-    """
+    """``(abs_path, _first)`` of the files below several roots."""
     seen = rows.groupBy("abs_path").agg(
         F.min("root_ord").alias("_first"), F.count(F.lit(1)).alias("_roots")
     )
-    repeated = seen.filter("_roots > 1").drop("_roots")
-    few = repeated.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return F.broadcast(repeated) if few else repeated
+    return seen.filter("_roots > 1").drop("_roots")
 
 
-def inspect_files(files: DataFrame, *, max_mb: int = MAX_FILE_SIZE_MB) -> DataFrame:
-    """Settles the selected files once their content (or a read error) is there."""
-    limit = line_limit(max_mb)
-    text = F.col("content").cast("string")
-    long_line = (F.octet_length("content") >= limit) & F.exists(
-        F.split(text, "\n"), lambda line: F.octet_length(line) >= limit
-    )
-    settled = (
-        F.when(F.col("error").isNotNull() | F.col("content").isNull(), UNREADABLE)
-        .when(is_binary(F.col("content")), BINARY)
-        .when(long_line, UNREADABLE)
-        .otherwise(SCANNED)
-    )
+def inspect_files(files: DataFrame, *, skip_binary: bool = False) -> DataFrame:
+    """Settles the selected files once their content (or a read error) is there.
+
+    Every file that could be read is scanned, unless ``skip_binary`` leaves out
+    those with a zero byte near the start.
+    """
+    settled = F.when(F.col("error").isNotNull() | F.col("content").isNull(), UNREADABLE)
+    if skip_binary:
+        settled = settled.when(is_binary(F.col("content")), BINARY)
     return files.withColumn(
-        "status", F.when(F.col("status") == SELECTED, settled).otherwise(F.col("status"))
+        "status", F.when(F.col("status") == SELECTED, settled.otherwise(SCANNED)).otherwise(F.col("status"))
     )
 
 
-def file_status(manifest: DataFrame, matcher: PathMatcher, **options) -> DataFrame:
+def unread(files: DataFrame) -> DataFrame:
+    """``(path, status, error)`` of every file that should have been scanned and could not be read."""
+    lost = files.filter(F.col("status") == UNREADABLE)
+    return lost.select("path", "status", F.coalesce("error", F.lit("unreadable")).alias("error"))
+
+
+def file_status(
+    manifest: DataFrame, matcher: PathMatcher, *, skip_binary: bool = False, **options
+) -> DataFrame:
     """Every file of a manifest with content, with its final status."""
-    max_mb = options.get("max_mb", MAX_FILE_SIZE_MB)
-    return inspect_files(select_files(manifest, matcher, **options), max_mb=max_mb)
+    return inspect_files(select_files(manifest, matcher, **options), skip_binary=skip_binary)
 
 
 def scanned_texts(files: DataFrame) -> DataFrame:

@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from keysieve.functions.regex import PatternError, parse
 
 PROJECT_FILE = ".keysieve.toml"
-MAX_FILE_SIZE_MB = 10
+#: No limit; a rule file or a caller may set one.
+MAX_FILE_SIZE_MB = 0
 
 ALLOWLIST_TYPE = "struct<description: string, regexes: array<string>, paths: array<string>>"
 RULE_SCHEMA = (
@@ -54,8 +55,7 @@ class Rule:
 class RuleSet:
     """Rules, global allowlists, and the settings of a scan.
 
-    ``linear_from`` sends lines of at least that many bytes to a matcher that
-    takes linear time; by default none is.
+    ``linear_rules`` names the rules to match in time linear in a line's length.
     """
 
     rules: tuple[Rule, ...]
@@ -63,7 +63,7 @@ class RuleSet:
     use_default_excludes: bool = True
     max_file_size_mb: int = MAX_FILE_SIZE_MB
     no_entropy: bool = False
-    linear_from: int | None = None
+    linear_rules: frozenset[str] = frozenset()
     title: str = ""
     disabled_rules: tuple[str, ...] = field(default=(), compare=False)
     extends_default: bool = field(default=False, compare=False)

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import itertools
 import os
+import re
 import stat
 from collections.abc import Iterator
 
@@ -18,13 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keysieve.functions.globs import PathMatcher, ignore_lines
-from keysieve.operators.files import (
-    EXCLUDED,
-    MAX_FILE_SIZE_MB,
-    SELECTED,
-    inspect_files,
-    select_files,
-)
+from keysieve.operators.files import EXCLUDED, SELECTED, SNIFF_BYTES, inspect_files, select_files
+from keysieve.sources.rulesets import MAX_FILE_SIZE_MB
 from keysieve.sources.scratch import scratch_path
 
 IGNORE_FILE = ".keysieveignore"
@@ -34,20 +30,36 @@ BATCH_ROWS = 10_000
 TASK_BYTES = 128 << 20
 
 ENTRY_SCHEMA = (
-    "root_ord int, root string, abs_path string, path string, size bigint, folder boolean, named boolean"
+    "root_ord int, root string, abs_path string, path string, size bigint, folder boolean, named boolean,"
+    " error string"
 )
 ENTRY_ARROW = pa.schema(
     [
         ("root_ord", pa.int32()), ("root", pa.string()), ("abs_path", pa.string()),
         ("path", pa.string()), ("size", pa.int64()), ("folder", pa.bool_()), ("named", pa.bool_()),
+        ("error", pa.string()),
     ]
 )
 
 
+def local_path(location: str) -> str:
+    """The path behind a ``file:`` address; any other scheme is refused.
+
+    Trees are listed and read with the operating system's calls, so they must be
+    on a file system that every executor has mounted. Tables of paths and contents
+    can come from any store: see :func:`keysieve.plans.scan.scan_files`.
+    """
+    scheme = re.match("([A-Za-z][A-Za-z0-9+.-]+):", location)
+    if scheme and scheme.group(1).lower() != "file":
+        raise ValueError(f"{location}: a tree must be on a mounted file system")
+    return re.sub("^file:/*", "/", location) if scheme else location
+
+
 def scan_root(roots: list[str]) -> str:
     """Where the ignore file and the project rules are: the first root, or its
     folder if it is a file."""
-    return roots[0] if os.path.isdir(roots[0]) else os.path.dirname(os.path.abspath(roots[0]))
+    first = local_path(roots[0])
+    return first if os.path.isdir(first) else os.path.dirname(os.path.abspath(first))
 
 
 def read_ignore(root: str, name: str = IGNORE_FILE) -> list[str]:
@@ -68,17 +80,23 @@ def _entries(folder: dict) -> Iterator[dict]:
                 continue
             if not is_folder and not entry.is_file(follow_symlinks=False):
                 continue
+            size = error = None
             try:
                 size = None if is_folder else entry.stat(follow_symlinks=False).st_size
-            except OSError:
-                size = None
+            except OSError as problem:
+                error = problem.strerror or "unreadable"
             path = f"{folder['path']}/{entry.name}" if folder["path"] else entry.name
             yield {
                 "root_ord": folder["root_ord"], "root": folder["root"], "abs_path": entry.path,
-                "path": path, "size": size, "folder": is_folder, "named": False,
+                "path": path, "size": size, "folder": is_folder, "named": False, "error": error,
             }
 
 
+def _unlisted(folder: dict, problem: OSError) -> dict:
+    """A folder below a root that vanished or may not be read, as an entry that could not be read."""
+    return {**folder, "size": None, "folder": False, "named": False, "error": problem.strerror or "unreadable"}
+
+
 def _list_folders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for folder in batch.to_pylist():
@@ -87,8 +105,10 @@ def _list_folders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 rows = []
                 try:
                     rows.extend(itertools.islice(found, BATCH_ROWS))
-                except OSError:
-                    pass  # vanished or not permitted: below the root that is not fatal
+                except OSError as problem:
+                    if folder["named"]:  # a root that cannot be listed is an error
+                        raise
+                    rows.append(_unlisted(folder, problem))
                 if not rows:
                     break
                 yield pa.RecordBatch.from_pylist(rows, ENTRY_ARROW)
@@ -98,13 +118,13 @@ def _roots(roots: list[str]) -> list[tuple]:
     """The roots as entries. A file given as root is named by itself."""
     rows = []
     for ordinal, root in enumerate(roots):
-        absolute = os.path.abspath(root)
+        absolute = os.path.abspath(local_path(root))
         info = os.lstat(absolute)  # a missing root is an error
         if stat.S_ISDIR(info.st_mode) and os.path.basename(absolute) != SKIPPED_FOLDER:
-            rows.append((ordinal, root, absolute, "", None, True, True))
+            rows.append((ordinal, root, absolute, "", None, True, True, None))
         elif stat.S_ISREG(info.st_mode):
             name = os.path.basename(absolute)
-            rows.append((ordinal, root, absolute, name, info.st_size, False, True))
+            rows.append((ordinal, root, absolute, name, info.st_size, False, True, None))
     return rows
 
 
@@ -132,38 +152,44 @@ def list_tree(spark: SparkSession, roots: list[str], matcher: PathMatcher) -> Da
     return entries.filter(~F.col("folder") | (~F.col("named") & excluded))
 
 
-def _read_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds content and error; binary files are recognised before they are read whole."""
-    for batch in batches:
-        content, errors, start, held = [], [], 0, 0
-
-        def part(stop):
-            rows = batch.slice(start, stop - start)
-            return pa.RecordBatch.from_arrays(
-                [*rows.columns, pa.array(content, pa.binary()), pa.array(errors, pa.string())],
-                names=[*batch.schema.names, "content", "error"],
-            )
-
-        for at, (path, status) in enumerate(
-            zip(batch.column("abs_path").to_pylist(), batch.column("status").to_pylist())
-        ):
-            data, error = None, None
-            if status == SELECTED:
-                try:
-                    with open(path, "rb") as handle:
-                        data = handle.read(512)
-                        if b"\x00" not in data:
-                            data += handle.read()
-                except OSError as problem:
-                    data, error = None, problem.strerror or "unreadable"
-            content.append(data)
-            errors.append(error)
-            held += len(data or b"")
-            if held >= BATCH_BYTES:
-                yield part(at + 1)
-                content, errors, start, held = [], [], at + 1, 0
-        if content:
-            yield part(batch.num_rows)
+def _read_files(skip_binary: bool):
+    """A function that adds content and error; files to be skipped are not read whole."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            content, errors, start, held = [], [], 0, 0
+            places = batch.schema.get_field_index("error")
+            carried = [c for i, c in enumerate(batch.columns) if i != places]
+            names = [n for i, n in enumerate(batch.schema.names) if i != places]
+
+            def part(stop, start=0):
+                columns = [c.slice(start, stop - start) for c in carried]
+                return pa.RecordBatch.from_arrays(
+                    [*columns, pa.array(content, pa.binary()), pa.array(errors, pa.string())],
+                    names=[*names, "content", "error"],
+                )
+
+            rows = (batch.column(n).to_pylist() for n in ("abs_path", "status", "error"))
+            for at, (path, status, error) in enumerate(zip(*rows)):
+                data = None
+                if status == SELECTED:
+                    try:
+                        with open(path, "rb") as handle:
+                            data = handle.read(SNIFF_BYTES)
+                            if not skip_binary or b"\x00" not in data:
+                                data += handle.read()
+                    except OSError as problem:
+                        data, error = None, problem.strerror or "unreadable"
+                content.append(data)
+                errors.append(error)
+                held += len(data or b"")
+                if held >= BATCH_BYTES:
+                    yield part(at + 1, start)
+                    content, errors, start, held = [], [], at + 1, 0
+            if content:
+                yield part(batch.num_rows, start)
+
+    return read
 
 
 def select_tree(
@@ -178,26 +204,31 @@ def select_tree(
     return chosen.withColumns({"excluded_by": pruned, "status": status})
 
 
-def read_selected(chosen: DataFrame, *, max_mb: int = MAX_FILE_SIZE_MB) -> DataFrame:
+def read_selected(chosen: DataFrame, *, skip_binary: bool = False) -> DataFrame:
     """The manifest with the content of the selected files and their final status."""
     total = chosen.filter(F.col("status") == SELECTED).agg(F.sum("size")).first()[0] or 0
     tasks = max(chosen.sparkSession.sparkContext.defaultParallelism, -(-total // TASK_BYTES))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema if f.name != "error")
     read = chosen.repartition(int(tasks)).mapInArrow(
-        _read_files, f"{schema}, content binary, error string"
+        _read_files(skip_binary), f"{schema}, content binary, error string"
     )
-    return inspect_files(read, max_mb=max_mb)
+    return inspect_files(read, skip_binary=skip_binary)
 
 
 def read_tree(
-    spark: SparkSession, roots: list[str], matcher: PathMatcher, *, max_mb: int = MAX_FILE_SIZE_MB
-) -> DataFrame:
+    spark: SparkSession, roots: list[str], matcher: PathMatcher, *, max_mb: int = MAX_FILE_SIZE_MB,
+    skip_binary: bool = False,
+) -> DataFrame:
     """Every file below the roots with its status, and the content of those scanned."""
-    return read_selected(select_tree(spark, roots, matcher, max_mb=max_mb), max_mb=max_mb)
+    return read_selected(select_tree(spark, roots, matcher, max_mb=max_mb), skip_binary=skip_binary)
 
 
 def write_tree(texts: DataFrame, root: str) -> None:
-    """Write ``(path, text)`` rows as files below ``root``, from the tasks."""
+    """Write ``(path, text)`` rows as files below ``root``, from the tasks.
+
+    The root must be on a file system that every executor has mounted.
+    """
+    root = local_path(root)
 
     def put(rows) -> None:
         for row in rows:

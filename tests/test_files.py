@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from keysieve.functions.globs import GlobError, ignore_lines, path_matcher
 from keysieve.operators.detect import detect_texts, lines_of
-from keysieve.operators.files import coverage, file_status, line_limit, scanned_texts
+from keysieve.operators.files import coverage, file_status, scanned_texts, unread
 from keysieve.plans.scan import scan_tree
 from keysieve.sources.tree import read_ignore, read_tree
 
@@ -89,21 +89,21 @@ def test_file_status(spark):
         (1, "/r/line", "line", None, b"x" * (2 * 1024 * 1024), None),
         (1, "/r/short", "short", None, b"x" * (2 * 1024 * 1024 - 1) + b"\n", None),
     ]
-    files = file_status(manifest(spark, rows), path_matcher(), max_mb=2)
+    files = file_status(manifest(spark, rows), path_matcher(), max_mb=2, skip_binary=True)
     got = {(r.root_ord, r.path): r.status for r in files.collect()}
     assert got == {
         (0, "ok"): "scanned", (0, "empty"): "scanned", (0, "bin"): "binary", (0, "late"): "scanned",
         (0, "big"): "oversized", (0, "edge"): "scanned", (0, "bad"): "unreadable", (0, "vendor/x/a"): "excluded",
-        (0, "vendor/b"): "excluded", (1, "r/ok"): "duplicate", (1, "r/big"): "oversized", (1, "line"): "unreadable",
+        (0, "vendor/b"): "excluded", (1, "r/ok"): "duplicate", (1, "r/big"): "oversized", (1, "line"): "scanned",
         (1, "short"): "scanned",
     }
     row = coverage(files).first()
     assert row.asDict() == {
-        "files_scanned": 5, "paths_excluded": 1, "files_unreadable": 2, "files_oversized": 2, "files_binary": 1
+        "files_scanned": 6, "paths_excluded": 1, "files_unreadable": 1, "files_oversized": 2, "files_binary": 1
     }
-    assert line_limit(0) == 256 * 1024 * 1024
-    unlimited = file_status(manifest(spark, rows[4:5]), path_matcher(), max_mb=0).first()
-    assert unlimited.status == "scanned"
+    assert [tuple(r) for r in unread(files).collect()] == [("bad", "unreadable", "denied")]
+    unlimited = file_status(manifest(spark, rows[:6]), path_matcher()).collect()
+    assert {r.status for r in unlimited} == {"scanned"}
 
 
 def test_long_lines_are_read(spark, rules):
@@ -132,7 +132,7 @@ def tree(tmp_path):
 
 
 def test_tree(spark, tree):
-    files = read_tree(spark, [str(tree)], path_matcher(), max_mb=1)
+    files = read_tree(spark, [str(tree)], path_matcher(), max_mb=1, skip_binary=True)
     got = {r.path: r.status for r in files.filter("NOT folder").collect()}
     assert got == {
         ".env": "scanned", "_private.txt": "scanned", ".hidden/x.txt": "scanned", "empty": "scanned",
@@ -147,7 +147,7 @@ def test_tree(spark, tree):
 
 def test_tree_scan_end_to_end(spark, tree, rules):
     (tree / ".keysieveignore").write_text("src/**\n!.hidden/**\n_*\n")
-    result = scan_tree(spark, [str(tree), str(tree / ".hidden"), str(tree / "src" / "app.go")], rules, keep_on_disk=True)
+    result = scan_tree(spark, [str(tree), str(tree / ".hidden"), str(tree / "src" / "app.go")], rules, skip_binary=True)
     rows = result.displayed.collect()
     # the overlapping root is read once, from the first root; a file named as a root is never excluded
     assert sorted(r.file for r in rows) == [".env", ".hidden/x.txt", "app.go"]
@@ -158,6 +158,8 @@ def test_tree_scan_end_to_end(spark, tree, rules):
 def test_unreadable_and_missing(spark, tree, rules):
     with pytest.raises(FileNotFoundError):
         read_tree(spark, [str(tree / "nowhere")], path_matcher())
+    with pytest.raises(ValueError, match="mounted"):
+        read_tree(spark, ["s3a://bucket/tree"], path_matcher())
     files = spark.createDataFrame(
         [(0, "/x", "x", 5, None, "denied")],
         "root_ord int, abs_path string, path string, size bigint, content binary, error string",
@@ -165,7 +167,25 @@ def test_unreadable_and_missing(spark, tree, rules):
     from keysieve.plans.scan import scan_files
 
     assert scan_files(files, rules).summary.first().verdict == 1
-    assert scan_files(files, rules, exit_zero=True).summary.first().verdict == 0
+    result = scan_files(files, rules, exit_zero=True)
+    assert result.summary.first().verdict == 0
+    assert [tuple(r) for r in result.unread.collect()] == [("x", "unreadable", "denied")]
+
+
+def test_folders_that_cannot_be_listed():
+    import pyarrow as pa
+
+    from keysieve.sources.tree import ENTRY_ARROW, _list_folders
+
+    def folder(named):
+        row = {"root_ord": 0, "root": "r", "abs_path": "/nowhere/x", "path": "x", "size": None, "folder": True, "named": named,
+               "error": None}
+        return iter([pa.RecordBatch.from_pylist([row], ENTRY_ARROW)])
+
+    with pytest.raises(FileNotFoundError):
+        list(_list_folders(folder(True)))
+    (row,) = next(_list_folders(folder(False))).to_pylist()
+    assert (row["path"], row["folder"], row["size"], row["error"]) == ("x", False, None, "No such file or directory")
 
 
 def test_reference_shapes_of_a_moved_and_shifted_file(spark, tmp_path, rules):

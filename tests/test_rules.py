@@ -28,7 +28,7 @@ regexes = ['^test']
 
 def test_built_in_rules(rules):
     assert len(rules.rules) == 18 and len({r.id for r in rules.rules}) == 18
-    assert rules.use_default_excludes and rules.max_file_size_mb == 10
+    assert rules.use_default_excludes and rules.max_file_size_mb == 0
     assert [len(a.regexes) for a in rules.allowlists] == [5, 0]
 
 
