@@ -6,7 +6,7 @@ produce the distinct probes, classify logged answers, and join the outcome.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keysieve.functions.joins import salted_lookup
@@ -32,7 +32,6 @@ AWS_REJECTIONS = (
     "AccessDenied",
     "InvalidSignatureException",
 )
-PAIRING_BYTES = 1 << 20
 SECRET_KEY = "(?:^|[^A-Za-z0-9/+])([A-Za-z0-9/+]{40})(?:[^A-Za-z0-9/+]|$)"
 SECRET_KEY_HINT = "(?i)(aws.{0,20}secret|secret_access_key|secretaccesskey)"
 
@@ -144,48 +143,43 @@ def github_status(responses: DataFrame) -> DataFrame:
     return attempts.select("secret_sha256", status.alias("status"))
 
 
-def _head(text: Column) -> Column:
-    """At most one MiB, cut at the last newline before it."""
-    head = F.substring(text.cast("binary"), 1, PAIRING_BYTES)
-    as_text = head.cast("string")
-    rest = F.octet_length(F.substring_index(as_text, "\n", -1))
-    whole = F.substring(head, F.lit(1), F.octet_length(head) - rest - 1)
-    cut = F.when(F.contains(as_text, F.lit("\n")), whole.cast("string")).otherwise(as_text)
-    return F.when(F.octet_length(text) > PAIRING_BYTES, cut).otherwise(text)
-
-
 def pair_secret_keys(texts: DataFrame) -> DataFrame:
     """``(path, token)``: per file, the 40-character token nearest to a hint line.
 
     A tie goes to the first token in the file; without a hint there is no pair.
-    Whole files are dropped first in a narrow pass; then only lines with a token
-    or a hint are sorted, and a file has one MiB of them at most.
+    One pass over the lines of a row, nothing shuffled: the nearest token and hint
+    have no other of either kind between them, so the last of each is enough.
     """
-    heads = texts.select("path", _head(F.col("text")).alias("head")).filter(
-        F.col("head").rlike(portable(SECRET_KEY_HINT)) & F.col("head").rlike("[A-Za-z0-9/+]{40}")
+    worth = texts.select("path", "text").filter(
+        F.col("text").rlike(portable(SECRET_KEY_HINT)) & F.col("text").rlike("[A-Za-z0-9/+]{40}")
     )
-    kept = heads.select("path", F.posexplode(F.split("head", "\n")).alias("at", "line"))
-    tokens = F.regexp_extract_all("line", F.lit(parse(SECRET_KEY).capture(1)), 1)
-    marked = kept.select(
-        "path",
-        "at",
-        F.when(F.col("line").rlike(portable(SECRET_KEY_HINT)), F.col("at")).alias("hint"),
-        F.when(F.col("line").rlike(portable(SECRET_KEY)), tokens).alias("tokens"),
-    ).filter("hint IS NOT NULL OR tokens IS NOT NULL")
-    down = Window.partitionBy("path").orderBy("at")
-    up = Window.partitionBy("path").orderBy(F.desc("at"))
-    near = marked.withColumns(
-        {
-            "above": F.last("hint", ignorenulls=True).over(down),
-            "below": F.last("hint", ignorenulls=True).over(up),
-        }
-    ).filter("tokens IS NOT NULL AND (above IS NOT NULL OR below IS NOT NULL)")
-    distance = F.least(F.col("at") - F.col("above"), F.col("below") - F.col("at"))
-    each = near.select(
-        "path", distance.alias("distance"), "at", F.posexplode("tokens").alias("pos", "token")
+    lines = F.transform(
+        F.split("text", "\n"),
+        lambda line, at: F.struct(
+            at.alias("at"),
+            line.rlike(portable(SECRET_KEY_HINT)).alias("hint"),
+            F.nullif(F.regexp_extract(line, parse(SECRET_KEY).capture(1), 1), F.lit("")).alias("token"),
+        ),
     )
-    nearest = F.min_by("token", F.struct("distance", "at", "pos")).alias("token")
-    return each.groupBy("path").agg(nearest)
+    kept = F.filter(lines, lambda line: line["hint"] | line["token"].isNotNull())
+    empty = "named_struct('gap', cast(NULL AS int), 'at', cast(NULL AS int), 'token', cast(NULL AS string))"
+    start = F.expr(
+        f"named_struct('hint', cast(NULL AS int), 'at', cast(NULL AS int), 'token', cast(NULL AS string), 'best', {empty})"
+    )
+
+    def step(state: Column, line: Column) -> Column:
+        hint = F.when(line["hint"], line["at"]).otherwise(state["hint"])
+        at = F.when(line["token"].isNotNull(), line["at"]).otherwise(state["at"])
+        token = F.coalesce(line["token"], state["token"])
+        pair = F.struct(F.abs(at - hint).alias("gap"), at.alias("at"), token.alias("token"))
+        better = (at.isNotNull() & hint.isNotNull()) & (
+            state["best"]["gap"].isNull() | (pair["gap"] < state["best"]["gap"])
+        )
+        best = F.when(better, pair).otherwise(state["best"])
+        return F.struct(hint.alias("hint"), at.alias("at"), token.alias("token"), best.alias("best"))
+
+    nearest = F.aggregate(kept, start, step, lambda state: state["best"]["token"])
+    return worth.select("path", nearest.alias("token")).filter("token IS NOT NULL")
 
 
 def aws_pairs(findings: DataFrame, texts: DataFrame) -> DataFrame:

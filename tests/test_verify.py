@@ -97,7 +97,7 @@ def test_pairing(spark):
         quoted=f"aws_secret='{two}'\r\n",
     )
     assert got == {
-        "hinted": one, "nearest": two, "tie": one, "sameline": three, "twohints": two, "before": two, "quoted": two,
+        "hinted": one, "nearest": two, "tie": one, "sameline": three, "twohints": two, "beyond": one, "before": two, "quoted": two,
     }
 
 
