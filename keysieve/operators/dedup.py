@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keysieve.operators.detect import FINDING_COLUMNS
+from keysieve.sources.patches import REPO
 
 PLACE = ("line", "column", "commit_sha", "commit_author", "commit_date")
 SHOWN = tuple(c for c in FINDING_COLUMNS if c not in PLACE and c != "fingerprint")
@@ -19,7 +20,7 @@ def keep_earliest(
     strict: bool = False,
     keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Collapse occurrences of the same secret in the same file.
+    """Collapse occurrences of the same secret in the same file of the same repository.
 
     ``order`` numbers the patches as they were read, newest commit first. The
     text shown is that of the first occurrence read; line, column and commit
@@ -30,7 +31,8 @@ def keep_earliest(
     Adds ``inline_hits``, the suppressed occurrences that went into the row.
     Without ``show_suppressed`` they are only counted: a row still marked
     suppressed stands for a fingerprint with no other occurrence. The columns
-    named in ``keep`` depend on the secret alone and are carried along.
+    named in ``keep`` depend on the secret alone and are carried along. With a
+    ``repo`` column, equal fingerprints of two repositories are two findings.
 
     A plain aggregation: a secret copied into a million commits is reduced
     before the shuffle, and the same code keeps state on a stream.
@@ -45,7 +47,8 @@ def keep_earliest(
     if not show_suppressed:
         placed = F.struct(hidden.alias("hidden"), placed.alias("placed"))
     shown = (*SHOWN, *keep)
-    grouped = findings.groupBy("fingerprint").agg(
+    repo = [c for c in (REPO,) if c in findings.columns]
+    grouped = findings.groupBy(*repo, "fingerprint").agg(
         F.min_by(F.struct(*shown), seen).alias("shown"),
         F.min_by(F.struct(*PLACE), placed).alias("place"),
         F.sum(hidden.cast("long")).alias("inline_hits"),
@@ -57,4 +60,4 @@ def keep_earliest(
         for name in FINDING_COLUMNS
     ]
     kept = [F.col(f"shown.{name}").alias(name) for name in keep]
-    return grouped.select(*columns, "inline_hits", *kept)
+    return grouped.select(*columns, "inline_hits", *kept, *repo)

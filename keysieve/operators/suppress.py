@@ -10,6 +10,7 @@ from keysieve.functions.regex import portable
 from keysieve.functions.text import content_key
 
 DIRECTIVE = "scan:ignore"
+REPO = "repo"
 # The reasons a finding record may carry.
 INLINE = "inline-ignore"
 BASELINE = "baseline"
@@ -20,14 +21,22 @@ def _directive_pattern(directive: str) -> str:
     return portable(rf"(?i)\Q{directive}\E\b(:[a-zA-Z0-9_,-]+)?")
 
 
+def first_directive(line: Column, directive: str = DIRECTIVE) -> Column:
+    """The first directive on a line with its scope, or the empty string."""
+    return F.regexp_extract(line, _directive_pattern(directive), 0)
+
+
 def inline_suppressed(line: Column, rule_id: Column, directive: str = DIRECTIVE) -> Column:
-    """True when the line's first directive names the rule, or names none.
+    """True when the line's first directive names the rule, or names none."""
+    return in_scope(first_directive(line, directive), rule_id, directive)
+
+
+def in_scope(found: Column, rule_id: Column, directive: str = DIRECTIVE) -> Column:
+    """True when a directive that was found names the rule, or names none.
 
     The scope is a list of rule ids compared as written; a bare trailing colon
     is no scope.
     """
-    pattern = _directive_pattern(directive)
-    found = F.regexp_extract(line, pattern, 0)
     scope = F.substr(found, F.lit(len(directive) + 2))
     return (found != "") & ((scope == "") | F.array_contains(F.split(scope, ","), rule_id))
 
@@ -35,11 +44,14 @@ def inline_suppressed(line: Column, rule_id: Column, directive: str = DIRECTIVE)
 def baseline_keys(baseline: DataFrame) -> DataFrame:
     """The distinct content keys of a baseline's findings; empty fingerprints do not count.
 
+    With a ``repo`` column, a finding is known in its own repository only.
+
     A content key is a function of its fingerprint, so "same fingerprint or
     same content key" is membership of the content key alone: one equi-join.
     """
     keys = baseline.filter(F.col("fingerprint") != "")
-    return keys.select(content_key(F.col("fingerprint")).alias("content_key")).distinct()
+    repo = [c for c in (REPO,) if c in baseline.columns]
+    return keys.select(*repo, content_key(F.col("fingerprint")).alias("content_key")).distinct()
 
 
 def mark_known(findings: DataFrame, baseline: DataFrame, *, salts: int = SALTS) -> DataFrame:
@@ -48,10 +60,14 @@ def mark_known(findings: DataFrame, baseline: DataFrame, *, salts: int = SALTS)
     One leaked key may own a large share of all findings, hence the salted join.
     """
     keyed = findings.withColumn("content_key", content_key(F.col("fingerprint")))
-    keys = baseline_keys(baseline).withColumn("known", F.lit(True))
+    if REPO in findings.columns and REPO in baseline.columns:
+        on = [REPO, "content_key"]
+    else:
+        on = ["content_key"]
+    keys = baseline_keys(baseline.drop(*({REPO} - set(on)))).withColumn("known", F.lit(True))
     place = ["file", "line", "column", "commit_sha"]
-    marked = salted_lookup(keyed, keys, ["content_key"], place, salts)
-    return marked.withColumn("known", F.coalesce("known", F.lit(False))).drop("content_key")
+    marked = salted_lookup(keyed, keys, on, place, salts)
+    return marked.withColumn("known", F.coalesce("known", F.lit(False))).select(*findings.columns, "known")
 
 
 def apply_baseline(findings: DataFrame, baseline: DataFrame, *, salts: int = SALTS) -> DataFrame:

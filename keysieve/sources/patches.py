@@ -1,8 +1,9 @@
 """Patches: history exports and staged diffs as tables, and the lines they add.
 
 ``patch_files`` has one row per file of a commit: ``seq, commit_sha, author,
-commit_date, old_path, new_path, patch``. The newest commit has the lowest
-``seq``; a staged diff has null commit columns.
+commit_date, old_path, new_path, patch``, and ``repo`` if several repositories
+are read together. The newest commit has the lowest ``seq``; a staged diff has
+null commit columns.
 """
 
 from __future__ import annotations
@@ -10,8 +11,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keysieve.functions.text import as_characters, from_characters
+from keysieve.functions.text import LATIN, as_characters, from_characters
 
+REPO = "repo"
+# Escapes in quoted names, besides the backslash and the quotation mark.
+ESCAPES = {"a": "\a", "b": "\b", "t": "\t", "n": "\n", "v": "\v", "f": "\f", "r": "\r"}
 HUNK = "^@@ -\\d+(?:,\\d+)? \\+(\\d+)(?:,(\\d+))? @@"
 
 
@@ -21,12 +25,18 @@ def touched_path() -> Column:
 
 
 def files_touched(patch_files: DataFrame) -> DataFrame:
-    """One row: distinct paths in the patches, whether or not they add lines."""
-    return patch_files.agg(F.count_distinct(touched_path()).alias("files_scanned"))
+    """One row: distinct paths in the patches, whether or not they add lines.
+
+    The same path in another repository is another file.
+    """
+    file = touched_path()
+    if REPO in patch_files.columns:
+        file = F.when(file.isNotNull(), F.struct(F.col(REPO), file.alias("path")))
+    return patch_files.agg(F.count_distinct(file).alias("files_scanned"))
 
 
 def added_lines(patch_files: DataFrame) -> DataFrame:
-    """``(path, line_no, line, seq, commit_sha, commit_author, commit_date)``.
+    """``(path, line_no, line, seq, commit_sha, commit_author, commit_date)``, and ``repo`` if given.
 
     Line numbers count in the new file: added and context lines advance, and
     the header of a hunk says how many there are. So the numbering needs no
@@ -35,7 +45,9 @@ def added_lines(patch_files: DataFrame) -> DataFrame:
     """
     commit = F.nullif("commit_sha", F.lit("")).alias("commit_sha")
     named = F.col("commit_sha") != ""
+    repo = [REPO] if REPO in patch_files.columns else []
     hunks = patch_files.select(
+        *repo,
         F.coalesce("new_path", F.lit("")).alias("path"),
         "seq",
         commit,
@@ -44,7 +56,7 @@ def added_lines(patch_files: DataFrame) -> DataFrame:
         (~F.is_valid_utf8("patch")).alias("_latin"),
         F.explode(F.split(as_characters(F.col("patch")), "(?md)^(?=@@ -)")).alias("_hunk"),
     ).filter(F.col("_hunk").rlike(HUNK))
-    carried = ("path", "seq", "commit_sha", "commit_author", "commit_date", "_latin")
+    carried = (*repo, "path", "seq", "commit_sha", "commit_author", "commit_date", "_latin")
     start = F.regexp_extract("_hunk", HUNK, 1).cast("int")
     length = F.nullif(F.regexp_extract("_hunk", HUNK, 2), F.lit("")).cast("int")
     body = F.split("_hunk", "\n")
@@ -64,21 +76,52 @@ def added_lines(patch_files: DataFrame) -> DataFrame:
         "commit_sha",
         "commit_author",
         "commit_date",
+        *repo,
     )
 
 
-def _path(line: Column) -> Column:
+def unquoted(name: Column, latin: Column) -> Column:
+    """A name as git prints it, as bytes: quoted ones hold escapes, three octal digits for a byte.
+
+    ``latin`` says that the text is one character per byte.
+    """
+    inner = F.regexp_extract(name, '(?s)^"(.*)"\\t?$', 1)
+    parts = F.regexp_extract_all(inner, F.lit('(?s)(\\\\[0-7]{3}|\\\\.|[^\\\\]+)'), 1)
+    letters = F.create_map(*(F.lit(x) for pair in ESCAPES.items() for x in pair))
+
+    def plain(text: Column) -> Column:
+        return F.when(latin, F.encode(text, LATIN)).otherwise(text.cast("binary"))
+
+    def part_bytes(part: Column) -> Column:
+        escaped = F.substr(part, F.lit(2))
+        octal = F.unhex(F.lpad(F.conv(escaped, 8, 16), 2, "0"))
+        letter = F.coalesce(F.try_element_at(letters, escaped), escaped)
+        return (
+            F.when(~F.startswith(part, F.lit("\\")), plain(part))
+            .when(F.length(escaped) == 3, octal)
+            .otherwise(plain(letter))
+        )
+
+    whole = F.aggregate(F.transform(parts, part_bytes), F.lit(b""), lambda a, b: F.concat(a, b))
+    bare = plain(F.regexp_replace(name, "\\t$", ""))
+    return F.when(F.startswith(name, F.lit('"')), whole).otherwise(bare).cast("string")
+
+
+def _path(name: Column) -> Column:
     """``a/src/x.go`` or ``b/src/x.go`` without its prefix; /dev/null is no path."""
-    bare = F.regexp_replace(line, "^\"?[ab]/|\"?\\t?$", "")
+    bare = F.when(F.substring(name, 1, 2).isin("a/", "b/"), F.substr(name, F.lit(3))).otherwise(name)
     return F.when(bare != "/dev/null", bare)
 
 
 def split_commits(commits: DataFrame) -> DataFrame:
     """Patch files from ``(seq, text)``, one commit (or one staged diff) per row.
 
-    ``text`` is the output of ``git log -p`` or ``git diff --staged``.
+    ``text`` is the output of ``git log -p`` or ``git diff --staged``; a ``repo``
+    column is carried along.
     """
+    repo = [REPO] if REPO in commits.columns else []
     viewed = commits.select(
+        *repo,
         F.col("seq").alias("_commit"),
         (~F.is_valid_utf8("text")).alias("_latin"),
         F.concat(F.lit("\n"), as_characters(F.col("text"))).alias("_text"),
@@ -89,6 +132,7 @@ def split_commits(commits: DataFrame) -> DataFrame:
     date = F.trim(F.regexp_extract(header, "(?md)^(?:Author)?Date: +(.+)$", 1))
     parts = F.split("_text", "\ndiff --git ")
     files = viewed.select(
+        *repo,
         "_commit",
         "_latin",
         F.nullif(sha, F.lit("")).alias("commit_sha"),
@@ -96,27 +140,28 @@ def split_commits(commits: DataFrame) -> DataFrame:
         F.nullif(date, F.lit("")).alias("commit_date"),
         F.posexplode(F.slice(parts, F.lit(2), F.size(parts))).alias("_at", "_file"),
     ).withColumn("_preamble", F.substring_index("_file", "\n@@ -", 1))
-    header_names = "\\A\"?a/(.*?)\"? \"?b/(.*?)\"?(?:\\n|\\z)"
+    latin = F.col("_latin")
+    quoted = '"(?:[^"\\\\]|\\\\.)*"'
+    header_names = f"\\A({quoted}|a/.*?) ({quoted}|b/.*?)(?:\\n|\\z)"
 
     def marked(sign: str) -> Column:
         return F.nullif(F.regexp_extract("_preamble", f"(?md)^{sign} (.+)$", 1), F.lit(""))
 
+    def header(group: int) -> Column:
+        return _path(unquoted(F.regexp_extract("_preamble", header_names, group), latin))
+
     old, new = marked("---"), marked("\\+\\+\\+")
     gone = F.contains("_preamble", F.lit("\ndeleted file mode"))
-    old_path = F.when(old.isNotNull(), _path(old)).otherwise(
-        F.regexp_extract("_preamble", header_names, 1)
-    )
-    new_path = F.when(new.isNotNull(), _path(new)).otherwise(
-        F.when(~gone, F.regexp_extract("_preamble", header_names, 2))
-    )
-    latin = F.col("_latin")
+    old_path = F.when(old.isNotNull(), _path(unquoted(old, latin))).otherwise(header(1))
+    new_path = F.when(new.isNotNull(), _path(unquoted(new, latin))).otherwise(F.when(~gone, header(2)))
     return files.select(
+        *repo,
         F.struct("_commit", "_at").alias("seq"),
         "commit_sha",
         from_characters(F.col("author"), latin).alias("author"),
         F.coalesce(_iso_date(F.col("commit_date")), "commit_date").alias("commit_date"),
-        from_characters(old_path, latin).alias("old_path"),
-        from_characters(new_path, latin).alias("new_path"),
+        old_path.alias("old_path"),
+        new_path.alias("new_path"),
         from_characters(F.substr("_file", F.length("_preamble") + 2), latin).alias("patch"),
     )
 
@@ -142,10 +187,11 @@ def _iso_date(text: Column) -> Column:
 
 
 def _records(spark: SparkSession, location: str, start: str) -> DataFrame:
-    """``(seq, text)``: text files cut where a line begins with ``start``.
+    """``(repo, seq, text)``: text files cut where a line begins with ``start``.
 
     Spark splits files at record ends, so one large export is still read by
-    many tasks. ``seq`` orders the records of a file as they were written.
+    many tasks. ``seq`` orders the records of a file as they were written;
+    ``repo`` is the file's name without its ending, or that of a folder ``repo=...``.
     """
     seq = F.struct(
         F.col("_metadata.file_path").alias("file"),
@@ -156,7 +202,10 @@ def _records(spark: SparkSession, location: str, start: str) -> DataFrame:
     text = F.when(F.startswith("value", F.lit(start)), F.col("value")).otherwise(
         F.concat(F.lit(start), F.col("value"))
     )
-    return records.select(seq.alias("seq"), text.alias("text"))
+    repo = F.regexp_replace("_metadata.file_name", "\\.[^.]*$", "")
+    if REPO in records.columns:
+        repo = F.col(REPO).cast("string")
+    return records.select(repo.alias(REPO), seq.alias("seq"), text.alias("text"))
 
 
 def read_history(spark: SparkSession, location: str) -> DataFrame:

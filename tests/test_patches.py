@@ -118,6 +118,34 @@ def test_history_export(spark, tmp_path, rules):
     assert result.summary.first().files_scanned == 3
 
 
+def test_repositories_are_kept_apart(spark, tmp_path, rules):
+    for name in ("one", "two"):
+        (tmp_path / f"{name}.log").write_text(LOG, encoding="utf-8")
+    result = scan_patches(read_history(spark, str(tmp_path)), rules)
+    rows = result.displayed.collect()
+    assert sorted((r.repo, r.rule_id) for r in rows) == [
+        ("one", "aws-access-token"), ("one", "github-pat"), ("two", "aws-access-token"), ("two", "github-pat"),
+    ]
+    total = result.summary.first()
+    assert (total.files_scanned, total.finding_count, total.active_files) == (6, 4, 4)
+    known = scan_patches(read_history(spark, str(tmp_path / "one.log")), rules).new_findings()
+    again = scan_patches(read_history(spark, str(tmp_path)), rules, baseline=known)
+    assert {r.repo for r in again.displayed.collect()} == {"two"}
+    assert [r.value.split()[0] for r in result.lines(quiet=True).orderBy("value").collect()] == ["one", "one", "two", "two"]
+
+
+def test_names_that_git_quotes(spark, tmp_path):
+    names = {r'sp\303\251 \"x\".txt': 'spé "x".txt', r"tab\there\\back": "tab\there\\back", r"\346\274\242": "漢", "plain é": "plain é"}
+    text = "".join(
+        (f'diff --git "a/{n}" "b/{n}"\n--- "a/{n}"\n+++ "b/{n}"\n' if "\\" in n else f"diff --git a/{n} b/{n}\n--- a/{n}\t\n+++ b/{n}\t\n")
+        + "@@ -0,0 +1 @@\n+x\n" for n in names
+    ) + r'diff --git "a/only\303\251" "b/only\303\251"' + "\nold mode 1\nnew mode 2\n"
+    (tmp_path / "r.diff").write_text(text, encoding="utf-8")
+    rows = read_staged(spark, str(tmp_path)).select("old_path", "new_path").collect()
+    assert sorted(r.new_path for r in rows) == sorted([*names.values(), "onlyé"])
+    assert all(r.old_path == r.new_path for r in rows)
+
+
 def test_large_export_is_split_between_tasks(spark, tmp_path):
     commits = "".join(
         f"commit {n:040x}\nAuthor: a <a@b>\nDate:   Mon Jan 1 00:00:00 2024 +0000\n\n    m\n\n"
