@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from keysieve.functions.text import format_duration, sanitize_text, short_sha
 from keysieve.operators.detect import FINDING_COLUMNS
 from keysieve.operators.suppress import BASELINE, DIRECTIVE, INLINE, REASONS
+from keysieve.sources.scratch import materialized
 
 SORT_COLUMNS = ("file", "line", "column", "rule_id", "fingerprint")
 COVERAGE = ("files_scanned", "paths_excluded", "files_unreadable", "files_oversized", "files_binary")
@@ -19,8 +20,24 @@ ALWAYS_SHOWN = ("files_scanned", "finding_count", "duration_ms")
 
 
 def sort_findings(findings: DataFrame) -> DataFrame:
-    """The one total order of findings; text compares bytewise."""
-    return findings.orderBy(*SORT_COLUMNS)
+    """The one total order of findings; text compares bytewise. Repositories come one after another."""
+    return findings.orderBy(*(c for c in ("repo",) if c in findings.columns), *SORT_COLUMNS)
+
+
+def numbered(findings: DataFrame, name: str = "row_no") -> DataFrame:
+    """The findings with their place in the total order, from 1.
+
+    Sorted once; the places come from the sizes of the sorted partitions, so no
+    task sees all rows.
+    """
+    part, row = F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("_row")
+    ordered = materialized(sort_findings(findings).select("*", part, row), "sorted-findings")
+    sizes = ordered.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
+    before = F.coalesce(F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("_part", before.alias("_before"))  # a row per partition
+    return ordered.join(F.broadcast(starts), "_part").select(
+        *findings.columns, (F.col("_before") + F.col("_row") + 1).alias(name)
+    )
 
 
 def _live() -> Column:
@@ -44,10 +61,11 @@ def finding_counts(findings: DataFrame) -> DataFrame:
         inline = F.coalesce(F.sum("inline_hits"), F.lit(0).cast("long"))
     else:
         inline = F.count_if(F.col("suppression_reason") == INLINE)
+    file = F.struct("repo", "file") if "repo" in findings.columns else F.col("file")
     return findings.agg(
         F.count_if(_live()).alias("active"),
         F.count(F.lit(1)).alias("total"),
-        F.count_distinct(F.when(_live(), F.col("file"))).alias("active_files"),
+        F.count_distinct(F.when(_live(), file)).alias("active_files"),
         inline.alias("inline_ignored"),
         F.count_if(F.col("suppression_reason") == BASELINE).alias("baselined"),
         F.count_if(checked & (status == "active")).alias("verified_active"),
@@ -97,9 +115,15 @@ def summary(
     )
 
 
-def _finding_line() -> Column:
-    name = F.concat("rule_id", F.when(F.coalesce("is_heuristic", F.lit(False)), " ?").otherwise(""))
+def _place(repo: bool) -> Column:
+    """``file:line:column``, after the repository's name if there are several."""
     place = F.concat_ws(":", sanitize_text(F.col("file")), F.col("line"), F.col("column"))
+    return F.concat(F.coalesce(F.concat(sanitize_text(F.col("repo")), F.lit(" ")), F.lit("")), place) if repo else place
+
+
+def _finding_line(repo: bool = False) -> Column:
+    name = F.concat("rule_id", F.when(F.coalesce("is_heuristic", F.lit(False)), " ?").otherwise(""))
+    place = _place(repo)
     has_sha = F.coalesce("commit_sha", F.lit("")) != ""
     commit = F.when(has_sha, F.concat(F.lit(" @ "), sanitize_text(short_sha(F.col("commit_sha")))))
     status = F.col("verification.status")
@@ -127,9 +151,9 @@ def _hints(directive: str) -> list[Column]:
     return [F.when(known & ((by != "") | (on != "")), commit), advice]
 
 
-def _suppressed_line() -> Column:
+def _suppressed_line(repo: bool = False) -> Column:
     return F.concat(
-        F.lit("  ○ "), F.concat_ws(":", sanitize_text(F.col("file")), F.col("line"), F.col("column")),
+        F.lit("  ○ "), _place(repo),
         F.lit("  ["), F.col("rule_id"), F.lit("] ("), F.col("suppression_reason"), F.lit(")  "),
         sanitize_text(F.col("secret")),
     )
@@ -193,7 +217,8 @@ def report_lines(
             F.lit(section).alias("section"), *keys, F.posexplode(F.array(*values)).alias("part", "value")
         ).filter("value IS NOT NULL")
 
-    shown = [_finding_line(), *(_hints(directive) if verbose else [])]
+    repo = "repo" in findings.columns
+    shown = [_finding_line(repo), *(_hints(directive) if verbose else [])]
     report = lines(findings.filter(_live()), 0, shown)
     keyless = [
         F.lit(None).cast(findings.schema[c].dataType).alias(c) for c in SORT_COLUMNS
@@ -204,7 +229,7 @@ def report_lines(
             F.lit(1).alias("section"), *keyless,
             F.posexplode(F.array(F.lit(""), F.lit("Suppressed (informational):"))).alias("part", "value"),
         )
-        report = report.unionByName(first).unionByName(lines(hidden, 2, [_suppressed_line()]))
+        report = report.unionByName(first).unionByName(lines(hidden, 2, [_suppressed_line(repo)]))
     if not quiet:
         closing = summary_lines(totals).select(F.lit(3).alias("section"), *keyless, "part", "value")
         report = report.unionByName(closing)
@@ -239,24 +264,29 @@ def report_json(displayed: DataFrame, totals: DataFrame) -> DataFrame:
     """The JSON document ``{findings, summary}`` as lines ``(section, ..., value)``.
 
     No row holds more than one finding, so the document may be of any size:
-    written in order, the lines are the document.
+    written in order, the lines are the document. Only the first place in the
+    order goes without a comma; findings that share that very place are one line.
     """
-    keyless = [F.lit(None).cast(displayed.schema[c].dataType).alias(c) for c in SORT_COLUMNS]
-    body = sort_findings(displayed).select(
-        F.lit(1).alias("section"), *SORT_COLUMNS, F.monotonically_increasing_id().alias("row"),
-        finding_json().alias("value"),
-    )
-    # the first row of a sorted frame is the first row of its first partition
-    body = body.withColumn("value", F.concat(F.when(F.col("row") == 0, "").otherwise(","), "value"))
+    repo = [c for c in ("repo",) if c in displayed.columns]
+    order = [*repo, *SORT_COLUMNS]
+    keyless = [F.lit(None).cast(displayed.schema[c].dataType).alias(c) for c in order]
+    rows = displayed.select(*order, finding_json((*repo, *FINDING_COLUMNS)).alias("value"))
+    first = displayed.agg(F.min(F.struct(*order)).alias("_first"))  # one row
+    marked = rows.join(F.broadcast(first), F.struct(*order) == F.col("_first"), "left")
+    later = marked.filter("_first IS NULL").select(*order, F.concat(F.lit(","), "value").alias("value"))
+    opening_rows = marked.filter("_first IS NOT NULL").groupBy(*order).agg(
+        F.array_join(F.sort_array(F.collect_list("value")), ",").alias("value")
+    )
+    body = opening_rows.unionByName(later).select(F.lit(1).alias("section"), *order, "value")
     opening = totals.select(F.lit(0).alias("section"), *keyless, F.lit('{"findings":[').alias("value"))
     closing = totals.select(
         F.lit(2).alias("section"), *keyless,
         F.concat(F.lit('],"summary":'), summary_json(), F.lit("}")).alias("value"),
     )
-    return opening.unionByName(body.drop("row")).unionByName(closing)
+    return opening.unionByName(body).unionByName(closing)
 
 
 def write_lines(lines: DataFrame, path: str) -> None:
     """Write report lines as text; the part files, in name order, are the report."""
-    order = [c for c in ("section", *SORT_COLUMNS, "part") if c in lines.columns]
+    order = [c for c in ("section", "repo", *SORT_COLUMNS, "part") if c in lines.columns]
     lines.orderBy(*order).select("value").write.mode("overwrite").text(path)

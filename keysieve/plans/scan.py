@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Observation, Row, SparkSession
@@ -17,11 +18,12 @@ from keysieve.operators.files import (
     scanned_texts,
     select_files,
     status_counters,
+    unread,
 )
 from keysieve.operators.suppress import DIRECTIVE, apply_baseline, reportable
 from keysieve.operators.verify import hash_raw, label
 from keysieve.plans import report
-from keysieve.sources.patches import added_lines, files_touched
+from keysieve.sources.patches import REPO, added_lines, files_touched
 from keysieve.sources.rulesets import RuleSet
 from keysieve.sources.scratch import materialized
 from keysieve.sources.tree import read_ignore, read_selected, scan_root, select_tree
@@ -34,15 +36,18 @@ class ScanResult:
     findings: DataFrame
     summary: DataFrame
     show_suppressed: bool = False
+    #: ``(path, status, error)`` of files that could not be read; None where the source has no files.
+    unread: DataFrame | None = None
 
     @property
     def displayed(self) -> DataFrame:
         rows = self.findings if self.show_suppressed else reportable(self.findings)
-        return rows.select(*FINDING_COLUMNS)
+        return rows.select(*FINDING_COLUMNS, *(c for c in (REPO,) if c in rows.columns))
 
     def new_findings(self) -> DataFrame:
         """What a new baseline would hold."""
-        return reportable(self.findings).select(*FINDING_COLUMNS)
+        rows = reportable(self.findings)
+        return rows.select(*FINDING_COLUMNS, *(c for c in (REPO,) if c in rows.columns))
 
     def lines(self, **options) -> DataFrame:
         options.setdefault("show_suppressed", self.show_suppressed)
@@ -54,32 +59,35 @@ class ScanResult:
 
 def finish(
     findings: DataFrame,
-    covered: DataFrame,
+    covered: Callable[[], DataFrame],
     *,
     baseline: DataFrame | None = None,
     status: DataFrame | None = None,
     show_suppressed: bool = False,
     exit_zero: bool = False,
     duration_ms: int | None = 0,
+    keep_on_disk: bool = True,
+    unread: DataFrame | None = None,
 ) -> ScanResult:
-    """Baseline, labels and summary on top of annotated findings."""
+    """Baseline, labels and summary on top of annotated findings.
+
+    The finished findings are written once, and the summary and every report are
+    made from the table; ``keep_on_disk=False`` leaves them a plan that each use
+    runs again. What is written holds hashes of secrets, never secrets.
+    ``covered`` is asked for coverage after that.
+    """
+    findings = hash_raw(findings)
     if baseline is not None:
         findings = apply_baseline(findings, baseline)
     if status is not None:
         findings = label(findings, status, show_suppressed=show_suppressed)
+    if keep_on_disk:
+        findings = materialized(findings, "findings")
+    covered = covered()
     totals = report.summary(
         findings, covered, show_suppressed=show_suppressed, exit_zero=exit_zero, duration_ms=duration_ms
     )
-    return ScanResult(findings, totals, show_suppressed)
-
-
-def _found(findings: DataFrame, keep_on_disk: bool) -> DataFrame:
-    """Detected findings, written once if several steps will use them.
-
-    What is written holds hashes of secrets, never secrets.
-    """
-    findings = hash_raw(findings)
-    return materialized(findings, "findings") if keep_on_disk else findings
+    return ScanResult(findings, totals, show_suppressed, unread)
 
 
 def scan_texts(
@@ -88,13 +96,12 @@ def scan_texts(
     *,
     directive: str = DIRECTIVE,
     status: DataFrame | None = None,
-    keep_on_disk: bool = False,
     **options,
 ) -> ScanResult:
     """Scan a table of ``(path, text)``."""
     found = detect_texts(texts, ruleset, directive=directive, keep_raw=status is not None)
     covered = texts.agg(F.count(F.lit(1)).alias("files_scanned"))
-    return finish(_found(found, keep_on_disk), covered, status=status, **options)
+    return finish(found, lambda: covered, status=status, **options)
 
 
 def _scan_inspected(
@@ -104,7 +111,7 @@ def _scan_inspected(
     *,
     directive: str = DIRECTIVE,
     status: DataFrame | None = None,
-    keep_on_disk: bool = False,
+    keep_on_disk: bool = True,
     **options,
 ) -> ScanResult:
     """Scan files with a final status; ``named`` has the same rows, without content.
@@ -117,13 +124,14 @@ def _scan_inspected(
     found = detect_texts(
         scanned_texts(watched), ruleset, directive=directive, keep_raw=status is not None
     )
-    found = _found(found, keep_on_disk)
-    if keep_on_disk:
+
+    def covered() -> DataFrame:
+        if not keep_on_disk:
+            return coverage(files)
         counted = files.sparkSession.createDataFrame([Row(**seen.get)])
-        covered = report.one_row([counted, named.agg(paths_excluded())])
-    else:
-        covered = coverage(files)
-    return finish(found, covered, status=status, **options)
+        return report.one_row([counted, named.agg(paths_excluded())])
+
+    return finish(found, covered, status=status, keep_on_disk=keep_on_disk, unread=unread(files), **options)
 
 
 def scan_files(
@@ -132,13 +140,14 @@ def scan_files(
     *,
     matcher: PathMatcher | None = None,
     overlapping: bool = True,
+    skip_binary: bool = False,
     **options,
 ) -> ScanResult:
     """Scan a manifest that already holds the content of its files."""
     matcher = matcher or path_matcher((), ruleset.use_default_excludes)
     max_mb = ruleset.max_file_size_mb
     named = select_files(manifest, matcher, max_mb=max_mb, overlapping=overlapping)
-    files = inspect_files(named, max_mb=max_mb)
+    files = inspect_files(named, skip_binary=skip_binary)
     return _scan_inspected(files, named.drop("content"), ruleset, **options)
 
 
@@ -149,13 +158,14 @@ def scan_tree(
     *,
     ignore: list[str] | None = None,
     default_excludes: bool = True,
+    skip_binary: bool = False,
     **options,
 ) -> ScanResult:
     """Scan directory trees; the ignore file of the first root applies."""
     lines = read_ignore(scan_root(roots)) if ignore is None else ignore
     matcher = path_matcher(lines, ruleset.use_default_excludes and default_excludes)
     named = select_tree(spark, roots, matcher, max_mb=ruleset.max_file_size_mb)
-    files = read_selected(named, max_mb=ruleset.max_file_size_mb)
+    files = read_selected(named, skip_binary=skip_binary)
     return _scan_inspected(files, named, ruleset, **options)
 
 
@@ -167,16 +177,16 @@ def scan_patches(
     strict: bool = False,
     show_suppressed: bool = False,
     status: DataFrame | None = None,
-    keep_on_disk: bool = False,
     **options,
 ) -> ScanResult:
     """Scan the lines that commits or a staged diff add.
 
     No path exclusion and no file policy applies; the same secret in the same
-    file is one finding, placed at its earliest commit.
+    file of a repository is one finding, placed at its earliest commit.
     """
     keep_raw = status is not None
-    found = detect(added_lines(patch_files), ruleset, directive=directive, keep=("seq",), keep_raw=keep_raw)
+    keep = ("seq", *(c for c in (REPO,) if c in patch_files.columns))
+    found = detect(added_lines(patch_files), ruleset, directive=directive, keep=keep, keep_raw=keep_raw)
     kept = keep_earliest(
         hash_raw(found),
         show_suppressed=show_suppressed,
@@ -184,8 +194,8 @@ def scan_patches(
         keep=("secret_sha256",) if keep_raw else (),
     )
     return finish(
-        _found(kept, keep_on_disk),
-        files_touched(patch_files),
+        kept,
+        lambda: files_touched(patch_files),
         show_suppressed=show_suppressed,
         status=status,
         **options,

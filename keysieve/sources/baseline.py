@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keysieve.operators.detect import FINDING_COLUMNS, VERIFICATION_TYPE
 from keysieve.operators.suppress import reportable
+from keysieve.plans.report import SORT_COLUMNS, finding_json, numbered
 
 FINDING_TYPES = {
     "line": "int", "column": "int", "is_heuristic": "boolean", "suppressed": "boolean",
@@ -20,10 +22,13 @@ def empty_baseline(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], FINDING_SCHEMA)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+# The lines of an envelope, version 1.
+LAID_OUT = r'^(\{"version":1,"findings":\[|\]\}|,?\{"rule_id":.*\}|)$'
+OPENING, CLOSING = '{"version":1,"findings":[', "]}"
+
+
+def _is_missing(problem: AnalysisException) -> bool:
+    return (problem.getCondition() or "").startswith("PATH_NOT_FOUND")
 
 
 def read_baseline(spark: SparkSession, path: str, *, format: str | None = None) -> DataFrame:
@@ -32,18 +37,46 @@ def read_baseline(spark: SparkSession, path: str, *, format: str | None = None)
     ``format`` is ``envelope`` (one JSON document, the default for a path
     ending in .json), or ``parquet`` or ``json`` for a folder of records. A
     missing path is an empty baseline, the first run; a malformed one an error.
+    A document that has one finding per line, as :func:`write_baseline` lays it
+    out, is read by many tasks; any other layout is parsed whole.
     """
-    if not _exists(spark, path):
-        return empty_baseline(spark)
     format = format or ("envelope" if path.endswith(".json") else "parquet")
     strict = spark.read.option("mode", "FAILFAST")
-    if format == "envelope":
-        document = strict.schema(ENVELOPE_SCHEMA).option("multiLine", True).json(path)
-        return document.select(F.inline("findings"))
-    return strict.schema(FINDING_SCHEMA).format(format).load(path)
+    try:
+        if format != "envelope":
+            return strict.schema(FINDING_SCHEMA).format(format).load(path)
+        lines = spark.read.text(path)
+        odd = lines.filter(~F.col("value").rlike(LAID_OUT)).limit(1)
+        if odd.isEmpty() and not lines.isEmpty():
+            body = F.regexp_replace("value", "^,", "")
+            rows = lines.filter(~F.col("value").isin(OPENING, CLOSING, ""))
+            parsed = F.from_json(body, FINDING_SCHEMA, {"mode": "FAILFAST"})
+            return rows.select(parsed.alias("f")).select("f.*")
+    except AnalysisException as problem:
+        if _is_missing(problem):
+            return empty_baseline(spark)
+        raise
+    document = strict.schema(ENVELOPE_SCHEMA).option("multiLine", True).json(path)
+    return document.select(F.inline("findings"))
 
 
 def write_baseline(findings: DataFrame, path: str, *, format: str = "parquet") -> None:
-    """Write the reportable, redacted findings as a folder of records."""
+    """Write the reportable, redacted findings as a folder of records.
+
+    As ``envelope``, the part files are, one after another by name, one JSON
+    document with a finding per line in the total order.
+    """
     rows = reportable(findings).select(*FINDING_COLUMNS)
-    rows.write.mode("overwrite").format(format).save(path)
+    if format != "envelope":
+        rows.write.mode("overwrite").format(format).save(path)
+        return
+    first = [F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in SORT_COLUMNS]
+    frame = rows.sparkSession.range(1)
+    body = numbered(rows).select(
+        F.lit(1).alias("section"), *SORT_COLUMNS,
+        F.concat(F.when(F.col("row_no") > 1, ",").otherwise(""), finding_json()).alias("value"),
+    )
+    opening = frame.select(F.lit(0).alias("section"), *first, F.lit(OPENING).alias("value"))
+    closing = frame.select(F.lit(2).alias("section"), *first, F.lit(CLOSING).alias("value"))
+    document = opening.unionByName(body).unionByName(closing)
+    document.orderBy("section", *SORT_COLUMNS).select("value").write.mode("overwrite").text(path)

@@ -14,8 +14,9 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 from keysieve.operators.dedup import keep_earliest
 from keysieve.operators.detect import FINDING_COLUMNS, detect, detect_texts
-from keysieve.operators.suppress import new_findings
+from keysieve.operators.suppress import REPO, new_findings
 from keysieve.sources.rulesets import RuleSet
+from keysieve.sources.scratch import materialized
 
 BATCH = "batch_id"
 
@@ -31,8 +32,13 @@ def stream_text_findings(texts: DataFrame, ruleset: RuleSet, **options) -> DataF
 
 
 def stream_new_findings(findings: DataFrame, baseline: DataFrame) -> DataFrame:
-    """Streamed findings that the (static) baseline does not know."""
-    return new_findings(findings, baseline)
+    """Streamed findings that the (static) baseline does not know.
+
+    The keys of the baseline are written once; a micro-batch reads the table
+    instead of making the baseline again.
+    """
+    known = materialized(baseline.select("fingerprint", *(c for c in (REPO,) if c in baseline.columns)).distinct(), "baseline")
+    return new_findings(findings, known)
 
 
 def stream_earliest(findings: DataFrame, **options) -> DataFrame:

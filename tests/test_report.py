@@ -115,7 +115,7 @@ def test_order_is_total_and_bytewise(spark):
 
 def test_scan_of_texts(spark, rules, tmp_path):
     texts = spark.createDataFrame([("a", f"x\nk {KEY}\n"), ("b", "clean"), ("c", f"{KEY} # scan:ignore")], "path string, text string")
-    result = scan_texts(texts, rules, keep_on_disk=True)
+    result = scan_texts(texts, rules)
     total = result.summary.first()
     assert (total.files_scanned, total.finding_count, total.suppressed, total.verdict) == (3, 1, {"inline-ignore": 1}, 1)
     doc = document(result.json(), tmp_path)
