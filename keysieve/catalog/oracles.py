@@ -174,6 +174,10 @@ files AS (
   SELECT *, CASE WHEN s0 <> 'selected' THEN s0 WHEN root_ord > first_root THEN 'duplicate'
               WHEN error IS NOT NULL THEN 'unreadable'
               WHEN strpos(left(body, 512), chr(0)) > 0 THEN 'binary' ELSE 'scanned' END AS status FROM status1)"""
+OPEN_FILES = FILES.replace("WHEN size > 10485760 THEN 'oversized'", "").replace(
+    "WHEN strpos(left(body, 512), chr(0)) > 0 THEN 'binary'", ""
+)  # without limits
+ON_OPEN_FILES = f"WITH {LEAKS}, {OPEN_FILES}, texts AS (SELECT path, body AS text FROM files WHERE status = 'scanned'), {LINES}"
 ON_FILES = f"WITH {LEAKS}, {FILES}, texts AS (SELECT path, body AS text FROM files WHERE status = 'scanned'), {LINES}"
 COUNTERS = """count(*) FILTER (status = 'scanned') AS files_scanned,
   count(DISTINCT CASE WHEN status = 'excluded' THEN concat(root_ord, '|', excluded_by) END) AS paths_excluded,
@@ -246,7 +250,7 @@ totals AS (
 
 def clean(text: str) -> str:
     safe = f"regexp_replace({text}, '[\\x00-\\x08\\x0A-\\x1F\\x7F\\x{{2028}}\\x{{2029}}]', '�', 'g')"
-    return f"CASE WHEN length({text}) > 256 THEN substr({safe}, 1, 256) || '…' ELSE {safe} END"
+    return safe
 
 
 PLACE = f"{clean('path')} || ':' || line_no || ':' || col"
@@ -307,11 +311,19 @@ def _oracles() -> dict[str, str]:
     default = default_rules()
     out: dict[str, str] = {}
     out["leak_findings"] = f"{ON_LEAKS} SELECT {COMMIT} FROM found"
-    out["findings_sorted"] = out["leak_findings"]
+    order = 'path, line_no, col, rule_id, fingerprint'
+    out["findings_sorted"] = (
+        f"{ON_LEAKS} SELECT row_number() OVER (ORDER BY {order}) AS row_no, path AS file, CAST(line_no AS INTEGER) AS line,"
+        ' col AS "column", rule_id, fingerprint FROM found'
+    )
     out["stream_findings"] = out["leak_findings"]
     out["doc_findings"] = f"WITH {DOC_TEXTS}, {LINES}, {ctes('lines').strip()} SELECT {PLAIN} FROM found"
-    pages = "texts AS (SELECT url AS path, html AS text FROM pages)"
-    out["page_findings"] = f"WITH {pages}, {LINES}, {ctes('lines').strip()} SELECT {PLAIN} FROM found"
+    dense = (
+        "dense AS (SELECT concat('dense/', cast(cast(floor(event_id / 1000) AS bigint) AS string)) AS path, 1 AS line_no,"
+        " string_agg(line, ' ' ORDER BY event_id) AS line FROM leaks GROUP BY 1)"
+    )
+    out["dense_lines"] = f"WITH {LEAKS}, {dense}, {ctes('dense').strip()} SELECT {PLAIN} FROM found"
+    out["rules_from_table_findings"] = f"{ON_LEAKS} SELECT rule_id, count(*) AS findings FROM found GROUP BY rule_id"
     out["keyword_gate"] = (
         f"WITH {DOC_TEXTS}, {LINES} SELECT path, line_no, md5(line) AS line_md5 FROM lines WHERE {any_gate(default, 'line')}"
     )
@@ -342,11 +354,6 @@ def _oracles() -> dict[str, str]:
         f"{ON_LEAKS} SELECT content_key, count(*) AS occurrences, count(DISTINCT path) AS files FROM found GROUP BY content_key"
     )
     out["sanitized_text"] = f"SELECT page_id, {clean('html')} AS html, {clean('url')} AS url FROM pages"
-    ms = "(event_id * 7 % 5003)"
-    out["durations"] = (
-        f"SELECT event_id, CASE WHEN {ms} < 100 THEN format('{{}}ms', {ms})"
-        f" ELSE format('{{:.1f}}s', CAST({ms} // 1000 AS DOUBLE) + ({ms} % 1000) / 1000.0) END AS duration FROM events"
-    )
     out["path_excluded"] = f"{PATHS} SELECT path, excluded_by IS NOT NULL AS excluded, excluded_by FROM ex"
     out["excluded_counts"] = (
         f"{PATHS} SELECT string_split(path, '/')[1] AS service, count(DISTINCT excluded_by) AS paths_excluded,"
@@ -362,8 +369,8 @@ def _oracles() -> dict[str, str]:
     )
     out["file_statuses"] = f"WITH {LEAKS}, {FILES} SELECT CAST(root_ord AS INTEGER) AS root_ord, abs_path, path, status FROM files"
     out["file_coverage"] = f"WITH {LEAKS}, {FILES} SELECT {COUNTERS} FROM files"
-    out["file_findings"] = f"{ON_FILES}, {ctes('lines').strip()} SELECT {PLAIN} FROM found"
-    open_files = FILES.replace(f"{excluded_by('path')} AS excluded_by", "NULL AS excluded_by")
+    out["file_findings"] = f"{ON_OPEN_FILES}, {ctes('lines').strip()} SELECT {PLAIN} FROM found"
+    open_files = OPEN_FILES.replace(f"{excluded_by('path')} AS excluded_by", "NULL AS excluded_by")
     out["lines_exploded"] = (
         f"WITH {LEAKS}, {open_files}, texts AS (SELECT path, body AS text FROM files WHERE status = 'scanned'), {LINES}"
         " SELECT path, line_no, md5(line) AS line_md5 FROM lines"
@@ -390,6 +397,21 @@ def _oracles() -> dict[str, str]:
     )
     out["baseline_new"] = f"{BASELINE} SELECT {COMMIT} FROM marked WHERE NOT known"
     out["stream_new_findings"] = out["baseline_new"]
+    out["baseline_roundtrip"] = f"{ON_LEAKS} SELECT {COMMIT} FROM found WHERE NOT hidden"
+    many = (
+        "many AS (SELECT concat('r', cast(event_id % 3 AS string)) AS repo, replace(path, 'docs', 'dö' || chr(9) || 'cs') AS path,"
+        " line_no, line, commit_date, event_id FROM leaks)"
+    )
+    on_many = f"WITH {LEAKS}, {many}, {ctes('many').strip()}"
+    out["history_many_repos"] = (
+        f"{on_many} SELECT repo, path AS file, rule_id, first(secret) AS secret, fingerprint, min(commit_date) AS commit_date"
+        " FROM found WHERE NOT hidden GROUP BY repo, path, rule_id, fingerprint"
+    )
+    out["repos_summary"] = (
+        f"{on_many} SELECT (SELECT count(DISTINCT (repo, path)) FROM many) AS files_scanned,"
+        " count(DISTINCT (repo, fingerprint)) AS finding_count, count(DISTINCT (repo, path)) AS active_files"
+        " FROM found WHERE NOT hidden"
+    )
     out["baseline_known"] = f"{BASELINE} SELECT {COMMIT} FROM marked WHERE known"
     out["baseline_moved"] = (
         f"{BASELINE} SELECT {REASON} AS suppression_reason, count(*) AS findings,"
@@ -404,9 +426,15 @@ def _oracles() -> dict[str, str]:
         " CAST(0 AS BIGINT) AS verified_active, CAST(0 AS BIGINT) AS verified_inactive, CAST(0 AS BIGINT) AS verified_unknown,"
         " nullif(inline_ignore, 0) AS inline_ignore, nullif(baselined, 0) AS baseline FROM totals, counts"
     )
+    doc_lines = f"WITH {DOC_TEXTS}, {LINES}, {ctes('lines').strip()}"
+    no_sign = DOC_TEXTS.replace("FROM documents", "FROM documents WHERE NOT contains(text, '=')")
+    verdict = "CAST(CASE WHEN active > 0 THEN 1 ELSE 0 END AS INTEGER) AS verdict, active"
     out["scan_verdict"] = (
-        f"{FILE_SCAN} SELECT 'files' AS source, CAST(CASE WHEN active > 0 OR files_unreadable > 0 THEN 1 ELSE 0 END AS INTEGER)"
-        " AS verdict FROM totals, counts UNION ALL SELECT 'soft', CAST(0 AS INTEGER) UNION ALL SELECT 'pages', CAST(0 AS INTEGER)"
+        f"SELECT 'files' AS source, CAST(CASE WHEN active > 0 OR files_unreadable > 0 THEN 1 ELSE 0 END AS INTEGER) AS verdict,"
+        f" active FROM ({FILE_SCAN} SELECT active, files_unreadable FROM totals, counts) UNION ALL"
+        f" SELECT 'documents', {verdict} FROM ({doc_lines} SELECT count(*) AS active FROM found WHERE NOT hidden) UNION ALL"
+        f" SELECT 'clean', {verdict} FROM ({doc_lines.replace(DOC_TEXTS, no_sign)} SELECT count(*) AS active FROM found"
+        " WHERE NOT hidden)"
     )
     live = dedup(False, live_only=True)
     out["patch_summary"] = (
@@ -423,7 +451,7 @@ def _oracles() -> dict[str, str]:
     out["report_json"] = f"""{FILE_SCAN}
 SELECT 0 AS section, '{{"findings":[' AS value
 UNION ALL
-SELECT 1, '{{"rule_id":' || {js('rule_id')} || ',"file":' || {js('path')} || ',"line":' || line_no || ',"column":' || col
+SELECT 1, CASE WHEN row_number() OVER (ORDER BY path, line_no, col, rule_id, fingerprint) > 1 THEN ',' ELSE '' END || '{{"rule_id":' || {js('rule_id')} || ',"file":' || {js('path')} || ',"line":' || line_no || ',"column":' || col
   || ',"match":' || {js('(before || secret || after)')} || ',"secret":' || {js('secret')}
   || ',"fingerprint":' || {js('fingerprint')} || CASE WHEN heuristic THEN ',"is_heuristic":true' ELSE '' END
   || CASE WHEN reason IS NOT NULL THEN ',"suppressed":true,"suppression_reason":"' || reason || '"' ELSE '' END || '}}'
@@ -497,6 +525,10 @@ seen AS (SELECT path, strlen(body) AS size, regexp_matches(path, '/(?:vendor|nod
 SELECT path, false AS folder, CAST(size AS BIGINT) AS size FROM seen WHERE NOT pruned
 UNION ALL
 SELECT DISTINCT regexp_extract(path, '^.*?/(?:vendor|node_modules|build)'), true, CAST(-1 AS BIGINT) FROM seen WHERE pruned"""
+    out["tree_unread"] = (
+        f"WITH {LEAKS}, {FILES} SELECT path, 'unreadable' AS status, 'No such file or directory' AS error FROM rows"
+        f" WHERE error IS NULL AND first_id % 13 IN (8, 9) AND {excluded_by('path')} IS NULL"
+    )
     return out
 
 

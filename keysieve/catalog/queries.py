@@ -12,7 +12,6 @@ from keysieve.functions.globs import path_matcher
 from keysieve.functions.text import (
     content_key,
     fingerprint,
-    format_duration,
     redact,
     redact_all,
     redact_at,
@@ -24,13 +23,22 @@ from keysieve.functions.text import (
 from keysieve.operators import detect as det
 from keysieve.operators import verify
 from keysieve.operators.dedup import keep_earliest
-from keysieve.operators.files import coverage, file_status, scanned_texts
+from keysieve.operators.files import coverage, file_status, scanned_texts, unread
 from keysieve.operators.suppress import apply_baseline, known_findings, new_findings, reportable
 from keysieve.plans import report, scan
-from keysieve.sources.patches import added_lines, files_touched
-from keysieve.sources.rulesets import RuleSet, default_rules, merge_rules, read_toml, validate
-from keysieve.sources.scratch import scratch_path
-from keysieve.sources.tree import list_tree, read_tree, write_tree
+from keysieve.sources.baseline import read_baseline, write_baseline
+from keysieve.sources.patches import added_lines, files_touched, read_history
+from keysieve.sources.rulesets import (
+    RuleSet,
+    default_rules,
+    merge_rules,
+    read_toml,
+    rules_from_table,
+    rules_table,
+    validate,
+)
+from keysieve.sources.scratch import materialized, scratch_path
+from keysieve.sources.tree import list_tree, local_path, read_selected, read_tree, select_tree, write_tree
 from keysieve.streaming import incremental
 
 OVERLAY = """
@@ -79,9 +87,21 @@ def doc_findings(spark, sf_dir):
     return det.detect_texts(corpus.documents(spark, sf_dir), rules()).select(*FINDING_FIELDS)
 
 
-def page_findings(spark, sf_dir):
-    pages = corpus.texts(spark, sf_dir, "pages", "url", "html")
-    return det.detect_texts(pages, rules()).select(*FINDING_FIELDS)
+def dense_lines(spark, sf_dir):
+    """Lines with a thousand and more matches: many lines of the corpus joined into one."""
+    lines = corpus.leaks(spark, sf_dir).withColumn("part", F.floor(F.col("event_id") / 1000))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "line"))), lambda r: r["line"]), " ")
+    dense = lines.groupBy("part").agg(joined.alias("line"))
+    dense = dense.select(F.concat(F.lit("dense/"), F.col("part").cast("string")).alias("path"), F.lit(1).alias("line_no"), "line")
+    return det.detect(dense, rules()).select(*FINDING_FIELDS)
+
+
+def rules_from_table_findings(spark, sf_dir):
+    """Detection with rules that were written to a table and read back."""
+    kept = rules_from_table(materialized(rules_table(spark, rules()), "rules"))
+    stored = RuleSet(rules=kept.rules, allowlists=rules().allowlists)
+    found = det.detect(corpus.leaks(spark, sf_dir), stored)
+    return found.groupBy("rule_id").agg(F.count(F.lit(1)).alias("findings"))
 
 
 def keyword_gate(spark, sf_dir):
@@ -160,11 +180,6 @@ def sanitized_text(spark, sf_dir):
     )
 
 
-def durations(spark, sf_dir):
-    events = corpus.table(spark, sf_dir, "events")
-    return events.select("event_id", format_duration(F.col("event_id") * 7 % 5003).alias("duration"))
-
-
 def _paths(spark, sf_dir):
     return corpus.leaks(spark, sf_dir).groupBy("path").agg(F.count(F.lit(1)).alias("lines"))
 
@@ -191,13 +206,16 @@ def ignore_negation(spark, sf_dir):
     )
 
 
+LIMITS = {"max_mb": 10, "skip_binary": True}
+
+
 def file_statuses(spark, sf_dir):
-    files = file_status(corpus.files(spark, sf_dir), path_matcher())
+    files = file_status(corpus.files(spark, sf_dir), path_matcher(), **LIMITS)
     return files.select("root_ord", "abs_path", "path", "status")
 
 
 def file_coverage(spark, sf_dir):
-    return coverage(file_status(corpus.files(spark, sf_dir), path_matcher()))
+    return coverage(file_status(corpus.files(spark, sf_dir), path_matcher(), **LIMITS))
 
 
 def file_findings(spark, sf_dir):
@@ -227,6 +245,35 @@ def files_in_patches(spark, sf_dir):
     return files_touched(patches.withColumn("new_path", F.when(~gone, F.col("new_path"))))
 
 
+def _exports(spark, sf_dir):
+    """A history export per repository, written as text: equal paths and secrets in all, and names beyond ASCII."""
+    line = corpus.leaks(spark, sf_dir).withColumn("repo", F.concat(F.lit("r"), (F.col("event_id") % 3).cast("string")))
+
+    def quoted(side: str):
+        odd = F.concat(F.lit(f'"{side}/'), F.replace(F.col("path"), F.lit("docs"), F.lit("d\\303\\266\\tcs")), F.lit('"'))
+        return F.when(F.contains("path", F.lit("docs")), odd).otherwise(F.concat(F.lit(f"{side}/"), "path"))
+
+    text = F.concat(
+        F.lit("commit "), "commit_sha", F.substring("commit_sha", 1, 8), F.lit("\nAuthor: "), "commit_author",
+        F.lit(" <d@e.org>\nDate:   "), "commit_date", F.lit("\n\n    message\n\ndiff --git "), quoted("a"), F.lit(" "), quoted("b"),
+        F.lit("\n--- "), quoted("a"), F.lit("\n+++ "), quoted("b"), F.lit("\n@@ -0,0 +"), F.col("line_no").cast("string"),
+        F.lit(" @@\n+"), "line",
+    )
+    path = scratch_path(spark, "exports")
+    line.select("repo", text.alias("value")).write.partitionBy("repo").text(path)
+    return path
+
+
+def history_many_repos(spark, sf_dir):
+    result = scan.scan_patches(read_history(spark, _exports(spark, sf_dir)), rules())
+    return result.displayed.select("repo", "file", "rule_id", "secret", "fingerprint", "commit_date")
+
+
+def repos_summary(spark, sf_dir):
+    row = scan.scan_patches(read_history(spark, _exports(spark, sf_dir)), rules()).summary
+    return row.select("files_scanned", "finding_count", "active_files")
+
+
 def history_findings(spark, sf_dir):
     found = det.detect(added_lines(corpus.patches(spark, sf_dir)), rules())
     return found.select(*FINDING_FIELDS)
@@ -259,7 +306,14 @@ def inline_suppressed(spark, sf_dir):
 
 def _baseline(spark, sf_dir):
     third = corpus.leaks(spark, sf_dir).filter("event_id % 3 = 0")
-    return reportable(det.detect(third, rules()))
+    return materialized(reportable(det.detect(third, rules())), "baseline")
+
+
+def baseline_roundtrip(spark, sf_dir):
+    """A baseline written as one document and read back."""
+    path = scratch_path(spark, "baseline-document")
+    write_baseline(leak_detections(spark, sf_dir), path, format="envelope")
+    return read_baseline(spark, path, format="envelope").select(*FINDING_FIELDS)
 
 
 def baseline_marked(spark, sf_dir):
@@ -289,7 +343,7 @@ def rules_merged(spark, sf_dir):
 
 
 def findings_sorted(spark, sf_dir):
-    return report.sort_findings(leak_findings(spark, sf_dir))
+    return report.numbered(leak_findings(spark, sf_dir)).select("row_no", *report.SORT_COLUMNS)
 
 
 def _file_scan(spark, sf_dir, **options):
@@ -297,7 +351,9 @@ def _file_scan(spark, sf_dir, **options):
     baseline = det.detect_texts(
         files.filter("first_id % 3 = 0").selectExpr("path", "cast(content AS string) AS text"), rules()
     )
-    return scan.scan_files(files, rules(), baseline=reportable(baseline), duration_ms=1234, **options)
+    baseline = materialized(reportable(baseline), "baseline")
+    limited = rules().with_options(max_file_size_mb=LIMITS["max_mb"])
+    return scan.scan_files(files, limited, baseline=baseline, duration_ms=1234, skip_binary=True, **options)
 
 
 def scan_summary(spark, sf_dir):
@@ -307,11 +363,11 @@ def scan_summary(spark, sf_dir):
 
 
 def scan_verdict(spark, sf_dir):
-    dirty = _file_scan(spark, sf_dir).summary.select(F.lit("files").alias("source"), "verdict")
-    soft = _file_scan(spark, sf_dir, exit_zero=True).summary.select(F.lit("soft").alias("source"), "verdict")
-    pages = corpus.texts(spark, sf_dir, "pages", "url", "html")
-    clean = scan.scan_texts(pages, rules()).summary.select(F.lit("pages").alias("source"), "verdict")
-    return dirty.unionByName(soft).unionByName(clean)
+    dirty = _file_scan(spark, sf_dir).summary.select(F.lit("files").alias("source"), "verdict", "active")
+    texts = corpus.documents(spark, sf_dir)
+    found = scan.scan_texts(texts, rules()).summary.select(F.lit("documents").alias("source"), "verdict", "active")
+    clean = scan.scan_texts(texts.filter(~F.contains("text", F.lit("="))), rules())
+    return dirty.unionByName(found).unionByName(clean.summary.select(F.lit("clean").alias("source"), "verdict", "active"))
 
 
 def patch_summary(spark, sf_dir):
@@ -321,8 +377,7 @@ def patch_summary(spark, sf_dir):
 
 
 def report_json(spark, sf_dir):
-    lines = _file_scan(spark, sf_dir, show_suppressed=True).json()
-    return lines.select("section", F.regexp_replace("value", "^,", "").alias("value"))
+    return _file_scan(spark, sf_dir, show_suppressed=True).json().select("section", "value")
 
 
 def report_lines(spark, sf_dir):
@@ -381,7 +436,7 @@ def aws_status(spark, sf_dir):
 def _status(spark, sf_dir):
     github = github_status(spark, sf_dir).select(F.lit("github").alias("provider"), "secret_sha256", "status")
     aws = aws_status(spark, sf_dir).select(F.lit("aws").alias("provider"), "secret_sha256", "status")
-    return github.unionByName(aws.filter("secret_sha256 < 'c'"))
+    return materialized(github.unionByName(aws.filter("secret_sha256 < 'c'")), "answers")
 
 
 def verification_labels(spark, sf_dir):
@@ -462,20 +517,34 @@ def stream_dedup(spark, sf_dir):
 
 def _tree(spark, sf_dir):
     texts = corpus.files(spark, sf_dir).filter("root_ord < 2 AND error IS NULL")
-    root = scratch_path(spark, "tree-root").removeprefix("file:")
+    root = local_path(scratch_path(spark, "tree-root"))
     write_tree(texts.selectExpr("path", "cast(content AS string) AS text"), root)
     return root
 
 
 def tree_findings(spark, sf_dir):
     root = _tree(spark, sf_dir)
-    files = read_tree(spark, [root, os.path.join(root, "svc1")], path_matcher())
+    files = read_tree(spark, [root, os.path.join(root, "svc1")], path_matcher(), skip_binary=True)
     return det.detect_texts(scanned_texts(files), rules()).select(*FINDING_FIELDS)
 
 
 def tree_coverage(spark, sf_dir):
     root = _tree(spark, sf_dir)
-    return coverage(read_tree(spark, [root, os.path.join(root, "svc1")], path_matcher()))
+    return coverage(read_tree(spark, [root, os.path.join(root, "svc1")], path_matcher(), skip_binary=True))
+
+
+def tree_unread(spark, sf_dir):
+    """Files that vanish between listing and reading are named with the reason."""
+    root = _tree(spark, sf_dir)
+    chosen = select_tree(spark, [root], path_matcher())
+    gone = corpus.files(spark, sf_dir).filter("root_ord < 2 AND error IS NULL AND first_id % 13 IN (8, 9)").select("path")
+
+    def remove(rows) -> None:
+        for row in rows:
+            os.remove(os.path.join(root, row["path"]))
+
+    gone.foreachPartition(remove)
+    return unread(read_selected(chosen))
 
 
 def tree_manifest(spark, sf_dir):
@@ -486,16 +555,18 @@ def tree_manifest(spark, sf_dir):
 QUERIES = {
     name: globals()[name]
     for name in (
-        "leak_findings", "doc_findings", "page_findings", "keyword_gate", "rule_candidates",
+        "leak_findings", "doc_findings", "dense_lines", "rules_from_table_findings", "keyword_gate", "rule_candidates",
         "regex_matches", "entropy_gate", "entropy_off", "secret_entropy", "allowlist_filtered",
-        "redacted", "fingerprints", "content_keys", "sanitized_text", "durations", "path_excluded",
+        "redacted", "fingerprints", "content_keys", "sanitized_text", "path_excluded",
         "excluded_counts", "ignore_negation", "file_statuses", "file_coverage", "file_findings",
         "lines_exploded", "document_lines", "patch_lines", "files_in_patches", "history_findings",
-        "staged_findings", "history_dedup", "history_dedup_strict", "inline_suppressed",
+        "staged_findings", "history_dedup", "history_dedup_strict", "history_many_repos", "repos_summary",
+        "inline_suppressed", "baseline_roundtrip",
         "baseline_marked", "baseline_new", "baseline_known", "baseline_moved", "rules_merged",
         "findings_sorted", "scan_summary", "scan_verdict", "patch_summary", "report_json",
         "report_lines", "history_report", "probe_set", "verification_labels", "verification_tally",
         "github_status", "aws_status", "aws_pairing", "aws_key_pairs", "stream_findings",
         "stream_new_findings", "stream_dedup", "tree_findings", "tree_coverage", "tree_manifest",
+        "tree_unread",
     )
 }
