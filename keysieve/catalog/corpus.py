@@ -7,6 +7,8 @@ All credentials are made up.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
 from keysieve.sources.scratch import materialized
@@ -70,7 +72,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def stored(spark: SparkSession, name: str, sf_dir: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """A derived table, written once per session and folder, so that queries time their own work."""
+    known = vars(spark).setdefault("_keysieve_corpus", {})
+    if (name, sf_dir) not in known:
+        known[name, sf_dir] = materialized(make(), name)
+    return known[name, sf_dir]
+
+
 def leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of the corpus as a stored table."""
+    return stored(spark, "leaks", sf_dir, lambda: _leaks(spark, sf_dir))
+
+
+def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = spread(table(spark, sf_dir, "events").select("event_id", "user_id", "ts"))
     return spark.sql(LEAKS_SQL.replace("FROM events", "FROM {events}"), events=events)
 
@@ -136,6 +151,10 @@ DUCKDB_PATCHES = PATCHES_SQL.replace("\\\\", "\\")
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A manifest with content, as a stored table; some files are also seen from a second root."""
+    return stored(spark, "manifest", sf_dir, lambda: _files(spark, sf_dir))
+
+
+def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.sql(SPARK_FILES.replace("FROM leaks", "FROM {leaks}"), leaks=leaks(spark, sf_dir))
     rows = rows.selectExpr(
         "root_ord", "'/data' AS root", "abs_path", "path", "first_id", "size",
@@ -146,8 +165,13 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
         "2 AS root_ord", "concat('/data/', split(path, '/')[0]) AS root", "abs_path",
         "substring(path, length(split(path, '/')[0]) + 2) AS path", "first_id", "size", "content", "error",
     )
-    return materialized(rows.unionByName(second), "manifest")
+    return rows.unionByName(second)
 
 
 def patches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Patch files of the corpus as a stored table."""
+    return stored(spark, "patches", sf_dir, lambda: _patches(spark, sf_dir))
+
+
+def _patches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(SPARK_PATCHES.replace("FROM leaks", "FROM {leaks}"), leaks=leaks(spark, sf_dir))
