@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from keysieve.llm.common import fresh, held_out, per_batch, written
 
 THRESHOLD = 0.3
-POOLING = 0.3
+POOLING = 0.7
 SPHERING = 0.02
 BATCH_ROWS = 512
 STATISTICS = (
