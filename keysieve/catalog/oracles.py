@@ -7,9 +7,9 @@ secret inside the match are cut by hand.
 from __future__ import annotations
 
 from keysieve.catalog.corpus import DUCKDB_FILES, DUCKDB_PATCHES, LEAKS_SQL
-from keysieve.catalog.queries import merged_rules
+from keysieve.catalog.queries import OWN_RULES, merged_rules
 from keysieve.operators.verify import AWS_REJECTIONS, PROVIDERS, SECRET_KEY, SECRET_KEY_HINT
-from keysieve.sources.rulesets import RuleSet, default_rules
+from keysieve.sources.rulesets import RuleSet, default_rules, rules_from_text
 
 # The two rules with text around the secret, cut by hand.
 BY_HAND = {
@@ -34,6 +34,8 @@ def cut(rule) -> tuple[str, str, str, str]:
         return (
             r"(id(?:[ x]+AKIA[A-Z0-9]{16})*[ x]+AKIA)([A-Z0-9]{16})()", r"\1", r"\2", r"\3",
         )
+    if rule.id == "own-aws":
+        return r"(id )(AKIA[A-Z0-9]{16})()", r"\1", r"\2", r"\3"
     if "(" in rule.regex.replace("(?", "") and rule.group == 1:
         return rule.regex, "", r"\1", ""
     return f"({rule.regex})", "", r"\1", ""
@@ -529,6 +531,18 @@ SELECT DISTINCT regexp_extract(path, '^.*?/(?:vendor|node_modules|build)'), true
         f"WITH {LEAKS}, {FILES} SELECT path, 'unreadable' AS status, 'No such file or directory' AS error FROM rows"
         f" WHERE error IS NULL AND first_id % 13 IN (8, 9) AND {excluded_by('path')} IS NULL"
     )
+    kept = f"SELECT path, body AS text FROM rows WHERE error IS NULL AND NOT (({last}) OR {in_svc3})"
+    out["tree_ignored"] = (
+        f"WITH {LEAKS}, rows AS ({DUCKDB_FILES}), texts AS ({kept}), {LINES}, {ctes('lines').strip()}"
+        f" SELECT {PLAIN} FROM found WHERE NOT hidden"
+    )
+    sets = {"built-in": default, "project": rules_from_text(OWN_RULES), "explicit": merged_rules()}
+    out["project_rules"] = " UNION ALL ".join(
+        f"SELECT * FROM (WITH {LEAKS}, {ctes('leaks', rules).strip()}"
+        f" SELECT {q(name)} AS source, rule_id, count(*) AS findings FROM found GROUP BY rule_id)"
+        for name, rules in sets.items()
+    )
+    out["commit_times"] = "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS commit_date FROM events"
     return out
 
 

@@ -15,6 +15,7 @@ from keysieve.functions.text import (
     redact,
     redact_all,
     redact_at,
+    rfc3339,
     sanitize_text,
     secret_hash,
     shannon_entropy,
@@ -29,8 +30,10 @@ from keysieve.plans import report, scan
 from keysieve.sources.baseline import read_baseline, write_baseline
 from keysieve.sources.patches import added_lines, files_touched, read_history
 from keysieve.sources.rulesets import (
+    PROJECT_FILE,
     RuleSet,
     default_rules,
+    load_rules,
     merge_rules,
     read_toml,
     rules_from_table,
@@ -38,7 +41,7 @@ from keysieve.sources.rulesets import (
     validate,
 )
 from keysieve.sources.scratch import materialized, scratch_path
-from keysieve.sources.tree import list_tree, local_path, read_selected, read_tree, select_tree, write_tree
+from keysieve.sources.tree import IGNORE_FILE, list_tree, local_path, read_selected, read_tree, select_tree, write_tree
 from keysieve.streaming import incremental
 
 OVERLAY = """
@@ -63,6 +66,13 @@ keywords = ["id "]
 description = "ids of one kind"
 regexes = ['^AKIA[A-F]']
 """
+OWN_RULES = """
+[[rules]]
+id = "own-aws"
+description = "ids after a word"
+regex = 'id (AKIA[A-Z0-9]{16})'
+keywords = ["id AKIA"]
+"""
 IGNORES = ("# generated", "**/*.env", "!**/config/**/*.env", "svc3/**", "!svc3/src/**", "docs/", "**/lib/d[0-9]*/_f?.*")
 FINDING_FIELDS = [c for c in det.FINDING_COLUMNS if c != "verification"]
 
@@ -552,6 +562,40 @@ def tree_manifest(spark, sf_dir):
     return entries.select("path", "folder", F.coalesce("size", F.lit(-1)).alias("size"))
 
 
+def _put(root: str, name: str, text: str) -> None:
+    with open(os.path.join(root, name), "w", encoding="utf-8") as file:
+        file.write(text)
+
+
+def tree_ignored(spark, sf_dir):
+    """A tree with an ignore file at its root, every file scanned whole."""
+    root = _tree(spark, sf_dir)
+    _put(root, IGNORE_FILE, "\n".join(IGNORES) + "\n")
+    found = scan.scan_tree(spark, [root], rules(), default_excludes=False)
+    return found.displayed.select(*FINDING_FIELDS)
+
+
+def project_rules(spark, sf_dir):
+    """Which rules apply: an explicit file, else the project's, which need not extend the built-in ones."""
+    root = local_path(scratch_path(spark, "project"))
+    os.makedirs(root)
+    built_in = load_rules(root=root)
+    _put(root, PROJECT_FILE, OWN_RULES)
+    _put(root, "other.toml", OVERLAY)
+    sets = {"built-in": built_in, "project": load_rules(root=root), "explicit": load_rules(os.path.join(root, "other.toml"), root=root)}
+    lines = corpus.leaks(spark, sf_dir)
+    each = [
+        det.detect(lines, ruleset).groupBy("rule_id").agg(F.count(F.lit(1)).alias("findings")).select(F.lit(name).alias("source"), "*")
+        for name, ruleset in sets.items()
+    ]
+    return each[0].unionByName(each[1]).unionByName(each[2])
+
+
+def commit_times(spark, sf_dir):
+    events = corpus.table(spark, sf_dir, "events")
+    return events.select("event_id", rfc3339(F.col("ts")).alias("commit_date"))
+
+
 QUERIES = {
     name: globals()[name]
     for name in (
@@ -567,6 +611,6 @@ QUERIES = {
         "report_lines", "history_report", "probe_set", "verification_labels", "verification_tally",
         "github_status", "aws_status", "aws_pairing", "aws_key_pairs", "stream_findings",
         "stream_new_findings", "stream_dedup", "tree_findings", "tree_coverage", "tree_manifest",
-        "tree_unread",
+        "tree_unread", "tree_ignored", "project_rules", "commit_times",
     )
 }
