@@ -170,8 +170,8 @@ class PageParser(HTMLParser):
             self.pop_to(open_p)
         elif tag in SAME_CLOSES and (same := self.open_above(SAME_CLOSES[tag], LISTS)):
             self.pop_to(same)
-        if tag in VOID:
-            return
+        if tag in VOID or (tag in INLINE and self.top.depth > DEEPEST):
+            return  # inline elements that are never closed must not pile up
         named = next((v for n, v in attrs if n == "class" and v), None) or next((v for n, v in attrs if n == "id" and v), "")
         label = f"{tag}.{NUMBERS.sub('0', ' '.join(sorted(named.split())))}" if named else tag
         label = label.replace("(", "").replace(")", "").replace(",", "")

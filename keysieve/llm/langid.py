@@ -147,7 +147,7 @@ def fit_hierarchy(x: np.ndarray, language: list[str]) -> Hierarchy:
 
 
 def training_rows(documents: DataFrame, per_language: int) -> DataFrame:
-    """``(language, x)`` of a sample: about ``per_language`` texts for each language, or all.
+    """``(language, x)`` of a sample, vectors packed as 32-bit floats: about ``per_language`` texts for each language, or all.
 
     Which texts are in it depends on a hash of the text alone.
     """
@@ -157,12 +157,12 @@ def training_rows(documents: DataFrame, per_language: int) -> DataFrame:
     share = F.lit(0.0)
     for name, n in sorted(counts.items()):
         share = F.when(F.col("lang") == name, F.lit(min(1.0, per_language / n))).otherwise(share)
-    schema = "language string, x array<float>"
+    schema = "language string, x binary"
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows = [(n, v) for n, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+        rows = [(n, v.tobytes()) for n, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
                 if (v := vector(t)) is not None]
-        columns = [pa.array([n for n, _ in rows], pa.string()), pa.array([v for _, v in rows], pa.list_(pa.float32()))]
+        columns = [pa.array([n for n, _ in rows], pa.string()), pa.array([v for _, v in rows], pa.binary())]
         return pa.RecordBatch.from_arrays(columns, ["language", "x"])
 
     return known.where(place < share).select("lang", "text").mapInArrow(per_batch(work, BATCH_ROWS), schema)
@@ -175,10 +175,11 @@ def fit(documents: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Hierar
     without a language or a letter teach nothing.
     """
     rows = training_rows(documents, per_language).collect()
-    rows.sort(key=lambda r: (r["language"], r["x"]))
+    rows.sort(key=lambda r: (r["language"], bytes(r["x"])))
     if not rows:
         return Hierarchy([], np.zeros((0, (1 << BUCKETS_LOG2) + 1)), [], [])
-    return fit_hierarchy(np.array([r["x"] for r in rows], dtype=np.float32), [r["language"] for r in rows])
+    x = np.array([np.frombuffer(r["x"], dtype=np.float32) for r in rows])
+    return fit_hierarchy(x, [r["language"] for r in rows])
 
 
 def identify(documents: DataFrame, model: Hierarchy) -> DataFrame:
