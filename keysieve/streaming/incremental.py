@@ -65,11 +65,29 @@ def write_changes(earliest: DataFrame, path: str, checkpoint: str, **trigger) ->
     return writer.option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
+def _newest(changes: DataFrame) -> DataFrame:
+    """The last change of each fingerprint, per repository if there are several."""
+    key = [c for c in (REPO, "fingerprint") if c in changes.columns]
+    columns = [c for c in changes.columns if c not in (BATCH, *key)]
+    newest = F.max_by(F.struct(*columns), F.col(BATCH)).alias("row")
+    return changes.groupBy(*key).agg(newest).select(*key, "row.*")
+
+
 def latest_rows(spark: SparkSession, path: str) -> DataFrame:
     """The current row of each fingerprint from the changes written so far."""
+    rows = _newest(spark.read.parquet(path))
+    return rows.select(*FINDING_COLUMNS, *(c for c in (REPO,) if c in rows.columns))
+
+
+def compact_changes(spark: SparkSession, path: str, into: str) -> None:
+    """The current rows as a single folder below ``into``, with the number of the last batch.
+
+    Every batch adds a folder, so a long-running stream should be moved now and
+    then: stop it, compact, and go on writing and reading below ``into`` with the
+    same checkpoint. What is read then is one row per fingerprint, and the changes
+    since.
+    """
     changes = spark.read.parquet(path)
-    columns = [c for c in changes.columns if c not in (BATCH, "fingerprint")]
-    newest = F.max_by(F.struct(*columns), F.col(BATCH)).alias("row")
-    rows = changes.groupBy("fingerprint").agg(newest)
-    picked = [F.col(c) if c == "fingerprint" else F.col(f"row.{c}").alias(c) for c in FINDING_COLUMNS]
-    return rows.select(*picked)
+    last = changes.agg(F.max(BATCH).alias("last")).first()["last"]
+    if last is not None:
+        _newest(changes).write.parquet(f"{into}/{BATCH}={last}")

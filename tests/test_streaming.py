@@ -35,6 +35,23 @@ def test_late_earlier_commit_updates_the_row(spark, rules, tmp_path):
         assert sorted(latest.values()) == ([1, 42] if number == 0 else [1, 7])
     batch = keep_earliest(detect(spark.read.schema(SCHEMA).parquet(source), rules, keep=("seq",)))
     assert same(I.latest_rows(spark, out), batch)
+    moved = str(tmp_path / "moved")
+    I.compact_changes(spark, out, moved)
+    assert same(I.latest_rows(spark, moved), batch) and spark.read.parquet(moved).count() == batch.count()
+    spark.createDataFrame([row(9, 3, "2022-01-01")], SCHEMA).coalesce(1).write.mode("append").parquet(source)
+    found = I.stream_findings(spark.readStream.schema(SCHEMA).parquet(source), rules, keep=("seq",))
+    I.write_changes(I.stream_earliest(found), moved, str(tmp_path / "progress"), availableNow=True).awaitTermination()
+    assert sorted(r.line for r in I.latest_rows(spark, moved).collect()) == [1, 3]
+
+
+def test_streams_of_several_repositories(spark, rules, tmp_path):
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    frame = spark.createDataFrame([row(1, 4, "2024-01-01"), row(2, 5, "2024-01-02")], SCHEMA).selectExpr("*", "concat('r', seq) AS repo")
+    frame.write.parquet(source)
+    stream = spark.readStream.schema(frame.schema).parquet(source)
+    earliest = I.stream_earliest(I.stream_findings(stream, rules, keep=("seq", "repo")))
+    I.write_changes(earliest, out, str(tmp_path / "progress"), availableNow=True).awaitTermination()
+    assert sorted((r.repo, r.line) for r in I.latest_rows(spark, out).collect()) == [("r1", 4), ("r2", 5)]
 
 
 def test_appended_findings_and_texts(spark, rules, tmp_path):
