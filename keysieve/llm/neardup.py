@@ -13,9 +13,10 @@ With 40 bands of 4, a pair of similarity 0.8 shares none with probability 7e-10.
 Documents with the same set are one class from the start. Every member of a bucket
 is compared with the bucket's smallest member, on whole sets of whole texts, and
 components are formed. Where the other members of a bucket are still in different
-components, all of their pairs across components are compared too, in cells of
-bounded size that give only the links they find. So no pair that shares a bucket
-is left open, and a bucket whose members hang together costs one comparison each.
+components, those outside the most frequent one are compared with it and with each
+other, once for all buckets of that component, in cells of bounded size that give
+only the links they find. So no pair that shares a bucket is left open, and a
+bucket whose members hang together costs one comparison each.
 """
 
 from __future__ import annotations
@@ -180,7 +181,7 @@ def checked(pairs: DataFrame, texts: DataFrame, near: Near) -> DataFrame:
 
 
 def links_in_cell(near: Near):
-    """A function on the members of one cell: links between different components, enough to join them.
+    """A function on the members of one cell: pairs of components that hang together, enough to join them.
 
     Sides: 0 is compared with 1; 2 is compared with every other 2.
     """
@@ -189,8 +190,8 @@ def links_in_cell(near: Near):
         import pandas as pd
 
         sets = [shingles(t, near.words) for t in cell["text"]]
-        ids, root, side = cell["id"].tolist(), cell["label"].tolist(), cell["side"].tolist()
-        order = sorted(range(len(ids)), key=lambda i: len(sets[i]))
+        root, side = cell["label"].tolist(), cell["side"].tolist()
+        order = sorted(range(len(root)), key=lambda i: len(sets[i]))
         parent = {label: label for label in root}
 
         def top(label):
@@ -209,62 +210,62 @@ def links_in_cell(near: Near):
                 x, y = top(root[i]), top(root[j])
                 if x != y and similar(sets[i], sets[j], near.percent):
                     parent[x] = y
-                    found.append((ids[i], ids[j]))
+                    found.append((root[i], root[j]))
         return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
 
     return run
 
 
 def open_members(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """``(bucket, id, label)`` of buckets whose members, apart from the leader, are not in one component.
+    """``(home, id, label)`` of members that are not in the component most frequent in their bucket, and of those that are.
 
-    Buckets of the same members are one.
+    Only buckets are looked at whose members, apart from the leader, are in several
+    components. ``home`` is that most frequent component. What many buckets say of
+    the same two documents is said once.
     """
     rest = members.where("id <> leader").join(labels, "id", "left")
     rest = rest.select("bucket", "id", F.coalesce("component", "id").alias("label"))
-    mark = F.sum(F.xxhash64("id").cast("decimal(38,0)"))
-    buckets = rest.groupBy("bucket").agg(
-        F.min("label").alias("low"), F.max("label").alias("high"), mark.alias("mark"), F.count(F.lit(1)).alias("k"), F.min("id").alias("first")
-    )
-    buckets = buckets.where("low <> high").groupBy("mark", "k", "first").agg(F.min("bucket").alias("bucket"))
-    return rest.join(buckets.select("bucket", "k"), "bucket")
+    counts = rest.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("c"))
+    homes = counts.groupBy("bucket").agg(F.max(F.struct("c", "label")).alias("top"), F.count(F.lit(1)).alias("components"))
+    homes = homes.where("components > 1").select("bucket", F.col("top.label").alias("home"))
+    return rest.join(homes, "bucket").select("home", "id", "label").distinct()
 
 
 def cells(members: DataFrame) -> DataFrame:
-    """``(bucket, kind, i, j, id, label, side)``: members dealt into cells that cover all pairs across components.
+    """``(home, kind, i, j, id, label, side)``: members dealt into cells that cover all pairs across components.
 
-    A small bucket is one cell. In a large one, those of its most frequent component
-    are on one side and meet all others; the others also meet each other.
+    The members of a home component are on one side and meet all others; the others
+    also meet each other. What fits into one cell is one.
     """
-    small = members.where(F.col("k") <= CELL).select(
-        "bucket", F.lit(0).alias("kind"), F.lit(0).alias("i"), F.lit(0).alias("j"), "id", "label", F.lit(2).alias("side")
+    at_home = F.col("label") == F.col("home")
+    sizes = members.groupBy("home").agg(F.count_if(at_home).alias("own"), F.count_if(~at_home).alias("far"))
+    dealt = members.join(sizes, "home")
+    small = dealt.where(F.col("own") + F.col("far") <= 2 * CELL).select(
+        "home", F.lit(0).alias("kind"), F.lit(0).alias("i"), F.lit(0).alias("j"), "id", "label", F.lit(2).alias("side")
     )
-    large = members.where(F.col("k") > CELL)
-    counts = large.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("c"))
-    home = counts.groupBy("bucket").agg(
-        F.max(F.struct("c", "label")).alias("top"), F.sum("c").alias("all")
-    ).select("bucket", F.col("top.label").alias("home"), F.ceil(F.col("top.c") / CELL).cast("int").alias("homes"),
-             F.greatest(F.ceil((F.col("all") - F.col("top.c")) / CELL), F.lit(1)).cast("int").alias("others"))
-    large = large.join(home, "bucket").withColumn("at_home", F.col("label") == F.col("home"))
+    homes = F.greatest(F.ceil(F.col("own") / CELL), F.lit(1)).cast("int")
+    others = F.greatest(F.ceil(F.col("far") / CELL), F.lit(1)).cast("int")
+    large = dealt.where(F.col("own") + F.col("far") > 2 * CELL)
+    large = large.select("home", "id", "label", homes.alias("homes"), others.alias("others"), at_home.alias("at_home"))
     block = F.pmod(F.xxhash64("id"), F.when(F.col("at_home"), F.col("homes")).otherwise(F.col("others"))).cast("int")
     large = large.withColumn("block", block)
     each_other, each_home = F.sequence(F.lit(0), F.col("others") - 1), F.sequence(F.lit(0), F.col("homes") - 1)
-    at_home = large.where("at_home").select(
-        "bucket", F.lit(1).alias("kind"), F.col("block").alias("i"), F.explode(each_other).alias("j"), "id", "label", F.lit(0).alias("side")
+    own = large.where("at_home").select(
+        "home", F.lit(1).alias("kind"), F.col("block").alias("i"), F.explode(each_other).alias("j"), "id", "label", F.lit(0).alias("side")
     )
     away = large.where("NOT at_home")
     meeting = away.select(
-        "bucket", F.lit(1).alias("kind"), F.explode(each_home).alias("i"), F.col("block").alias("j"), "id", "label", F.lit(1).alias("side")
+        "home", F.lit(1).alias("kind"), F.explode(each_home).alias("i"), F.col("block").alias("j"), "id", "label", F.lit(1).alias("side")
     )
-    among = away.select("bucket", "block", F.explode(each_other).alias("o"), "id", "label").select(
-        "bucket", F.lit(2).alias("kind"), F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "id", "label",
+    among = away.select("home", "block", F.explode(each_other).alias("o"), "id", "label").select(
+        "home", F.lit(2).alias("kind"), F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "id", "label",
         F.lit(2).alias("side"),
     )
-    return small.unionByName(at_home).unionByName(meeting).unionByName(among)
+    return small.unionByName(own).unionByName(meeting).unionByName(among)
 
 
 def classes(documents: DataFrame, near: Near) -> tuple[DataFrame, DataFrame]:
-    """``(doc_id, n, d1, d2)`` of all rows, and ``(d1, d2, id, component)`` of all sets that occur."""
+    """``(doc_id, n, d1, d2)`` of all rows, and ``(d1, d2, component)`` of all sets that occur."""
     signed = written(signatures(documents.select("doc_id", "text"), near), "neardup-signatures")
     usable = signed.where("n > 0 AND doc_id IS NOT NULL")
     sets = usable.groupBy("d1", "d2").agg(
@@ -286,14 +287,16 @@ def classes(documents: DataFrame, near: Near) -> tuple[DataFrame, DataFrame]:
     pairs = members.where((F.col("id") != F.col("leader")) & size).select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
     links = written(checked(pairs, texts, near), "neardup-links")
     labels = written(components(links), "neardup-labels")
+    joined = sets.select("d1", "d2", "id").join(labels, "id", "left")
+    joined = joined.select("d1", "d2", F.coalesce("component", "id").alias("label"))
     left = written(open_members(members, labels), "neardup-open")
     if not left.isEmpty():
         met = cells(left).join(texts, "id")
-        more = met.groupBy("bucket", "kind", "i", "j").applyInPandas(links_in_cell(near), "a long, b long")
-        both = labels.select(F.col("id").alias("a"), F.col("component").alias("b")).union(written(more, "neardup-more"))
-        labels = written(components(both), "neardup-labels")
-    joined = sets.select("d1", "d2", "id").join(labels, "id", "left")
-    return signed.select("doc_id", "n", "d1", "d2"), joined.select("d1", "d2", "id", F.coalesce("component", "id").alias("component"))
+        more = met.groupBy("home", "kind", "i", "j").applyInPandas(links_in_cell(near), "a long, b long")
+        merged = components(written(more, "neardup-more")).withColumnRenamed("id", "label")  # a graph of components
+        joined = joined.join(merged, "label", "left")
+        joined = joined.select("d1", "d2", F.coalesce("component", "label").alias("label"))
+    return signed.select("doc_id", "n", "d1", "d2"), joined.select("d1", "d2", F.col("label").alias("component"))
 
 
 def components_of(documents: DataFrame, near: Near = Near()) -> DataFrame:

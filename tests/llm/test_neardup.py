@@ -91,12 +91,12 @@ def test_sketch_is_filled_and_concentrated():
 
 def test_cells_meet_every_pair_across_components(spark, monkeypatch):
     monkeypatch.setattr(neardup, "CELL", 3)
-    rows = [(1, i, 100 if i < 10 else 200 + i % 4, 17) for i in range(17)] + [(2, 50, 50, 2), (2, 51, 51, 2)]
-    members = spark.createDataFrame(rows, "bucket long, id long, label long, k long")
+    rows = [(100, i, 100 if i < 10 else 200 + i % 4) for i in range(17)] + [(50, 50, 50), (50, 51, 51)]
+    members = spark.createDataFrame(rows, "home long, id long, label long")
     met = set()
     groups = {}
     for r in neardup.cells(members).collect():
-        groups.setdefault((r.bucket, r.kind, r.i, r.j), []).append((r.id, r.label, r.side))
+        groups.setdefault((r.home, r.kind, r.i, r.j), []).append((r.id, r.label, r.side))
     for cell in groups.values():
         assert len(cell) <= 17
         for a, b in combinations(sorted(cell), 2):
