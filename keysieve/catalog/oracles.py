@@ -11,7 +11,8 @@ from keysieve.catalog.queries import OWN_RULES, merged_rules
 from keysieve.operators.verify import AWS_REJECTIONS, PROVIDERS, SECRET_KEY, SECRET_KEY_HINT
 from keysieve.sources.rulesets import RuleSet, default_rules, rules_from_text
 
-# The two rules with text around the secret, cut by hand.
+# The patterns of two rules with text around the secret, with captures
+# for what stands before and after it added, so that SQL can tell the three apart.
 BY_HAND = {
     "generic-api-key": (
         r"""(?i)((?:access|auth|(?-i:[Aa]pi|API)|credential|creds|key|passw(?:or)?d|secret|token)[\w.-]{0,50}?(?:[ \t\w.-]{0,20})[\s"']{0,3}(?:=|>|:{1,3}=|\|\||:|=>|\?=|,)[\x60"'\s=]{0,5})([\w.=-]{10,150}|[a-z0-9][a-z0-9+/]{11,}={0,3})((?:[\x60"'\s;]|\\[nr]|$))""",
@@ -137,6 +138,7 @@ lines AS (
 
 # --- paths ------------------------------------------------------------------
 
+# The names that are excluded by default, as one pattern each.
 EXCLUDED_FOLDER = r"^(?:.*/)?(?:vendor|node_modules|dist|build)(?:/.*)?$"
 EXCLUDED_FILE = (
     r"^(?:.*/)?(?:[^/]*\.min\.js|[^/]*\.min\.css|[^/]*\.map|package-lock\.json|npm-shrinkwrap\.json|yarn\.lock"

@@ -169,16 +169,16 @@ def normal_path(path: Column) -> Column:
     return F.when(F.startswith(slashed, F.lit("./")), F.substr(slashed, F.lit(3))).otherwise(slashed)
 
 
+def parse_pattern(line: str) -> tuple[str, bool]:
+    """A line of an ignore file as a glob and whether it takes back earlier ones."""
+    negated = line.startswith("!")
+    return line[negated:].strip(), negated
+
+
 def path_matcher(lines: Iterable[str] = (), defaults: bool = True) -> PathMatcher:
     """Default globs, then the given ignore lines; a malformed line is an error."""
-    patterns = [(glob, False) for glob in DEFAULT_EXCLUDES] if defaults else []
-    for line in lines:
-        glob = line.strip()
-        if not glob or glob.startswith("#"):
-            continue
-        negated = glob.startswith("!")
-        glob = glob[negated:].strip()
-        if glob:
-            glob_pattern(glob)
-            patterns.append((glob, negated))
-    return PathMatcher(tuple(patterns))
+    own = [parse_pattern(line) for line in ignore_lines("\n".join(lines))]
+    patterns = [(glob, negated) for glob, negated in own if glob]
+    for glob, _ in patterns:
+        glob_pattern(glob)
+    return PathMatcher((*((glob, False) for glob in DEFAULT_EXCLUDES if defaults), *patterns))

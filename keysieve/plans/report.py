@@ -19,6 +19,17 @@ SUMMARY_ORDER = (
 ALWAYS_SHOWN = ("files_scanned", "finding_count", "duration_ms")
 
 
+# The sentences of the text report.
+FOUND = "⚠ %d finding(s) in %d file(s) · scanned %d files · %s"
+CLEAN = "✓ no findings · scanned %d files · %s"
+OVERSIZED, BINARY, SKIPPED = "%d over --max-file-size", "%d binary", "  (skipped: %s)"
+UNREAD = "⚠ %d file(s) could not be scanned — see warnings above; this scan is NOT complete"
+HIDDEN, VERIFIED = "  (%d %s)", "Verified: %d active, %d inactive, %d unknown"
+COMMIT = "    ↳ commit %s by %s on %s"
+ADVICE = "    ↳ suppress: add `// %s` on this line · fingerprint: %s"
+INFORMATIONAL = "Suppressed (informational):"
+
+
 def sort_findings(findings: DataFrame) -> DataFrame:
     """The one total order of findings; text compares bytewise. Repositories come one after another."""
     return findings.orderBy(*(c for c in ("repo",) if c in findings.columns), *SORT_COLUMNS)
@@ -140,14 +151,8 @@ def _hints(directive: str) -> list[Column]:
     known = F.coalesce("commit_sha", F.lit("")) != ""
     by = F.coalesce("commit_author", F.lit(""))
     on = F.coalesce("commit_date", F.lit(""))
-    commit = F.concat(
-        F.lit("    ↳ commit "), sanitize_text(F.col("commit_sha")), F.lit(" by "),
-        sanitize_text(by), F.lit(" on "), sanitize_text(on),
-    )
-    advice = F.concat(
-        F.lit(f"    ↳ suppress: add `// {directive}` on this line · fingerprint: "),
-        sanitize_text(F.col("fingerprint")),
-    )
+    commit = F.format_string(COMMIT, *(sanitize_text(c) for c in (F.col("commit_sha"), by, on)))
+    advice = F.format_string(ADVICE, F.lit(directive), sanitize_text(F.col("fingerprint")))
     return [F.when(known & ((by != "") | (on != "")), commit), advice]
 
 
@@ -162,36 +167,32 @@ def _suppressed_line(repo: bool = False) -> Column:
 def summary_lines(totals: DataFrame) -> DataFrame:
     """The closing lines of the text report, in order."""
     found = F.format_string(
-        "⚠ %d finding(s) in %d file(s) · scanned %d files · %s",
-        "active", "active_files", "files_scanned", format_duration(F.col("duration_ms")),
+        FOUND, "active", "active_files", "files_scanned", format_duration(F.col("duration_ms")),
     )
     clean = F.format_string(
-        "✓ no findings · scanned %d files · %s", "files_scanned", format_duration(F.col("duration_ms"))
+        CLEAN, "files_scanned", format_duration(F.col("duration_ms"))
     )
     skipped = F.concat_ws(
         ", ",
-        F.when(F.col("files_oversized") > 0, F.format_string("%d over --max-file-size", "files_oversized")),
-        F.when(F.col("files_binary") > 0, F.format_string("%d binary", "files_binary")),
-    )
-    unread = F.format_string(
-        "⚠ %d file(s) could not be scanned — see warnings above; this scan is NOT complete",
-        "files_unreadable",
+        F.when(F.col("files_oversized") > 0, F.format_string(OVERSIZED, "files_oversized")),
+        F.when(F.col("files_binary") > 0, F.format_string(BINARY, "files_binary")),
     )
+    unread = F.format_string(UNREAD, "files_unreadable")
     verified = ("verified_active", "verified_inactive", "verified_unknown")
     lines = [
         F.when(F.col("active") > 0, found).otherwise(clean),
-        F.when(skipped != "", F.concat(F.lit("  (skipped: "), skipped, F.lit(")"))),
+        F.when(skipped != "", F.format_string(SKIPPED, skipped)),
         F.when(F.col("files_unreadable") > 0, unread),
         *(
             F.when(
                 F.try_element_at("suppressed", F.lit(reason)) > 0,
-                F.format_string("  (%d %s)", F.try_element_at("suppressed", F.lit(reason)), F.lit(reason)),
+                F.format_string(HIDDEN, F.try_element_at("suppressed", F.lit(reason)), F.lit(reason)),
             )
             for reason in REASONS
         ),
         F.when(
             sum((F.col(c) for c in verified[1:]), F.col(verified[0])) > 0,
-            F.format_string("Verified: %d active, %d inactive, %d unknown", *verified),
+            F.format_string(VERIFIED, *verified),
         ),
     ]
     return totals.select(F.posexplode(F.array(*lines)).alias("part", "value")).filter("value IS NOT NULL")
@@ -227,7 +228,7 @@ def report_lines(
         hidden = findings.filter(~_live())
         first = hidden.limit(1).select(
             F.lit(1).alias("section"), *keyless,
-            F.posexplode(F.array(F.lit(""), F.lit("Suppressed (informational):"))).alias("part", "value"),
+            F.posexplode(F.array(F.lit(""), F.lit(INFORMATIONAL))).alias("part", "value"),
         )
         report = report.unionByName(first).unionByName(lines(hidden, 2, [_suppressed_line(repo)]))
     if not quiet:
