@@ -36,7 +36,7 @@ from keysieve.llm.common import per_batch, worker_memory
 
 WINDOW = 8
 AVERAGE_CHUNK = 4
-REMEMBERED = 250_000
+REMEMBERED = 120_000
 LONGEST_REMEMBERED = 512
 BATCH_ROWS = 512
 BLOCK = 1 << 22
