@@ -5,8 +5,9 @@ shape, without texts, is its skeleton; repeated siblings of the same shape count
 once. The most frequent skeleton of a host is its reference, and every other one
 is aligned with it by simple tree matching, the dynamic programme that maps most
 nodes while it keeps parents and the order of siblings. So each text block of a
-page gets a node of the host's template. A node whose text is the same on nearly
-all distinct pages of the host is template; a node whose text varies is a slot.
+page gets a node of the host's template. Every text that a node has on nearly all
+distinct pages of the host is template, also if repeated siblings give the node
+several; what varies is a slot.
 
 Slots are then told apart. What stands in navigation, headers, footers, sidebars,
 notices, adverts, forms or reader comments by tag, role or class never is main
@@ -399,13 +400,10 @@ def wrappers(parsed: DataFrame, aligned: DataFrame) -> DataFrame:
     blocks = blocks.select("host", "shape", "page", F.get("nodes", F.col("b.node")).alias("node"), "b.zone", "b.hash")
     once = blocks.where("node >= 0").groupBy("host", "node", "hash", "shape", "page").agg(F.max("zone").alias("zone"))
     texts = once.groupBy("host", "node", "hash").agg(F.count(F.lit(1)).alias("pages"), F.max("zone").alias("zone"))
-    nodes = texts.groupBy("host", "node").agg(
-        F.max(F.struct("pages", "hash")).alias("top"), F.max("zone").alias("zone")
-    )
     pages = distinct.groupBy("host").agg(F.count(F.lit(1)).alias("n"))
     least = F.when(F.col("zone") == MAIN, LEAST_PAGES_IN_ARTICLE).otherwise(LEAST_PAGES)
-    fixed = nodes.join(pages, "host").where((F.col("n") >= least) & (F.col("top.pages") >= F.col("n") * CONSTANT_SHARE))
-    return fixed.groupBy("host").agg(F.collect_list(F.struct("node", F.col("top.hash").alias("hash"))).alias("constant"))
+    fixed = texts.join(pages, "host").where((F.col("n") >= least) & (F.col("pages") >= F.col("n") * CONSTANT_SHARE))
+    return fixed.groupBy("host").agg(F.collect_list(F.struct("node", "hash")).alias("constant"))
 
 
 def extract(pages: DataFrame) -> DataFrame:

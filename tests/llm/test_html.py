@@ -45,6 +45,17 @@ def test_induced_template(spark):
     assert all(got[100 + n] == "Same page" for n in range(9))
 
 
+def test_several_constants_in_one_node(spark):
+    """Repeated siblings are one node; each text that all pages have in it is template, in an article from 12 pages on."""
+    same = "<p>Welcome</p><p>Subscribe now</p>"
+    pages = [(n, f"http://plain.org/{n}", f"<body><div>{same}<p>Story {n}</p></div></body>") for n in range(8)]
+    pages += [(100 + n, f"http://marked.org/{n}", f"<body><article>{same}<p>Story {n}</p></article></body>") for n in range(12)]
+    pages += [(200 + n, f"http://few.org/{n}", f"<body><article>{same}<p>Story {n}</p></article></body>") for n in range(11)]
+    got = text_of(spark, pages)
+    assert all(got[n] == f"Story {n}" and got[100 + n] == f"Story {n}" for n in range(8))
+    assert all(got[200 + n] == f"Welcome\nSubscribe now\nStory {n}" for n in range(11))
+
+
 def brute_match(a, b):
     if a.label != b.label:
         return 0
