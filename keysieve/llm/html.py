@@ -1,13 +1,15 @@
 """Main text of web pages by wrapper induction.
 
-Pages of a host are made by templates. Each page is parsed once into a tree whose
+Pages of a host are made by one or more templates. Each page is parsed once into a tree whose
 shape, without texts, is its skeleton; repeated siblings of the same shape count
-once. The most frequent skeleton of a host is its reference, and every other one
+once. The most frequent skeleton of a host is a reference, and every other one
 is aligned with it by simple tree matching, the dynamic programme that maps most
-nodes while it keeps parents and the order of siblings. So each text block of a
-page gets a node of the host's template. Every text that a node has on nearly all
-distinct pages of the host is template, also if repeated siblings give the node
-several; what varies is a slot.
+nodes while it keeps parents and the order of siblings. Skeletons that share too
+little with it belong to other templates, with references of their own. So each
+text block of a page gets a node of a template of the host; a node that the
+reference lacks is known by its label path. Every text that a node has on nearly
+all distinct pages that hold the node is template, also if repeated siblings give
+the node several; what varies is a slot.
 
 Slots are then told apart. What stands in navigation, headers, footers, sidebars,
 notices, adverts, forms or reader comments by tag, role or class never is main
@@ -34,7 +36,9 @@ from keysieve.llm.common import per_batch, written
 
 BATCH_ROWS = 256
 CONSTANT_SHARE = 0.8
-#: Distinct pages of a host from which on a constant text counts as template, inside a marked article and outside.
+#: Share of the visible nodes from which on a skeleton belongs to the template of a reference.
+TEMPLATE_SHARE = 0.5
+#: Distinct pages that hold a node from which on a constant text counts as template, inside a marked article and outside.
 LEAST_PAGES_IN_ARTICLE, LEAST_PAGES = 12, 3
 # Element names of the HTML standard by how they are treated here.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -360,34 +364,108 @@ def parsed_pages(pages: DataFrame) -> DataFrame:
     return source.mapInArrow(per_batch(work, BATCH_ROWS), schema)
 
 
-def aligned_shapes(parsed: DataFrame) -> DataFrame:
-    """``(host, shape, nodes)``: for each skeleton of a host, the template node of each of its nodes.
+def outline(tree: Shape, depth: int) -> tuple[list[str], bool]:
+    """The label paths of a skeleton's visible elements down to a depth, sorted, and whether some go deeper."""
+    paths, deeper, todo = set(), False, [(tree, "", 0)]
+    while todo:
+        node, above, at = todo.pop()
+        path = f"{above}/{node.label}"
+        paths.add(path)
+        below = [c for c in node.children if c.label.split(".")[0] not in UNSEEN]
+        if at < depth:
+            todo += [(c, path, at + 1) for c in below]
+        else:
+            deeper = deeper or bool(below)
+    return sorted(paths), deeper
+
+
+def visible(tree: Shape) -> list[int]:
+    """Numbers of a skeleton's nodes at and below the children of ``body``, or of the page if there is none; unseen parts left out."""
+    found, todo = [], [tree]
+    while todo:
+        node = todo.pop()
+        if node.label.split(".")[0] not in ("#", "html", "body"):
+            found.append(node.index)
+        todo += [c for c in node.children if c.label.split(".")[0] not in UNSEEN]
+    return found
+
+
+def path_nodes(tree: Shape) -> list[int]:
+    """For each number of a skeleton, a template node made of its label path: negative, so never a number of the reference."""
+    found, todo = [0] * tree.size, [(tree, "")]
+    while todo:
+        node, above = todo.pop()
+        path = f"{above}/{node.label}"
+        found[node.index] = -1 - (short_hash(path) & ((1 << 62) - 1))
+        todo += [(c, path) for c in node.children]
+    return found
 
-    The reference is the skeleton of most pages; of equals, the one with the smaller hash.
+
+def belongs(own: Shape, reference: Shape, pairs: dict[int, int]) -> bool:
+    """Whether half of the visible nodes of one of the two skeletons are matched."""
+    mine, others = visible(own), visible(reference)
+    if not mine or not others:
+        return not mine and not others
+    matched = sum(i in pairs for i in mine)
+    return matched >= TEMPLATE_SHARE * min(len(mine), len(others))
+
+
+def aligned_shapes(parsed: DataFrame) -> DataFrame:
+    """``(host, shape, template, nodes)``: for each skeleton of a host, its template and the template node of each of its nodes.
+
+    The reference of a template is the skeleton of most pages; of equals, the one
+    with the smaller hash. At first all skeletons of a host are aligned with one
+    reference. Those that do not belong to it go to the next round, in groups of the
+    same outline, each with a reference of its own; outlines get one level deeper
+    with every round, until no skeleton is left. A skeleton that is as flat as the
+    outline always belongs to its group. Nodes of a skeleton that its reference does
+    not hold are known by their label paths within the template.
     """
     shapes = parsed.groupBy("host", "shape").agg(F.count(F.lit(1)).alias("pages"), F.first("skeleton").alias("skeleton"))
-    shapes = written(shapes, "html-shapes")
-    chosen = shapes.groupBy("host").agg(
-        F.max_by("skeleton", F.struct("pages", -F.col("shape").cast("decimal(20,0)"))).alias("reference")
+    left = written(shapes.withColumn("group", F.lit(0).cast("long")), "html-shapes")
+    schema = T.StructType(
+        [*left.schema.fields, T.StructField("template", T.LongType()), T.StructField("nodes", T.ArrayType(T.LongType()))]
     )
-    schema = "host string, shape long, nodes array<int>"
-
-    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        nodes = []
-        for skeleton_, reference in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-            own = read_skeleton(skeleton_)
-            pairs = align(own, read_skeleton(reference))
-            nodes.append([pairs.get(i, -1) for i in range(own.size)])
-        return pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(nodes, pa.list_(pa.int32()))], ["host", "shape", "nodes"])
-
-    joined = shapes.join(chosen, "host").select("host", "shape", "skeleton", "reference")
-    return joined.mapInArrow(per_batch(work, BATCH_ROWS), schema)
+    done, depth = None, 1
+
+    while True:
+
+        def work(batch: pa.RecordBatch, depth: int = depth) -> pa.RecordBatch:
+            groups, templates, nodes = [], [], []
+            for _, shape, _, skeleton_, _, reference, template in zip(*(c.to_pylist() for c in batch.columns)):
+                own, other = read_skeleton(skeleton_), read_skeleton(reference)
+                pairs = align(own, other)
+                if shape == template or belongs(own, other, pairs) or (depth > 1 and not outline(own, depth)[1]):
+                    found = path_nodes(own)
+                    nodes.append([pairs.get(i, n) for i, n in enumerate(found)])
+                    templates.append(template)
+                    groups.append(0)
+                else:
+                    nodes.append(None)
+                    templates.append(None)
+                    groups.append(short_hash("\n".join(outline(own, depth + 1)[0])))
+            columns = [*batch.columns[:4], pa.array(groups, pa.int64()), pa.array(templates, pa.int64()), pa.array(nodes, pa.list_(pa.int64()))]
+            return pa.RecordBatch.from_arrays(columns, schema.names)
+
+        order = F.struct("pages", -F.col("shape").cast("decimal(20,0)"))
+        chosen = left.groupBy("host", "group").agg(
+            F.max_by("skeleton", order).alias("reference"), F.max_by("shape", order).alias("reference_shape")
+        )
+        joined = left.join(chosen, ["host", "group"]).select(*left.columns, "reference", "reference_shape")
+        tried = written(joined.mapInArrow(per_batch(work, BATCH_ROWS), schema), "html-aligned")
+        settled = tried.where("template IS NOT NULL").select("host", "shape", "template", "nodes")
+        done = settled if done is None else done.unionByName(settled)
+        left = tried.where("template IS NULL").select(*left.columns)
+        if left.isEmpty():
+            return done
+        depth += 1
 
 
 def wrappers(parsed: DataFrame, aligned: DataFrame) -> DataFrame:
-    """``(host, constant)``: the nodes of the template and the hashes of their constant texts.
+    """``(host, shape, constant)``: for each skeleton, its nodes and the hashes of their constant texts.
 
-    Pages that are copies of one another count once.
+    A text is constant if it stands in the node on nearly all distinct pages of the
+    template that hold the node. Pages that are copies of one another count once.
     """
     bare = F.transform(
         "blocks", lambda b: F.struct(b["node"].alias("node"), b["zone"].alias("zone"), b["hash"].alias("hash"))
@@ -396,14 +474,22 @@ def wrappers(parsed: DataFrame, aligned: DataFrame) -> DataFrame:
     distinct = distinct.groupBy("host", "shape", F.xxhash64("bare").alias("page")).agg(F.first("bare").alias("bare"))
     distinct = written(distinct, "html-distinct")
     placed = distinct.join(aligned, ["host", "shape"])
-    blocks = placed.select("host", "shape", "page", "nodes", F.explode("bare").alias("b"))
-    blocks = blocks.select("host", "shape", "page", F.get("nodes", F.col("b.node")).alias("node"), "b.zone", "b.hash")
-    once = blocks.where("node >= 0").groupBy("host", "node", "hash", "shape", "page").agg(F.max("zone").alias("zone"))
-    texts = once.groupBy("host", "node", "hash").agg(F.count(F.lit(1)).alias("pages"), F.max("zone").alias("zone"))
-    pages = distinct.groupBy("host").agg(F.count(F.lit(1)).alias("n"))
+    blocks = placed.select("host", "template", "shape", "page", "nodes", F.explode("bare").alias("b"))
+    blocks = blocks.select("host", "template", "shape", "page", F.get("nodes", F.col("b.node")).alias("node"), "b.zone", "b.hash")
+    once = blocks.where("node IS NOT NULL").groupBy("host", "template", "node", "hash", "shape", "page").agg(F.max("zone").alias("zone"))
+    texts = once.groupBy("host", "template", "node", "hash").agg(F.count(F.lit(1)).alias("pages"), F.max("zone").alias("zone"))
     least = F.when(F.col("zone") == MAIN, LEAST_PAGES_IN_ARTICLE).otherwise(LEAST_PAGES)
-    fixed = texts.join(pages, "host").where((F.col("n") >= least) & (F.col("pages") >= F.col("n") * CONSTANT_SHARE))
-    return fixed.groupBy("host").agg(F.collect_list(F.struct("node", "hash")).alias("constant"))
+    frequent = texts.where(F.col("pages") >= least * CONSTANT_SHARE)
+    pages = distinct.groupBy("host", "shape").agg(F.count(F.lit(1)).alias("n"))
+    own = aligned.join(pages, ["host", "shape"])
+    held = own.select("host", "template", "n", F.explode(F.array_distinct("nodes")).alias("node"))
+    held = held.groupBy("host", "template", "node").agg(F.sum("n").alias("n"))
+    fixed = frequent.join(held, ["host", "template", "node"]).where((F.col("n") >= least) & (F.col("pages") >= F.col("n") * CONSTANT_SHARE))
+    fixed = written(fixed.select("host", "template", "node", "hash"), "html-fixed")
+    own = aligned.select("host", "shape", "template", F.posexplode("nodes").alias("number", "node"))
+    return own.join(fixed, ["host", "template", "node"]).groupBy("host", "shape").agg(
+        F.collect_list(F.struct(F.col("number").alias("node"), "hash")).alias("constant")
+    )
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -417,14 +503,13 @@ def extract(pages: DataFrame) -> DataFrame:
     text.
     """
     parsed = written(parsed_pages(pages), "html-parsed")
-    aligned = written(aligned_shapes(parsed), "html-aligned")
-    wrapper = written(wrappers(parsed, aligned), "html-wrappers")
-    placed = parsed.join(aligned, ["host", "shape"], "left").join(wrapper, "host", "left")
+    wrapper = written(wrappers(parsed, aligned_shapes(parsed)), "html-wrappers")
+    placed = parsed.join(wrapper, ["host", "shape"], "left")
     template = F.transform(
         "blocks",
         lambda b: F.struct(
             b["text"].alias("text"), b["zone"].alias("zone"), b["linked"].alias("linked"),
-            F.struct(F.get("nodes", b["node"]).alias("node"), b["hash"].alias("hash")).alias("key"),
+            F.struct(b["node"].alias("node"), b["hash"].alias("hash")).alias("key"),
         ),
     )
     varying = F.filter("b", lambda b: F.col("constant").isNull() | ~F.array_contains("constant", b["key"]))

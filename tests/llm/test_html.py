@@ -56,6 +56,34 @@ def test_several_constants_in_one_node(spark):
     assert all(got[200 + n] == f"Welcome\nSubscribe now\nStory {n}" for n in range(11))
 
 
+def test_templates_of_one_host(spark):
+    """A host's sections, and templates of other structure, have a template each, whatever their share of its pages."""
+
+    def section(n, name):
+        return f"<body class='{name}'><div><p>Welcome to {name}</p></div><div><p>Story {n}.</p></div><div><p>Bye, {name}</p></div></body>"
+
+    def table(n):
+        return f"<body class='news'><table><tr><td>Rates of today</td></tr></table><dl><dt>Term</dt><dd>Value {n}</dd></dl></body>"
+
+    pages = [(n, f"http://host.org/{n}", section(n, "news" if n < 10 else "sport")) for n in range(16)]
+    pages += [(100 + n, f"http://host.org/t{n}", table(n)) for n in range(4)]
+    extra = "<ul><li>Read this too</li></ul>"
+    pages += [(200 + n, f"http://box.org/{n}", f"<body><div><p>Story {n}</p></div>{extra if n < 5 else ''}</body>") for n in range(20)]
+    got = text_of(spark, pages)
+    assert all(got[n] == f"Story {n}." for n in range(16))
+    assert all(got[100 + n] == f"Value {n}" for n in range(4))
+    assert all(got[200 + n] == f"Story {n}" for n in range(20))
+
+
+def test_rounds_end(spark):
+    """Skeletons of one host that share nothing, or only their upper levels, are all placed."""
+    body = ["".join(f"<{tag} class='{'abcdefgh'[n]}{'xyz'[k]}'>" for k, tag in enumerate(("div", "section", "table"))) for n in range(8)]
+    pages = [(n, "http://odd.org/", f"<body>{body[n]}{n}") for n in range(8)]
+    pages += [(10 + n, "http://odd.org/", "<body><div><div><div>" + "<b><dl>" * n + f"text {n}") for n in range(6)] + [(90, "http://odd.org/", "")]
+    got = text_of(spark, pages)
+    assert all(got[n] == str(n) for n in range(8)) and all(got[10 + n] == f"text {n}" for n in range(6)) and got[90] == ""
+
+
 def brute_match(a, b):
     if a.label != b.label:
         return 0
