@@ -43,14 +43,17 @@ LEAST_PAGES_IN_ARTICLE, LEAST_PAGES = 12, 3
 # Element names of the HTML standard by how they are treated here.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 UNSEEN = frozenset(
-    "head script style template noscript iframe object svg canvas audio video map select datalist title math "
-    "textarea".split()
+    "head script style template noscript iframe object svg canvas audio video map select datalist title textarea".split()
 )
 APART = frozenset("nav footer aside form menu dialog button label fieldset".split())
 INLINE = frozenset(
     "a abbr b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub "
-    "sup time tt u var wbr".split()
+    "sup time tt u var wbr "
+    "math semantics annotation mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom menclose maction "
+    "msub msup msubsup munder mover munderover mmultiscripts mprescripts none mtable mtr mlabeledtr mtd".split()
 )
+#: What may stand in ``head``; any other element, and any text, ends a head that is still open.
+IN_HEAD = frozenset("head base basefont bgsound link meta title style script noscript noframes template".split())
 MAIN_TAGS = frozenset(("article", "main"))
 CLOSES_PARAGRAPH = frozenset(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
@@ -165,9 +168,18 @@ class PageParser(HTMLParser):
             node = node.parent
         return None
 
+    def close_head(self, tag: str = "") -> None:
+        """Ends an open head before what cannot stand in it; ``body`` ends it whatever else is open in it."""
+        if self.top.tag == "head" and tag not in IN_HEAD:
+            self.pop_to(self.top)
+        elif tag == "body" and (head := self.open_above(("head",))):
+            self.pop_to(head)
+
     def handle_starttag(self, tag, attrs):
-        if tag == "br":
+        self.close_head(tag)
+        if tag in ("br", "annotation", "mtr", "mtd"):
             self.pieces.append(" ")
+        if tag == "br":
             return
         if tag not in INLINE:
             self.flush()
@@ -205,6 +217,8 @@ class PageParser(HTMLParser):
             at = at.parent
 
     def handle_data(self, data):
+        if self.top.tag == "head" and data.strip():
+            self.close_head()
         if self.top.zone == LEFT:
             return
         self.pieces.append(data)

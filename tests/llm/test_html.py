@@ -30,6 +30,23 @@ def test_article_without_the_rest(spark):
     assert text_of(spark, []) == {}
 
 
+def test_head_without_an_end(spark):
+    """A head that is not closed ends where the body or anything that cannot stand in it begins."""
+    head = "<!DOCTYPE html><html><head><meta charset=utf-8><title>t</title><script>var a;</script><noscript><img src=x></noscript><style>p{}</style>"
+    article = "<article><p>one</p><p>two</p></article>"
+    pages = [(1, "http://a.org/", f"{head}<body>{article}</body></html>"), (2, "http://b.org/", f"{head}{article}"),
+             (3, "http://c.org/", f"{head}\n bare <b>text</b>"), (4, "http://d.org/", f"{head}<noscript><link href=x><body>{article}"),
+             (5, "http://e.org/", f"{head}<p>x</p></head><body><p>y</p>"), (6, "http://f.org/", f"{head}<b>bold</b> start")]
+    assert text_of(spark, pages) == {1: "one\ntwo", 2: "one\ntwo", 3: "bare text", 4: "one\ntwo", 5: "x\ny", 6: "bold start"}
+
+
+def test_formulas_are_text(spark):
+    formula = "<math><mrow><mi>x</mi><mo>=</mo><mfrac><mn>1</mn><mi>y</mi></mfrac><mspace width='1'/></mrow></math>"
+    tex = "<math><semantics><mi>z</mi><annotation encoding='application/x-tex'>z</annotation></semantics></math>"
+    got = text_of(spark, [(1, "http://a.org/", f"<body><article><p>Let {formula} hold, and {tex}.</p></article>")])
+    assert got == {1: "Let x=1y hold, and z z."}
+
+
 def test_induced_template(spark):
     """Without any telling tag or class, what all pages of a host repeat in the same place is template."""
     pages = []
