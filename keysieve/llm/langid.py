@@ -15,11 +15,11 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from keysieve.llm.common import held_out, per_batch, worker_memory
+from keysieve.llm.common import held_out, per_batch, worker_memory, written
 
 SAMPLE_PER_LANGUAGE = 600
 BUCKETS_LOG2 = 12
@@ -146,17 +146,46 @@ def fit_hierarchy(x: np.ndarray, language: list[str]) -> Hierarchy:
     return Hierarchy(families, weights, members, pairs)
 
 
+def largest_hashes(hashes: DataFrame, per_language: int) -> dict[str, int]:
+    """For each language of ``(lang, h)``, the hash of rank ``per_language`` from the smallest, or the last one if there are fewer.
+
+    ``hashes`` has no repeated rows. The driver gets little more than
+    ``per_language`` hashes of each: as hashes are evenly spread, those under a bound
+    that the number of texts sets; the bound is doubled where that is too few.
+    """
+    counts = {r["lang"]: r["n"] for r in hashes.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    wanted = {name: (per_language + 6 * per_language**0.5 + 30) / n for name, n in counts.items()}
+    found: dict[str, int] = {}
+    while wanted:
+        bounds = {name: min(-(1 << 63) + int(min(share, 1.0) * (1 << 64)), (1 << 63) - 1) for name, share in wanted.items()}
+        near: dict[str, list[int]] = {name: [] for name in wanted}
+        for r in hashes.where(F.col("h") <= per_name(bounds)).collect():
+            near[r["lang"]].append(r["h"])
+        for name, own in near.items():
+            rank = min(per_language, counts[name])
+            if len(own) >= rank:
+                found[name] = sorted(own)[rank - 1]
+        wanted = {name: 2 * share for name, share in wanted.items() if name not in found}
+    return found
+
+
+def per_name(values: dict[str, int]) -> Column:
+    """The number of a row's language, null for others."""
+    entries = [F.lit(x) for name, value in sorted(values.items()) for x in (name, value)]
+    return F.try_element_at(F.create_map(*entries).cast("map<string,bigint>"), F.col("lang"))
+
+
 def training_rows(documents: DataFrame, per_language: int) -> DataFrame:
-    """``(language, x)`` of a sample, vectors packed as 32-bit floats: about ``per_language`` texts for each language, or all.
+    """``(language, x)`` of a sample, vectors packed as 32-bit floats: ``per_language`` distinct texts of each language, or all.
 
-    Which texts are in it depends on a hash of the text alone.
+    The texts are those with the smallest hashes. How many copies a text has does not
+    matter, neither for whether it is in the sample nor for its weight.
     """
-    known = documents.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~F.coalesce(held_out("doc_id"), F.lit(False)))
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    place = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / float(1 << 30)
-    share = F.lit(0.0)
-    for name, n in sorted(counts.items()):
-        share = F.when(F.col("lang") == name, F.lit(min(1.0, per_language / n))).otherwise(share)
+    known = documents.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & ~F.coalesce(held_out("doc_id"), F.lit(False)))
+    known = known.select("lang", "text", F.xxhash64("text").alias("h"))
+    cuts = largest_hashes(written(known.select("lang", "h").distinct(), "language-hashes"), per_language)
+    chosen = known.where(F.col("h") <= per_name(cuts)) if cuts else known.limit(0)
+    chosen = chosen.groupBy("lang", "h").agg(F.min("text").alias("text"))
     schema = "language string, x binary"
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -165,14 +194,14 @@ def training_rows(documents: DataFrame, per_language: int) -> DataFrame:
         columns = [pa.array([n for n, _ in rows], pa.string()), pa.array([v for _, v in rows], pa.binary())]
         return pa.RecordBatch.from_arrays(columns, ["language", "x"])
 
-    return known.where(place < share).select("lang", "text").mapInArrow(per_batch(work, BATCH_ROWS), schema)
+    return chosen.select("lang", "text").mapInArrow(per_batch(work, BATCH_ROWS), schema)
 
 
 def fit(documents: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Hierarchy:
     """The hierarchy from ``doc_id``, ``text`` and ``lang`` of rows that are not held out.
 
-    ``per_language`` bounds the sample, and with it what the driver gathers. Rows
-    without a language or a letter teach nothing.
+    ``per_language`` bounds the sample, and with it what the driver gathers, whatever
+    the number of copies. Rows without a language or a letter teach nothing.
     """
     rows = training_rows(documents, per_language).collect()
     rows.sort(key=lambda r: (r["language"], bytes(r["x"])))

@@ -1,3 +1,5 @@
+from collections import Counter
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -30,6 +32,25 @@ def test_odd_rows(spark, docs):
     assert langid.identify(docs([]), learned).collect() == []
 
 
+def test_copies_do_not_count(spark):
+    """A language of many copies of a few texts is learned, and no text is in the sample twice."""
+    text = {"en": "the house and the garden", "de": "das haus und der garten", "fr": "la maison et le jardin"}
+    rows = [(i, f"{text[lang]} {'abc'[i % 3]}", lang) for i in range(500) for lang in ("en", "de")]
+    rows += [(i, f"{text['fr']} {chr(97 + i // 26)}{chr(97 + i % 26)}", "fr") for i in range(500)] + [(i, f"{i}", "xx") for i in range(30)]
+    rows = [(n, t, lang) for n, (_, t, lang) in enumerate(rows)]
+    documents = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    sample = [(r.language, bytes(r.x)) for r in langid.training_rows(documents, 4).collect()]
+    assert Counter(n for n, _ in sample) == {"en": 3, "de": 3, "fr": 4} and len(set(sample)) == len(sample)
+    assert sorted(sample) == sorted((r.language, bytes(r.x)) for r in langid.training_rows(documents.coalesce(1), 4).collect())
+    assert langid.fit(documents, 4).languages == [["de", "en"], ["fr"]]
+
+
+def test_smallest_hashes(spark):
+    rows = [("a", h) for h in range(-50, 50)] + [("b", h << 56) for h in range(-128, 128)] + [("c", 7)]
+    found = langid.largest_hashes(spark.createDataFrame(rows, "lang string, h long"), 20)
+    assert found == {"a": -31, "b": -109 << 56, "c": 7}
+
+
 def test_machine_separates_with_a_margin():
     rng = np.random.default_rng(0)
     x = np.vstack((rng.normal(size=(80, 5)) + 2, rng.normal(size=(20, 5)) - 2)).astype(np.float32)
