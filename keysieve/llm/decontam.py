@@ -77,10 +77,11 @@ def rarest_terms(documents: DataFrame, phrases: DataFrame) -> DataFrame:
 
 
 def index(documents: DataFrame, chosen: DataFrame, reach: int) -> DataFrame:
-    """Postings ``(term, doc_id, version, place, n_words, from_place, around)`` as a stored table.
+    """Postings ``(term, doc_id, version, place, n_words, from_place, around, reach)`` as a stored table.
 
     ``around`` holds the words up to ``reach`` places away, ``from_place`` the place
-    of its first. Every document has one posting of the empty word, its header.
+    of its first. Exact search needs a reach of a window less one word, search with a
+    slop that of a window and the slop. Every document has one posting of the empty word, its header.
     """
     terms = chosen.select(F.explode(F.array("a", "b")).alias("term"))
     terms = terms.union(chosen.sparkSession.range(1).select(F.lit(HEADER).alias("term")))
@@ -93,7 +94,8 @@ def index(documents: DataFrame, chosen: DataFrame, reach: int) -> DataFrame:
     is_header = F.col("term") == HEADER
     around = F.when(~is_header, F.slice("w", from_place + 1, F.lit(2 * reach + 1)))
     return written(
-        found.select("term", "doc_id", "version", place.alias("place"), "n_words", from_place.alias("from_place"), around.alias("around")),
+        found.select("term", "doc_id", "version", place.alias("place"), "n_words", from_place.alias("from_place"),
+                     around.alias("around"), F.lit(reach).alias("reach")),
         "decontam-postings",
     )
 
@@ -104,8 +106,12 @@ def search(postings: DataFrame, chosen: DataFrame, slop: int | None = None) -> D
     Starts are places of words from 0. ``kind`` is ``phrase`` for the exact sequence
     and, if ``slop`` is given, ``proximity`` where all words of a window stand around
     a posting of its rarest word, at most the window's size and ``slop`` places away,
-    without the exact sequence.
+    without the exact sequence. Postings of too short a reach are refused, as matches
+    at their edges would be missed.
     """
+    stored, longest = postings.select("reach").first(), chosen.agg(F.max("size").alias("size")).first()["size"]
+    if stored and longest and stored["reach"] < (needed := longest - 1 if slop is None else longest + slop):
+        raise ValueError(f"the index reaches {stored['reach']} words, the search needs {needed}")
     chosen = broadcast_if_small(chosen, ["phrase", "words"])
     lists = postings.where(F.col("term") != HEADER)
     rare = lists.join(chosen, lists["term"] == chosen["a"]).select(
@@ -144,11 +150,12 @@ def proximity(rare: DataFrame, next_: DataFrame, key: list, slop: int) -> DataFr
                                             F.lit("proximity").alias("kind"))
 
 
-def contamination(documents: DataFrame, items: DataFrame, length: int = WINDOW) -> DataFrame:
+def contamination(documents: DataFrame, items: DataFrame, length: int = WINDOW, slop: int | None = None) -> DataFrame:
     """``(doc_id, version, n_words, n_hit, items)``, one row per distinct pair of id and text.
 
     ``n_hit`` counts words inside any occurrence of a window, ``items`` lists the ids
-    of the items that occur, as sorted text. A null or empty text, or one that has
+    of the items that occur, as sorted text. With a ``slop``, ``near_items`` lists in
+    the same way the items of which a window is met in proximity only. A null or empty text, or one that has
     only separators, has no words. Items without words or with a null id match
     nothing. Without items all counts are 0; an empty table gives no rows. Columns
     other than ``doc_id``, ``item_id`` and ``text`` are not looked at.
@@ -156,20 +163,29 @@ def contamination(documents: DataFrame, items: DataFrame, length: int = WINDOW)
     documents = documents.select("doc_id", "text")
     phrases, of_items = windows(items.where(F.col("item_id").isNotNull()).select("item_id", "text"), length)
     chosen = rarest_terms(documents, phrases)
-    postings = index(documents, chosen, length - 1)
-    found = written(search(postings, chosen), "decontam-matches")
+    postings = index(documents, chosen, length - 1 if slop is None else length + slop)
+    found = written(search(postings, chosen, slop), "decontam-matches")
     doc = ["d", "n", "version"]
     keyed = found.select(F.coalesce("doc_id", F.lit(-1)).alias("d"), F.col("doc_id").isNull().alias("n"), "version", "phrase",
-                         "size", "start")
-    places = keyed.select(*doc, F.explode(F.sequence(F.col("start"), F.col("start") + F.col("size") - 1)).alias("place")).distinct()
+                         "size", "start", "kind")
+    exact = keyed.where("kind = 'phrase'")
+    places = exact.select(*doc, F.explode(F.sequence(F.col("start"), F.col("start") + F.col("size") - 1)).alias("place")).distinct()
     hit = places.groupBy(*doc).agg(F.count(F.lit(1)).alias("n_hit"))
-    held = keyed.select(*doc, "phrase").distinct().join(of_items, "phrase").select(*doc, F.col("item_id").cast("string").alias("item"))
-    held = held.groupBy(*doc).agg(F.sort_array(F.collect_set("item")).alias("items"))
+
+    def items_of(matches: DataFrame, name: str) -> DataFrame:
+        held = matches.select(*doc, "phrase").distinct().join(of_items, "phrase").select(*doc, F.col("item_id").cast("string").alias("item"))
+        return held.groupBy(*doc).agg(F.sort_array(F.collect_set("item")).alias(name))
+
     headers = postings.where(F.col("term") == HEADER).groupBy("doc_id", "version").agg(F.max("n_words").cast("long").alias("n_words"))
     headers = headers.withColumns({"d": F.coalesce("doc_id", F.lit(-1)), "n": F.col("doc_id").isNull()})
-    joined = headers.join(hit.join(held, doc), doc, "left")
+    joined = headers.join(hit.join(items_of(exact, "items"), doc), doc, "left")
     empty = F.array().cast("array<string>")
-    return joined.select("doc_id", "version", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("items", empty).alias("items"))
+    columns = ["doc_id", "version", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("items", empty).alias("items")]
+    if slop is None:
+        return joined.select(*columns)
+    joined = joined.join(items_of(keyed.where("kind = 'proximity'"), "near_items"), doc, "left")
+    near = F.array_except(F.coalesce("near_items", empty), F.coalesce("items", empty))
+    return joined.select(*columns, near.alias("near_items"))
 
 
 def digests(measured: DataFrame) -> DataFrame:

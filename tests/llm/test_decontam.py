@@ -78,6 +78,21 @@ def test_proximity(spark, docs):
     assert sorted((r.doc_id, r.kind) for r in got) == [(1, "proximity"), (2, "phrase")]
 
 
+def test_proximity_of_whole_windows(spark, docs):
+    """Words of a window in another order are found up to the slop, and a reach that would miss them is refused."""
+    item = "a1 b2 c3 d4 e5 f6 g7 h8 i9 j10"
+    items = spark.createDataFrame([(1, item), (2, "q r s")], "item_id long, text string")
+    rows = [(1, "b2 c3 d4 e5 f6 g7 h8 i9 j10 x x a1"), (2, f"{item} q x r s"), (3, "b2 c3 d4 e5 f6 g7 h8 i9 j10"), (4, item), (5, None)]
+    rows += [(6, "a1 " * 9), (7, "j10 i9 h8 g7 f6 e5 d4 c3 b2 a1 s r q")]
+    got = {r.doc_id: (r.n_hit, r.items, r.near_items) for r in decontam.contamination(docs(rows), items, slop=2).collect()}
+    assert got == {1: (0, [], ["1"]), 2: (10, ["1"], ["2"]), 3: (0, [], []), 4: (10, ["1"], []), 5: (0, [], []), 6: (0, [], []), 7: (0, [], ["1", "2"])}
+    chosen = decontam.rarest_terms(docs(rows), decontam.windows(items)[0])
+    postings = decontam.index(docs(rows), chosen, 9)
+    assert decontam.search(postings, chosen).where("doc_id = 4").count() == 1
+    with pytest.raises(ValueError):
+        decontam.search(postings, chosen, slop=2)
+
+
 @pytest.mark.parametrize("limit", [0, 1 << 20])
 def test_with_and_without_broadcast(spark, docs, monkeypatch, limit):
     monkeypatch.setattr(decontam, "broadcast_if_small", lambda f, c: __import__("keysieve.llm.common", fromlist=["x"]).broadcast_if_small(f, c, limit))
