@@ -188,6 +188,13 @@ def contamination(documents: DataFrame, items: DataFrame, length: int = WINDOW,
     return joined.select(*columns, near.alias("near_items"))
 
 
+def per_row(documents: DataFrame, measured: DataFrame) -> DataFrame:
+    """What ``contamination`` measured, one row per row of the documents."""
+    rows = documents.select(F.col("doc_id").alias("row_id"), F.xxhash64("text").alias("row_version"))
+    joined = rows.join(measured, F.col("row_id").eqNullSafe(F.col("doc_id")) & (F.col("row_version") == F.col("version")))
+    return joined.drop("row_id", "row_version")
+
+
 def digests(measured: DataFrame) -> DataFrame:
     """Counts, a hash of the items, and whether anything was hit."""
     listed = F.array_join("items", ",")

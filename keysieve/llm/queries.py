@@ -51,7 +51,8 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontam.digests(decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+    documents = table(spark, sf_dir, "documents")
+    return decontam.digests(decontam.per_row(documents, decontam.contamination(documents, table(spark, sf_dir, "benchmark"))))
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,7 +60,7 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = topk.one_per_id(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    vectors = topk.usable(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
     return topk.search(vectors, vectors.where(F.col("id") % QUERY_IDS == 0), 5)
 
 

@@ -1,6 +1,6 @@
 """Exact top-k inner products by the threshold algorithm.
 
-Vectors are dealt into blocks by a hash of their id. A block keeps one list per
+Vectors are dealt into blocks by a number of their row. A block keeps one list per
 dimension, sorted by that component. A query reads all lists at the same depth,
 from the top where its own component is positive and from the bottom where it is
 negative; each id met for the first time is scored in full. The products of the
@@ -127,9 +127,10 @@ def block_best(k: int):
 def search(vectors: DataFrame, queries: DataFrame, k: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: the k rows with the highest inner products.
 
-    Both frames hold ``(id long, v array<long>)`` with one row per id; rows with a
-    null id or vector take no part. A query's own id is no candidate. Ties go to
-    the smaller id. A query that has fewer candidates gets all of them, one without
+    Both frames hold ``(id long, v array<long>)``; rows with a null id or vector take
+    no part. Rows that share an id are candidates each, and queries that share one
+    are ranked together. A query's own id is no candidate. Ties go to the smaller
+    id. A query that has fewer candidates gets all of them, one without
     any none. Shorter vectors count as filled up with zeros. Inner products must be
     within 63 bits.
     """
@@ -140,7 +141,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, block_rows: int = BLO
     groups = max(1, math.ceil(m / GROUP_QUERIES))
 
     def dealt(name: str, parts: int):
-        return F.pmod(F.xxhash64("id"), F.lit(parts)).alias(name)
+        return F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(parts)).alias(name)
 
     def each(name: str, parts: int):
         return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias(name)
@@ -158,8 +159,12 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, block_rows: int = BLO
     )
 
 
+def usable(frame: DataFrame, vec_id: str, embedding: str, scale: int = SCALE) -> DataFrame:
+    """``(id, v)`` of the rows with an id and a vector of finite numbers, repeated ids included."""
+    rows = frame.select(F.col(vec_id).cast("long").alias("id"), quantised(F.col(embedding), scale).alias("v"))
+    return rows.where(F.col("id").isNotNull() & F.col("v").isNotNull())
+
+
 def one_per_id(frame: DataFrame, vec_id: str, embedding: str, scale: int = SCALE) -> DataFrame:
     """``(id, v)`` of usable rows; of rows that share an id, the smallest vector counts."""
-    rows = frame.select(F.col(vec_id).cast("long").alias("id"), quantised(F.col(embedding), scale).alias("v"))
-    rows = rows.where(F.col("id").isNotNull() & F.col("v").isNotNull())
-    return rows.groupBy("id").agg(F.min("v").alias("v"))
+    return usable(frame, vec_id, embedding, scale).groupBy("id").agg(F.min("v").alias("v"))

@@ -5,6 +5,7 @@ import re
 import pytest
 
 from keysieve.llm import decontam
+from keysieve.llm.queries import QUERIES
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -93,6 +94,15 @@ def test_proximity_of_whole_windows(spark, docs):
         decontam.search(postings, chosen, slop=2)
 
 
+def test_repeated_rows(spark, tmp_path):
+    """The query has a row for every row of the table, copies of one id and text included."""
+    rows = [(1, "a b c d"), (1, "a b c d"), (1, "other"), (None, "b c"), (None, "b c"), (2, None), (2, None), (3, "x")]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(7, "b c")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = sorted((str(r.doc_id), r.n_words, r.n_hit) for r in QUERIES["op8_decontamination"](spark, str(tmp_path)).collect())
+    assert got == [("1", 1, 0), ("1", 4, 2), ("1", 4, 2), ("2", 0, 0), ("2", 0, 0), ("3", 1, 0), ("None", 2, 2), ("None", 2, 2)]
+
+
 @pytest.mark.parametrize("limit", [0, 1 << 20])
 def test_with_and_without_broadcast(spark, docs, monkeypatch, limit):
     monkeypatch.setattr(decontam, "broadcast_if_small", lambda f, c: __import__("keysieve.llm.common", fromlist=["x"]).broadcast_if_small(f, c, limit))

@@ -1,10 +1,13 @@
 import math
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from keysieve.llm import topk
+from keysieve.llm.oracles import ORACLES
+from keysieve.llm.queries import QUERIES
 
 
 def brute(rows, k):
@@ -47,6 +50,19 @@ def test_odd_rows(spark):
     assert topk.search(empty, empty, 5).collect() == []
 
 
+def test_repeated_ids(spark, tmp_path):
+    """Every row is a candidate, also under an id that repeats, as in the SQL twin."""
+    rng = np.random.default_rng(2)
+    rows = [(int(i), [float(x) for x in np.float32(rng.normal(size=4))]) for i in [*range(0, 120), *range(0, 120, 3), 50, 50, 7, 7]]
+    rows += [(9, [30.0, 30.0, 30.0, 30.0]), (9, [30.0, 30.0, 30.0, 30.0]), (9, None)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3).write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = con.execute(ORACLES["op10_topk"]).fetchall()
+    got = QUERIES["op10_topk"](spark, str(tmp_path)).select("query_id", "rank", "vec_id", "score").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
 def test_reading_stops_early():
     rng = np.random.default_rng(0)
     rows = rng.integers(-5, 5, size=(5000, 4)).astype(np.float64)
