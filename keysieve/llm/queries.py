@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keysieve.llm import bpe, decontam, html, langid, license, lines, neardup, pii, quality, topk
+from keysieve.llm import bpe, decontam, html, langid, license, lines, neardup, packing, pii, quality, topk
 from keysieve.llm.common import held_out, table
 from keysieve.llm.oracles import ORACLES
 
@@ -64,6 +64,10 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(vectors, vectors.where(F.col("id") % QUERY_IDS == 0), 5)
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.digests(packing.pack(table(spark, sf_dir, "documents"), tokenizer_path()))
+
+
 QUERIES = {
     "op1_html": op1_html,
     "op2_minhash": op2_minhash,
@@ -75,4 +79,5 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_pii": op9_pii,
     "op10_topk": op10_topk,
+    "op11_packing": op11_packing,
 }
