@@ -87,13 +87,9 @@ def per_batch(work: Callable[[pa.RecordBatch], pa.RecordBatch], rows: int) -> Ca
     return run
 
 
-def strings(column: pa.Array) -> list[str | None]:
-    """The texts of a column; bytes that are not UTF-8 become U+FFFD, as Spark shows them."""
-    try:
-        return column.to_pylist()
-    except UnicodeDecodeError:
-        raw = column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
-        return [None if one is None else one.decode("utf-8", "replace") for one in raw]
+def valid_text(column: Column | str) -> Column:
+    """The column as text in which bytes that are not UTF-8 have become U+FFFD; Python could not read them."""
+    return F.make_valid_utf8((F.col(column) if isinstance(column, str) else column).cast("string"))
 
 
 def sql_literal(text: str) -> str:

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from keysieve.llm.bpe import check_tokenizer
-from keysieve.llm.common import strings, worker_memory
+from keysieve.llm.common import valid_text, worker_memory
 
 CAPACITY = 1024
 SEPARATOR = 0
@@ -231,7 +231,7 @@ def pack(
     if packing.capacity < 1 or packing.pool_tokens < 1:
         raise ValueError("a sequence and a pool hold at least one token")
     check_tokenizer(tokenizer_path)
-    source = frame.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
+    source = frame.select(F.col(key).alias("key"), valid_text(text).alias("text"))
     capacity, name = packing.capacity, key
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -267,7 +267,7 @@ def pack(
             for first in range(0, whole.num_rows, BATCH_ROWS):
                 batch = whole.slice(first, BATCH_ROWS)
                 full = []
-                for row_key, one in zip(batch.column(0).to_pylist(), strings(batch.column(1))):
+                for row_key, one in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                     ids = encoder.ids(one or "")
                     ids.append(packing.separator)
                     ids = np.array(ids, dtype="<u4")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keysieve.llm import bpe, decontam, html, langid, license, lines, neardup, packing, pii, quality, topk
+from keysieve.llm import bpe, centroids, decontam, divergence, html, langid, license, lines, neardup, packing, pii, quality, topk
 from keysieve.llm.common import held_out, table
 from keysieve.llm.oracles import ORACLES
 
@@ -68,6 +68,15 @@ def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digests(packing.pack(table(spark, sf_dir, "documents"), tokenizer_path()))
 
 
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = centroids.integer_vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return centroids.digests(centroids.cluster(vectors))
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_html": op1_html,
     "op2_minhash": op2_minhash,
@@ -80,4 +89,6 @@ QUERIES = {
     "op9_pii": op9_pii,
     "op10_topk": op10_topk,
     "op11_packing": op11_packing,
+    "op12_centroids": op12_centroids,
+    "op13_divergence": op13_divergence,
 }
