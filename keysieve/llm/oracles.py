@@ -43,19 +43,19 @@ FROM marked GROUP BY doc_id
 
 WORDS = f"regexp_extract_all({ASCII_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 DECONTAMINATION = f"""
-WITH doc AS (SELECT doc_id, {WORDS} AS w FROM documents),
-item AS (SELECT item_id, {WORDS} AS w FROM benchmark),
-cut AS (
+WITH doc AS MATERIALIZED (SELECT doc_id, {WORDS} AS w FROM documents),
+item AS MATERIALIZED (SELECT item_id, {WORDS} AS w FROM benchmark),
+cut AS MATERIALIZED (
   SELECT item_id, w, unnest(generate_series(1, greatest(len(w) - {WINDOW} + 1, 1))) AS s FROM item WHERE len(w) > 0),
-win AS (SELECT item_id, list_slice(w, s, s + least(len(w), {WINDOW}) - 1) AS words, least(len(w), {WINDOW}) AS n FROM cut),
-sizes AS (SELECT DISTINCT n FROM win),
-spot AS (SELECT doc_id, w, n, unnest(generate_series(1, len(w) - n + 1)) AS s FROM doc, sizes WHERE len(w) >= n),
-hit AS (
+win AS MATERIALIZED (SELECT item_id, list_slice(w, s, s + least(len(w), {WINDOW}) - 1) AS words, least(len(w), {WINDOW}) AS n FROM cut),
+sizes AS MATERIALIZED (SELECT DISTINCT n FROM win),
+spot AS MATERIALIZED (SELECT doc_id, w, n, unnest(generate_series(1, len(w) - n + 1)) AS s FROM doc, sizes WHERE len(w) >= n),
+hit AS MATERIALIZED (
   SELECT doc_id, item_id, s, spot.n FROM (SELECT doc_id, s, n, list_slice(w, s, s + n - 1) AS words FROM spot) spot
   JOIN win ON win.n = spot.n AND win.words = spot.words),
-covered AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(generate_series(s, s + n - 1)) AS p FROM hit)
+covered AS MATERIALIZED (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(generate_series(s, s + n - 1)) AS p FROM hit)
   GROUP BY doc_id),
-found AS (SELECT doc_id, list_sort(list(DISTINCT CAST(item_id AS VARCHAR))) AS items FROM hit GROUP BY doc_id)
+found AS MATERIALIZED (SELECT doc_id, list_sort(list(DISTINCT CAST(item_id AS VARCHAR))) AS items FROM hit GROUP BY doc_id)
 SELECT doc.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, CAST(coalesce(len(items), 0) AS BIGINT) AS n_items,
        sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM doc LEFT JOIN covered ON covered.doc_id = doc.doc_id LEFT JOIN found ON found.doc_id = doc.doc_id
