@@ -6,6 +6,8 @@ secret inside the match are cut by hand.
 
 from __future__ import annotations
 
+import re
+
 from keysieve.catalog.corpus import DUCKDB_FILES, DUCKDB_PATCHES, LEAKS_SQL
 from keysieve.catalog.queries import OWN_RULES, merged_rules
 from keysieve.operators.verify import AWS_REJECTIONS, PROVIDERS, SECRET_KEY, SECRET_KEY_HINT
@@ -416,6 +418,16 @@ def _oracles() -> dict[str, str]:
         " count(DISTINCT (repo, fingerprint)) AS finding_count, count(DISTINCT (repo, path)) AS active_files"
         " FROM found WHERE NOT hidden"
     )
+    out["baseline_applied"] = (
+        f"{BASELINE} SELECT source, {COMMIT} FROM marked, (VALUES ('batch'), ('stream')) v(source) WHERE NOT known"
+    )
+    out["baseline_any_layout"] = out["baseline_roundtrip"]
+    repo = "concat('r', cast(event_id % 3 AS string))"
+    out["baseline_many_repos"] = (
+        f"{ON_LEAKS}, base AS (SELECT DISTINCT content_key FROM found WHERE event_id % 3 = 1 AND NOT hidden)"
+        f" SELECT {repo} AS repo, {COMMIT} FROM found"
+        " WHERE event_id % 3 <> 1 OR content_key NOT IN (SELECT content_key FROM base)"
+    )
     out["baseline_known"] = f"{BASELINE} SELECT {COMMIT} FROM marked WHERE known"
     out["baseline_moved"] = (
         f"{BASELINE} SELECT {REASON} AS suppression_reason, count(*) AS findings,"
@@ -545,7 +557,12 @@ SELECT DISTINCT regexp_extract(path, '^.*?/(?:vendor|node_modules|build)'), true
         for name, rules in sets.items()
     )
     out["commit_times"] = "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS commit_date FROM events"
-    return out
+    return {name: step_by_step(sql) for name, sql in out.items()}
+
+
+def step_by_step(sql: str) -> str:
+    """Every named step computed once: inlined steps make plans that take minutes below a LIMIT."""
+    return re.sub(r"\b(\w+) AS \((?=\s*(?:SELECT|WITH)\b)", r"\1 AS MATERIALIZED (", sql)
 
 
 ORACLES = _oracles()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from keysieve.catalog import corpus
@@ -326,6 +326,50 @@ def baseline_roundtrip(spark, sf_dir):
     return read_baseline(spark, path, format="envelope").select(*FINDING_FIELDS)
 
 
+def _stored_baseline(spark, sf_dir):
+    """A third of the findings, written as one document and read back."""
+    path = scratch_path(spark, "baseline-document")
+    write_baseline(_baseline(spark, sf_dir), path, format="envelope")
+    return read_baseline(spark, path, format="envelope")
+
+
+def baseline_applied(spark, sf_dir):
+    """A stored document applied to all findings, in a batch and on a stream."""
+    known = _stored_baseline(spark, sf_dir)
+    batch = new_findings(leak_detections(spark, sf_dir), known).select(F.lit("batch").alias("source"), *FINDING_FIELDS)
+    lines = _as_stream(corpus.leaks(spark, sf_dir), "lines")
+    path = scratch_path(spark, "stream-new")
+    fresh = incremental.stream_new_findings(incremental.stream_findings(lines, rules()), known).select(*FINDING_FIELDS)
+    incremental.write_appended(fresh, path, path + "-progress", availableNow=True).awaitTermination()
+    streamed = spark.read.schema(fresh.schema).parquet(path)
+    return batch.unionByName(streamed.select(F.lit("stream").alias("source"), *FINDING_FIELDS))
+
+
+def baseline_any_layout(spark, sf_dir):
+    """Indented documents, one per eighth of the findings, each cut between tasks."""
+    found = reportable(leak_detections(spark, sf_dir, keep=("event_id",)))
+    part = (F.col("event_id") % 8).cast("int").alias("part")
+    finding = F.to_json(F.struct(*(c for c in det.FINDING_COLUMNS)), {"pretty": "true"})
+    comma = F.when(F.lag("part").over(Window.partitionBy("part").orderBy("event_id", "rule_id", "column")).isNotNull(), ",\n").otherwise("")
+    body = found.select("*", part).select("part", F.lit(1).alias("section"), "event_id", F.concat(comma, finding).alias("value"))
+    ends = spark.range(8).selectExpr("cast(id AS int) AS part", "explode(array(0, 2)) AS section", "0L AS event_id").withColumn(
+        "value", F.when(F.col("section") == 0, '{\n  "version": 1,\n  "findings": [').otherwise("  ]\n}")
+    )
+    path = scratch_path(spark, "baseline-indented")
+    rows = body.unionByName(ends).repartition(8, "part").sortWithinPartitions("part", "section", "event_id")
+    rows.select("part", "value").write.partitionBy("part").text(path)
+    return read_baseline(spark, path, format="envelope").select(*FINDING_FIELDS)
+
+
+def baseline_many_repos(spark, sf_dir):
+    """The stored baseline of one repository hides nothing in the others."""
+    lines = corpus.leaks(spark, sf_dir).withColumn("repo", F.concat(F.lit("r"), (F.col("event_id") % 3).cast("string")))
+    found = det.detect(lines, rules(), keep=("repo",))
+    path = scratch_path(spark, "baseline-document")
+    write_baseline(found.filter("repo = 'r1'"), path, format="envelope")
+    return new_findings(found, read_baseline(spark, path, format="envelope")).select("repo", *FINDING_FIELDS)
+
+
 def baseline_marked(spark, sf_dir):
     marked = apply_baseline(leak_detections(spark, sf_dir), _baseline(spark, sf_dir))
     return marked.groupBy("rule_id", "suppression_reason").agg(F.count(F.lit(1)).alias("findings"))
@@ -606,7 +650,7 @@ QUERIES = {
         "lines_exploded", "document_lines", "patch_lines", "files_in_patches", "history_findings",
         "staged_findings", "history_dedup", "history_dedup_strict", "history_many_repos", "repos_summary",
         "inline_suppressed", "baseline_roundtrip",
-        "baseline_marked", "baseline_new", "baseline_known", "baseline_moved", "rules_merged",
+        "baseline_applied", "baseline_any_layout", "baseline_many_repos", "baseline_marked", "baseline_new", "baseline_known", "baseline_moved", "rules_merged",
         "findings_sorted", "scan_summary", "scan_verdict", "patch_summary", "report_json",
         "report_lines", "history_report", "probe_set", "verification_labels", "verification_tally",
         "github_status", "aws_status", "aws_pairing", "aws_key_pairs", "stream_findings",

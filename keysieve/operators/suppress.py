@@ -54,26 +54,30 @@ def baseline_keys(baseline: DataFrame) -> DataFrame:
     return keys.select(*repo, content_key(F.col("fingerprint")).alias("content_key")).distinct()
 
 
-def mark_known(findings: DataFrame, baseline: DataFrame, *, salts: int = SALTS) -> DataFrame:
+def mark_known(findings: DataFrame, baseline: DataFrame, *, salts: int = SALTS, any_repo: bool = False) -> DataFrame:
     """Adds ``known``: whether the baseline holds the finding's content key.
 
-    One leaked key may own a large share of all findings, hence the salted join.
+    Findings of several repositories need a baseline that names them: without, the
+    known secret of one would hide the same secret in all others. ``any_repo`` asks
+    for just that. One leaked key may own a large share of all findings, hence the
+    salted join.
     """
     keyed = findings.withColumn("content_key", content_key(F.col("fingerprint")))
-    if REPO in findings.columns and REPO in baseline.columns:
+    on = ["content_key"]
+    if REPO in findings.columns and not any_repo:
+        if REPO not in baseline.columns:
+            raise ValueError(f"the findings have a {REPO} column and the baseline has none; any_repo=True ignores repositories")
         on = [REPO, "content_key"]
-    else:
-        on = ["content_key"]
     keys = baseline_keys(baseline.drop(*({REPO} - set(on)))).withColumn("known", F.lit(True))
     place = ["file", "line", "column", "commit_sha"]
     marked = salted_lookup(keyed, keys, on, place, salts)
     return marked.withColumn("known", F.coalesce("known", F.lit(False))).select(*findings.columns, "known")
 
 
-def apply_baseline(findings: DataFrame, baseline: DataFrame, *, salts: int = SALTS) -> DataFrame:
+def apply_baseline(findings: DataFrame, baseline: DataFrame, **options) -> DataFrame:
     """Mark known findings suppressed; a directive on the line keeps its reason."""
     columns = findings.columns
-    marked = mark_known(findings, baseline, salts=salts)
+    marked = mark_known(findings, baseline, **options)
     fresh = F.col("known") & ~F.coalesce("suppressed", F.lit(False))
     return marked.withColumns(
         {

@@ -1,5 +1,7 @@
 """Every registered query against its SQL twin, on the smallest tables."""
 
+import time
+
 import duckdb
 import pytest
 
@@ -39,6 +41,17 @@ def test_query(spark, duck, sf_dir, name):
     assert rows(frame.columns, frame.collect()) == rows(columns, twin.fetchall())
 
 
+def test_twins_answer_under_a_limit():
+    """A caller may ask for the first rows only; no plan may take longer for that."""
+    con = duckdb.connect()
+    for name in TABLES:
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '/root/testdata/sf0.01/{name}.parquet'")
+    for name, sql in entry_point.oracle_sql().items():
+        start = time.perf_counter()
+        con.execute(f"SELECT * FROM ({sql}) LIMIT 10").fetchall()
+        assert time.perf_counter() - start < 5, name
+
+
 def test_entry(spark):
     frame = entry_point.entry(spark)
     assert frame.count() == 823
