@@ -413,6 +413,16 @@ def _oracles() -> dict[str, str]:
         f"{on_many} SELECT repo, path AS file, rule_id, first(secret) AS secret, fingerprint, min(commit_date) AS commit_date"
         " FROM found WHERE NOT hidden GROUP BY repo, path, rule_id, fingerprint"
     )
+    on_whole = on_many.replace("replace(path, 'docs', 'dö' || chr(9) || 'cs') AS path", "path")
+    out["history_huge_commit"] = (
+        f"{on_whole} SELECT repo, path AS file, CAST(min(line_no) AS INTEGER) AS line, rule_id, first(secret) AS secret, fingerprint,"
+        " repeat('c', 40) AS commit_sha, 'First' AS commit_author, '2024-05-05T05:05:05Z' AS commit_date"
+        " FROM found WHERE NOT hidden GROUP BY repo, path, rule_id, fingerprint"
+    )
+    out["staged_export"] = (
+        f"{on_whole} SELECT path AS file, count(DISTINCT (repo, fingerprint)) AS n FROM found WHERE NOT hidden GROUP BY path"
+        " UNION ALL SELECT NULL, count(DISTINCT (repo, path)) FROM many"
+    )
     out["repos_summary"] = (
         f"{on_many} SELECT (SELECT count(DISTINCT (repo, path)) FROM many) AS files_scanned,"
         " count(DISTINCT (repo, fingerprint)) AS finding_count, count(DISTINCT (repo, path)) AS active_files"

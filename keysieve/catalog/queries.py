@@ -284,6 +284,36 @@ def repos_summary(spark, sf_dir):
     return row.select("files_scanned", "finding_count", "active_files")
 
 
+def _whole_export(spark, sf_dir, headed: bool):
+    """One export per repository: a single commit, or staged diff, that adds every line of the corpus."""
+    line = corpus.leaks(spark, sf_dir).withColumn("repo", F.concat(F.lit("r"), (F.col("event_id") % 3).cast("string")))
+    place = ("repo", "path", "line_no", "event_id")
+    hunks = line.select(*place, F.concat(F.lit("@@ -0,0 +"), F.col("line_no").cast("string"), F.lit(" @@\n+"), "line").alias("value"))
+    names = F.format_string("diff --git a/%1$s b/%1$s\n--- a/%1$s\n+++ b/%1$s", "path")
+    files = line.groupBy("repo", "path").agg(F.lit(0).alias("line_no"), F.lit(0).cast("long").alias("event_id"), names.alias("value"))
+    head = f"commit {'c' * 40}\nAuthor: First <f@e.org>\nDate:   2024-05-05T05:05:05Z\n\n    all of it\n"
+    heads = line.groupBy("repo").agg(F.lit("").alias("path"), F.lit(0).alias("line_no"), F.lit(0).cast("long").alias("event_id"), F.lit(head).alias("value"))
+    rows = hunks.unionByName(files)
+    rows = rows.unionByName(heads) if headed else rows
+    path = scratch_path(spark, "whole-export")
+    rows.repartition("repo").sortWithinPartitions(*place).select("repo", "value").write.partitionBy("repo").text(path)
+    return path
+
+
+def history_huge_commit(spark, sf_dir):
+    """A commit as large as its repository, read by many tasks."""
+    found = scan.scan_export(spark, _whole_export(spark, sf_dir, True), rules()).displayed
+    return found.select("repo", "file", "line", "rule_id", "secret", "fingerprint", "commit_sha", "commit_author", "commit_date")
+
+
+def staged_export(spark, sf_dir):
+    """Staged diffs as text, one per repository; what they add and how many files they touch."""
+    result = scan.scan_export(spark, _whole_export(spark, sf_dir, False), rules())
+    touched = result.summary.select(F.lit(None).cast("string").alias("file"), F.col("files_scanned").alias("n"))
+    found = result.displayed.filter("commit_sha IS NULL").groupBy("file").agg(F.count(F.lit(1)).alias("n"))
+    return found.unionByName(touched)
+
+
 def history_findings(spark, sf_dir):
     found = det.detect(added_lines(corpus.patches(spark, sf_dir)), rules())
     return found.select(*FINDING_FIELDS)
@@ -648,7 +678,8 @@ QUERIES = {
         "redacted", "fingerprints", "content_keys", "sanitized_text", "path_excluded",
         "excluded_counts", "ignore_negation", "file_statuses", "file_coverage", "file_findings",
         "lines_exploded", "document_lines", "patch_lines", "files_in_patches", "history_findings",
-        "staged_findings", "history_dedup", "history_dedup_strict", "history_many_repos", "repos_summary",
+        "staged_findings", "history_dedup", "history_dedup_strict", "history_many_repos", "history_huge_commit", "staged_export",
+        "repos_summary",
         "inline_suppressed", "baseline_roundtrip",
         "baseline_applied", "baseline_any_layout", "baseline_many_repos", "baseline_marked", "baseline_new", "baseline_known", "baseline_moved", "rules_merged",
         "findings_sorted", "scan_summary", "scan_verdict", "patch_summary", "report_json",

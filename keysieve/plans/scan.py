@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 
 from keysieve.functions.globs import PathMatcher, path_matcher
+from keysieve.functions.keywords import holds_any
 from keysieve.operators.dedup import keep_earliest
 from keysieve.operators.detect import FINDING_COLUMNS, detect, detect_texts
 from keysieve.operators.files import (
@@ -23,6 +24,7 @@ from keysieve.operators.files import (
 from keysieve.operators.suppress import DIRECTIVE, apply_baseline, reportable
 from keysieve.operators.verify import hash_raw, label
 from keysieve.plans import report
+from keysieve.sources.exports import read_export
 from keysieve.sources.patches import REPO, added_lines, files_touched
 from keysieve.sources.rulesets import RuleSet
 from keysieve.sources.scratch import materialized
@@ -184,9 +186,37 @@ def scan_patches(
     No path exclusion and no file policy applies; the same secret in the same
     file of a repository is one finding, placed at its earliest commit.
     """
+    return _scan_added(
+        added_lines(patch_files), lambda: files_touched(patch_files), ruleset, directive=directive, strict=strict,
+        show_suppressed=show_suppressed, status=status, **options,
+    )
+
+
+def scan_export(spark: SparkSession, location: str, ruleset: RuleSet, **options) -> ScanResult:
+    """Scan exports of ``git log -p`` or ``git diff --staged``, a file or ``repo=`` folder each.
+
+    The same result as ``scan_patches(read_history(…))``, line by line: a commit
+    may be of any size, and lines without a keyword leave their text behind before
+    anything is shuffled. Takes the options of :func:`scan_patches`.
+    """
+    export = read_export(spark, location, lambda line: holds_any(line, ruleset.keywords))
+    return _scan_added(export.added, lambda: files_touched(export.files), ruleset, **options)
+
+
+def _scan_added(
+    added: DataFrame,
+    touched: Callable[[], DataFrame],
+    ruleset: RuleSet,
+    *,
+    directive: str = DIRECTIVE,
+    strict: bool = False,
+    show_suppressed: bool = False,
+    status: DataFrame | None = None,
+    **options,
+) -> ScanResult:
     keep_raw = status is not None
-    keep = ("seq", *(c for c in (REPO,) if c in patch_files.columns))
-    found = detect(added_lines(patch_files), ruleset, directive=directive, keep=keep, keep_raw=keep_raw)
+    keep = ("seq", *(c for c in (REPO,) if c in added.columns))
+    found = detect(added, ruleset, directive=directive, keep=keep, keep_raw=keep_raw)
     kept = keep_earliest(
         hash_raw(found),
         show_suppressed=show_suppressed,
@@ -195,7 +225,7 @@ def scan_patches(
     )
     return finish(
         kept,
-        lambda: files_touched(patch_files),
+        touched,
         show_suppressed=show_suppressed,
         status=status,
         **options,

@@ -113,6 +113,27 @@ def _path(name: Column) -> Column:
     return F.when(bare != "/dev/null", bare)
 
 
+def named_paths(preamble: Column, latin: Column) -> tuple[Column, Column]:
+    """The old and the new path that the lines of a file before its first hunk name.
+
+    ``preamble`` begins after ``diff --git``; ``latin`` says that it is one character per byte.
+    """
+    quoted = '"(?:[^"\\\\]|\\\\.)*"'
+    header_names = f"\\A({quoted}|a/.*?) ({quoted}|b/.*?)(?:\\n|\\z)"
+
+    def marked(sign: str) -> Column:
+        return F.nullif(F.regexp_extract(preamble, f"(?md)^{sign} (.+)$", 1), F.lit(""))
+
+    def header(group: int) -> Column:
+        return _path(unquoted(F.regexp_extract(preamble, header_names, group), latin))
+
+    old, new = marked("---"), marked("\\+\\+\\+")
+    gone = F.contains(preamble, F.lit("\ndeleted file mode"))
+    old_path = F.when(old.isNotNull(), _path(unquoted(old, latin))).otherwise(header(1))
+    new_path = F.when(new.isNotNull(), _path(unquoted(new, latin))).otherwise(F.when(~gone, header(2)))
+    return old_path, new_path
+
+
 def split_commits(commits: DataFrame) -> DataFrame:
     """Patch files from ``(seq, text)``, one commit (or one staged diff) per row.
 
@@ -141,32 +162,20 @@ def split_commits(commits: DataFrame) -> DataFrame:
         F.posexplode(F.slice(parts, F.lit(2), F.size(parts))).alias("_at", "_file"),
     ).withColumn("_preamble", F.substring_index("_file", "\n@@ -", 1))
     latin = F.col("_latin")
-    quoted = '"(?:[^"\\\\]|\\\\.)*"'
-    header_names = f"\\A({quoted}|a/.*?) ({quoted}|b/.*?)(?:\\n|\\z)"
-
-    def marked(sign: str) -> Column:
-        return F.nullif(F.regexp_extract("_preamble", f"(?md)^{sign} (.+)$", 1), F.lit(""))
-
-    def header(group: int) -> Column:
-        return _path(unquoted(F.regexp_extract("_preamble", header_names, group), latin))
-
-    old, new = marked("---"), marked("\\+\\+\\+")
-    gone = F.contains("_preamble", F.lit("\ndeleted file mode"))
-    old_path = F.when(old.isNotNull(), _path(unquoted(old, latin))).otherwise(header(1))
-    new_path = F.when(new.isNotNull(), _path(unquoted(new, latin))).otherwise(F.when(~gone, header(2)))
+    old_path, new_path = named_paths(F.col("_preamble"), latin)
     return files.select(
         *repo,
         F.struct("_commit", "_at").alias("seq"),
         "commit_sha",
         from_characters(F.col("author"), latin).alias("author"),
-        F.coalesce(_iso_date(F.col("commit_date")), "commit_date").alias("commit_date"),
+        F.coalesce(iso_date(F.col("commit_date")), "commit_date").alias("commit_date"),
         old_path.alias("old_path"),
         new_path.alias("new_path"),
         from_characters(F.substr("_file", F.length("_preamble") + 2), latin).alias("patch"),
     )
 
 
-def _iso_date(text: Column) -> Column:
+def iso_date(text: Column) -> Column:
     """``Mon Jan 2 15:04:05 2006 -0700`` as RFC 3339 text in its own offset."""
     pattern = "^\\w{3} (\\w{3}) +(\\d{1,2}) (\\d{2}:\\d{2}:\\d{2}) (\\d{4}) ([+-]\\d{2})(\\d{2})$"
 
@@ -202,10 +211,12 @@ def _records(spark: SparkSession, location: str, start: str) -> DataFrame:
     text = F.when(F.startswith("value", F.lit(start)), F.col("value")).otherwise(
         F.concat(F.lit(start), F.col("value"))
     )
-    repo = F.regexp_replace("_metadata.file_name", "\\.[^.]*$", "")
-    if REPO in records.columns:
-        repo = F.col(REPO).cast("string")
-    return records.select(repo.alias(REPO), seq.alias("seq"), text.alias("text"))
+    return records.select(repo_of(records, F.col("_metadata.file_name")).alias(REPO), seq.alias("seq"), text.alias("text"))
+
+
+def repo_of(exports: DataFrame, file_name: Column) -> Column:
+    """The repository of an export: a folder ``repo=...``, or the file's name without its ending."""
+    return F.col(REPO).cast("string") if REPO in exports.columns else F.regexp_replace(file_name, "\\.[^.]*$", "")
 
 
 def read_history(spark: SparkSession, location: str) -> DataFrame:
