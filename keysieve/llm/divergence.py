@@ -34,7 +34,7 @@ SMOOTHING = 2
 #: Entries that a task holds before it gives them out.
 HELD_TERMS = 300_000
 #: Shares in the matrix of one block.
-BLOCK_CELLS = 1 << 20
+BLOCK_CELLS = 1 << 16
 
 #: Letters are lowered, all other ASCII becomes blank, and bytes beyond ASCII stay.
 TABLE = bytes(b if b >= 128 else b | 32 if chr(b).isalpha() else 32 for b in range(256))
