@@ -555,6 +555,13 @@ SELECT DISTINCT regexp_extract(path, '^.*?/(?:vendor|node_modules|build)'), true
         f"WITH {LEAKS}, {FILES} SELECT path, 'unreadable' AS status, 'No such file or directory' AS error FROM rows"
         f" WHERE error IS NULL AND first_id % 13 IN (8, 9) AND {excluded_by('path')} IS NULL"
     )
+    big = (
+        "texts AS (SELECT concat('big/p', cast(cast(floor(event_id / 1000) AS bigint) AS string), '.txt') AS path,"
+        " string_agg(line, chr(10) ORDER BY event_id) AS text FROM leaks GROUP BY 1)"
+    )
+    out["tree_large_files"] = (
+        f"WITH {LEAKS}, {big}, {LINES}, {ctes('lines').strip()} SELECT {PLAIN} FROM found WHERE NOT hidden"
+    )
     kept = f"SELECT path, body AS text FROM rows WHERE error IS NULL AND NOT (({last}) OR {in_svc3})"
     out["tree_ignored"] = (
         f"WITH {LEAKS}, rows AS ({DUCKDB_FILES}), texts AS ({kept}), {LINES}, {ctes('lines').strip()}"

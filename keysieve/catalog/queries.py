@@ -41,7 +41,8 @@ from keysieve.sources.rulesets import (
     validate,
 )
 from keysieve.sources.scratch import materialized, scratch_path
-from keysieve.sources.tree import IGNORE_FILE, list_tree, local_path, read_selected, read_tree, select_tree, write_tree
+from keysieve.sources.stores import local_path
+from keysieve.sources.tree import IGNORE_FILE, list_tree, read_selected, read_tree, select_tree, write_tree
 from keysieve.streaming import incremental
 
 OVERLAY = """
@@ -636,6 +637,16 @@ def tree_manifest(spark, sf_dir):
     return entries.select("path", "folder", F.coalesce("size", F.lit(-1)).alias("size"))
 
 
+def tree_large_files(spark, sf_dir):
+    """Files of a thousand lines, each scanned in ranges by several tasks."""
+    lines = corpus.leaks(spark, sf_dir).withColumn("part", F.floor(F.col("event_id") / 1000).cast("string"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "line"))), lambda r: r["line"]), "\n")
+    texts = lines.groupBy(F.concat(F.lit("big/p"), "part", F.lit(".txt")).alias("path")).agg(text.alias("text"))
+    root = local_path(scratch_path(spark, "large-files"))
+    write_tree(texts, root)
+    return scan.scan_tree(spark, [root], rules(), range_bytes=8192).displayed.select(*FINDING_FIELDS)
+
+
 def _put(root: str, name: str, text: str) -> None:
     with open(os.path.join(root, name), "w", encoding="utf-8") as file:
         file.write(text)
@@ -686,6 +697,6 @@ QUERIES = {
         "report_lines", "history_report", "probe_set", "verification_labels", "verification_tally",
         "github_status", "aws_status", "aws_pairing", "aws_key_pairs", "stream_findings",
         "stream_new_findings", "stream_dedup", "tree_findings", "tree_coverage", "tree_manifest",
-        "tree_unread", "tree_ignored", "project_rules", "commit_times",
+        "tree_unread", "tree_large_files", "tree_ignored", "project_rules", "commit_times",
     )
 }

@@ -18,6 +18,7 @@ MEGABYTE = 1024 * 1024
 SNIFF_BYTES = 512
 
 EXCLUDED, UNREADABLE, OVERSIZED = "excluded", "unreadable", "oversized"
+RANGE = "range_no"
 DUPLICATE, BINARY, SCANNED, SELECTED = "duplicate", "binary", "scanned", "selected"
 
 
@@ -88,7 +89,8 @@ def inspect_files(files: DataFrame, *, skip_binary: bool = False) -> DataFrame:
 def unread(files: DataFrame) -> DataFrame:
     """``(path, status, error)`` of every file that should have been scanned and could not be read."""
     lost = files.filter(F.col("status") == UNREADABLE)
-    return lost.select("path", "status", F.coalesce("error", F.lit("unreadable")).alias("error"))
+    rows = lost.select("path", "status", F.coalesce("error", F.lit("unreadable")).alias("error"))
+    return rows.distinct() if RANGE in files.columns else rows
 
 
 def file_status(
@@ -99,18 +101,30 @@ def file_status(
 
 
 def scanned_texts(files: DataFrame) -> DataFrame:
-    """``(path, text)`` of the files that are to be scanned, bytes kept as they are."""
+    """``(path, text)`` of the files that are to be scanned, bytes kept as they are.
+
+    Files read in ranges have a row per range, and ``abs_path, range_no`` besides.
+    """
     kept = files.filter(F.col("status") == SCANNED)
-    return kept.select("path", F.col("content").cast("string").alias("text"))
+    place = ("abs_path", RANGE) if RANGE in files.columns else ()
+    return kept.select("path", F.col("content").cast("string").alias("text"), *place)
 
 
-def status_counters() -> list[Column]:
-    """Aggregates over files with a final status."""
+def status_counters(ranged: bool = False) -> list[Column]:
+    """Aggregates over files with a final status.
+
+    Of a file read in ranges, the first range counts; but each range that could not
+    be read counts as unreadable, so that no incomplete scan looks complete.
+    """
     counted = {
         "files_scanned": SCANNED, "files_unreadable": UNREADABLE,
         "files_oversized": OVERSIZED, "files_binary": BINARY,
     }
-    return [F.count_if(F.col("status") == status).alias(name) for name, status in counted.items()]
+    first = F.col(RANGE) == 0 if ranged else F.lit(True)
+    return [
+        F.count_if((F.col("status") == status) & (F.lit(True) if status == UNREADABLE else first)).alias(name)
+        for name, status in counted.items()
+    ]
 
 
 def paths_excluded() -> Column:
@@ -121,4 +135,4 @@ def paths_excluded() -> Column:
 
 def coverage(files: DataFrame) -> DataFrame:
     """One row of counters."""
-    return files.agg(*status_counters(), paths_excluded())
+    return files.agg(*status_counters(RANGE in files.columns), paths_excluded())

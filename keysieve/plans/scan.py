@@ -9,10 +9,13 @@ from pyspark.sql import DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 
 from keysieve.functions.globs import PathMatcher, path_matcher
+from keysieve.functions.joins import salted_lookup
 from keysieve.functions.keywords import holds_any
 from keysieve.operators.dedup import keep_earliest
 from keysieve.operators.detect import FINDING_COLUMNS, detect, detect_texts
 from keysieve.operators.files import (
+    RANGE,
+    SELECTED,
     coverage,
     inspect_files,
     paths_excluded,
@@ -28,7 +31,7 @@ from keysieve.sources.exports import read_export
 from keysieve.sources.patches import REPO, added_lines, files_touched
 from keysieve.sources.rulesets import RuleSet
 from keysieve.sources.scratch import materialized
-from keysieve.sources.tree import read_ignore, read_selected, scan_root, select_tree
+from keysieve.sources.tree import RANGE_BYTES, lines_before, read_ignore, read_selected, scan_root, select_tree
 
 
 @dataclass(frozen=True)
@@ -114,18 +117,24 @@ def _scan_inspected(
     directive: str = DIRECTIVE,
     status: DataFrame | None = None,
     keep_on_disk: bool = True,
+    before: DataFrame | None = None,
     **options,
 ) -> ScanResult:
-    """Scan files with a final status; ``named`` has the same rows, without content.
+    """Scan files with a final status; ``named`` has a row per file, without content.
+
+    ``before`` has the lines before each range of the files that are read in ranges.
 
     With ``keep_on_disk`` the contents are read once: the file counters are
     observed while the findings are written, by tasks that count once each.
     """
     seen = Observation()
-    watched = files.observe(seen, *status_counters()) if keep_on_disk else files
+    place = ("abs_path", RANGE) if RANGE in files.columns else ()
+    watched = files.observe(seen, *status_counters(bool(place))) if keep_on_disk else files
     found = detect_texts(
-        scanned_texts(watched), ruleset, directive=directive, keep_raw=status is not None
+        scanned_texts(watched), ruleset, directive=directive, keep=place, keep_raw=status is not None
     )
+    if before is not None:
+        found = numbered_in_file(found, before)
 
     def covered() -> DataFrame:
         if not keep_on_disk:
@@ -161,14 +170,28 @@ def scan_tree(
     ignore: list[str] | None = None,
     default_excludes: bool = True,
     skip_binary: bool = False,
+    range_bytes: int = RANGE_BYTES,
     **options,
 ) -> ScanResult:
-    """Scan directory trees; the ignore file of the first root applies."""
+    """Scan directory trees; the ignore file of the first root applies.
+
+    A file of more than ``range_bytes`` is scanned by several tasks, in ranges of
+    whole lines; its lines are counted in a pass of their own.
+    """
     lines = read_ignore(scan_root(roots)) if ignore is None else ignore
     matcher = path_matcher(lines, ruleset.use_default_excludes and default_excludes)
     named = select_tree(spark, roots, matcher, max_mb=ruleset.max_file_size_mb)
-    files = read_selected(named, skip_binary=skip_binary)
-    return _scan_inspected(files, named, ruleset, **options)
+    ranged = not named.filter((F.col("status") == SELECTED) & (F.col("size") > range_bytes)).isEmpty()
+    files = read_selected(named, skip_binary=skip_binary, range_bytes=range_bytes if ranged else None)
+    before = lines_before(named, range_bytes) if ranged else None
+    return _scan_inspected(files, named, ruleset, before=before, **options)
+
+
+def numbered_in_file(found: DataFrame, before: DataFrame) -> DataFrame:
+    """Findings of ranges with the line numbers of their files."""
+    placed = salted_lookup(found, before, ["abs_path", RANGE], ["line", "column"])
+    line = (F.col("line") + F.coalesce("lines_before", F.lit(0))).cast("int")
+    return placed.withColumn("line", line).select(*(c for c in found.columns if c not in ("abs_path", RANGE)))
 
 
 def scan_patches(

@@ -1,33 +1,35 @@
-"""Directory trees on a file system that all executors see.
+"""Directory trees on a file system or in a store that all executors reach.
 
 Spark's own file readers leave out names starting with a dot or an underscore
 and empty files, which is where credentials like to be. So a manifest is
-listed first, level by level, with one row per folder to visit; then the
-selected files are read in tasks balanced by size.
+listed first, level by level, with one row per folder to visit: one task reads the
+names of a folder, and all tasks share the work of asking for sizes. Then the
+selected files are read in tasks balanced by size, large ones in ranges of lines.
 """
 
 from __future__ import annotations
 
 import itertools
 import os
-import re
-import stat
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from keysieve.functions.globs import PathMatcher, ignore_lines
 from keysieve.operators.files import EXCLUDED, SELECTED, SNIFF_BYTES, inspect_files, select_files
 from keysieve.sources.rulesets import MAX_FILE_SIZE_MB
-from keysieve.sources.scratch import scratch_path
+from keysieve.sources.scratch import materialized, scratch_path
+from keysieve.sources.stores import local_path, read_lines_of, reason, store_of
 
 IGNORE_FILE = ".keysieveignore"
 SKIPPED_FOLDER = ".git"
 BATCH_BYTES = 32 << 20
 BATCH_ROWS = 10_000
 TASK_BYTES = 128 << 20
+#: Files of more bytes are read in ranges of so many by a scan.
+RANGE_BYTES = 64 << 20
 
 ENTRY_SCHEMA = (
     "root_ord int, root string, abs_path string, path string, size bigint, folder boolean, named boolean,"
@@ -42,59 +44,41 @@ ENTRY_ARROW = pa.schema(
 )
 
 
-def local_path(location: str) -> str:
-    """The path behind a ``file:`` address; any other scheme is refused.
-
-    Trees are listed and read with the operating system's calls, so they must be
-    on a file system that every executor has mounted. Tables of paths and contents
-    can come from any store: see :func:`keysieve.plans.scan.scan_files`.
-    """
-    scheme = re.match("([A-Za-z][A-Za-z0-9+.-]+):", location)
-    if scheme and scheme.group(1).lower() != "file":
-        raise ValueError(f"{location}: a tree must be on a mounted file system")
-    return re.sub("^file:/*", "/", location) if scheme else location
-
-
 def scan_root(roots: list[str]) -> str:
     """Where the ignore file and the project rules are: the first root, or its
     folder if it is a file."""
-    first = local_path(roots[0])
-    return first if os.path.isdir(first) else os.path.dirname(os.path.abspath(first))
+    store, path = store_of(roots[0])
+    found = store.root(path)
+    if found is None or found.folder:
+        return roots[0].rstrip("/") or "/"
+    return roots[0][: roots[0].rfind("/")] if "/" in roots[0] else "."
 
 
 def read_ignore(root: str, name: str = IGNORE_FILE) -> list[str]:
     """Patterns of the ignore file at the root; none if there is no such file."""
+    store, path = store_of(root)
     try:
-        with open(os.path.join(root, name), encoding="utf-8", errors="replace") as handle:
-            return ignore_lines(handle.read())
+        with store.open(f"{path}/{name}") as handle:
+            return ignore_lines(handle.read().decode("utf-8", "replace"))
     except FileNotFoundError:
         return []
 
 
 def _entries(folder: dict) -> Iterator[dict]:
-    """Regular files and sub-folders of one folder; links are left alone."""
-    with os.scandir(folder["abs_path"]) as entries:
-        for entry in entries:
-            is_folder = entry.is_dir(follow_symlinks=False)
-            if is_folder and entry.name == SKIPPED_FOLDER:
-                continue
-            if not is_folder and not entry.is_file(follow_symlinks=False):
-                continue
-            size = error = None
-            try:
-                size = None if is_folder else entry.stat(follow_symlinks=False).st_size
-            except OSError as problem:
-                error = problem.strerror or "unreadable"
+    """Regular files and sub-folders of one folder."""
+    store, _ = store_of(folder["root"])
+    for entry in store.entries(folder["abs_path"]):
+        if not (entry.folder and entry.name == SKIPPED_FOLDER):
             path = f"{folder['path']}/{entry.name}" if folder["path"] else entry.name
             yield {
                 "root_ord": folder["root_ord"], "root": folder["root"], "abs_path": entry.path,
-                "path": path, "size": size, "folder": is_folder, "named": False, "error": error,
+                "path": path, "size": entry.size, "folder": entry.folder, "named": False, "error": None,
             }
 
 
 def _unlisted(folder: dict, problem: OSError) -> dict:
     """A folder below a root that vanished or may not be read, as an entry that could not be read."""
-    return {**folder, "size": None, "folder": False, "named": False, "error": problem.strerror or "unreadable"}
+    return {**folder, "size": None, "folder": False, "named": False, "error": reason(problem)}
 
 
 def _list_folders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,17 +98,31 @@ def _list_folders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 yield pa.RecordBatch.from_pylist(rows, ENTRY_ARROW)
 
 
+def _ask_sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds the sizes of files whose store does not tell them when it lists a folder."""
+    for batch in batches:
+        rows = batch.to_pylist()
+        for row in rows:
+            if row["size"] is None and row["error"] is None and not row["folder"]:
+                try:
+                    row["size"] = store_of(row["root"])[0].size(row["abs_path"])
+                except OSError as problem:
+                    row["error"] = reason(problem)
+        yield pa.RecordBatch.from_pylist(rows, ENTRY_ARROW)
+
+
 def _roots(roots: list[str]) -> list[tuple]:
     """The roots as entries. A file given as root is named by itself."""
     rows = []
     for ordinal, root in enumerate(roots):
-        absolute = os.path.abspath(local_path(root))
-        info = os.lstat(absolute)  # a missing root is an error
-        if stat.S_ISDIR(info.st_mode) and os.path.basename(absolute) != SKIPPED_FOLDER:
+        store, absolute = store_of(root)
+        entry = store.root(absolute)
+        if entry is None:
+            continue
+        if not entry.folder:
+            rows.append((ordinal, root, absolute, entry.name, entry.size, False, True, None))
+        elif entry.name != SKIPPED_FOLDER:
             rows.append((ordinal, root, absolute, "", None, True, True, None))
-        elif stat.S_ISREG(info.st_mode):
-            name = os.path.basename(absolute)
-            rows.append((ordinal, root, absolute, name, info.st_size, False, True, None))
     return rows
 
 
@@ -146,7 +144,9 @@ def list_tree(spark: SparkSession, roots: list[str], matcher: PathMatcher) -> Da
         if count == 0:
             break
         tasks = min(count, 4 * spark.sparkContext.defaultParallelism)
-        level = folders.repartition(tasks, "abs_path").mapInArrow(_list_folders, ENTRY_SCHEMA)
+        named = folders.repartition(tasks, "abs_path").mapInArrow(_list_folders, ENTRY_SCHEMA)
+        # a fixed number of tasks: what they wait for is the file system, not the few bytes of a row
+        level = named.repartition(spark.sparkContext.defaultParallelism, "abs_path").mapInArrow(_ask_sizes, ENTRY_SCHEMA)
         depth += 1
     entries = spark.read.schema(ENTRY_SCHEMA).parquet(*(f"{base}/level={d}" for d in range(depth + 1)))
     return entries.filter(~F.col("folder") | (~F.col("named") & excluded))
@@ -169,17 +169,17 @@ def _read_files(skip_binary: bool):
                     names=[*names, "content", "error"],
                 )
 
-            rows = (batch.column(n).to_pylist() for n in ("abs_path", "status", "error"))
-            for at, (path, status, error) in enumerate(zip(*rows)):
+            rows = (batch.column(n).to_pylist() for n in ("root", "abs_path", "status", "error", "range_start", "range_end"))
+            for at, (root, path, status, error, first, end) in enumerate(zip(*rows)):
                 data = None
                 if status == SELECTED:
                     try:
-                        with open(path, "rb") as handle:
+                        with store_of(root)[0].open(path) as handle:
                             data = handle.read(SNIFF_BYTES)
                             if not skip_binary or b"\x00" not in data:
-                                data += handle.read()
+                                data = read_lines_of(handle, first, end)
                     except OSError as problem:
-                        data, error = None, problem.strerror or "unreadable"
+                        data, error = None, reason(problem)
                 content.append(data)
                 errors.append(error)
                 held += len(data or b"")
@@ -204,15 +204,64 @@ def select_tree(
     return chosen.withColumns({"excluded_by": pruned, "status": status})
 
 
-def read_selected(chosen: DataFrame, *, skip_binary: bool = False) -> DataFrame:
-    """The manifest with the content of the selected files and their final status."""
-    total = chosen.filter(F.col("status") == SELECTED).agg(F.sum("size")).first()[0] or 0
-    tasks = max(chosen.sparkSession.sparkContext.defaultParallelism, -(-total // TASK_BYTES))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema if f.name != "error")
-    read = chosen.repartition(int(tasks)).mapInArrow(
+def ranges_of(chosen: DataFrame, range_bytes: int | None) -> DataFrame:
+    """The manifest with ``range_no, range_start, range_end``: a row per range of a selected file of more bytes.
+
+    The last range has no end: it is read to the end of the file.
+    """
+    size = F.coalesce("size", F.lit(0))
+    step = F.lit(range_bytes or 1 << 62)
+    last = F.when((F.col("status") == SELECTED) & (size > step), F.floor((size - 1) / step).cast("long")).otherwise(F.lit(0).cast("long"))
+    each = chosen.withColumn("_last", last).withColumn("range_no", F.explode(F.sequence(F.lit(0).cast("long"), "_last")))
+    start = F.col("range_no") * step
+    end = F.when(F.col("range_no") < F.col("_last"), start + step)
+    return each.withColumns({"range_start": start, "range_end": end}).drop("_last")
+
+
+def read_selected(chosen: DataFrame, *, skip_binary: bool = False, range_bytes: int | None = None) -> DataFrame:
+    """The manifest with the content of the selected files and their final status.
+
+    With ``range_bytes``, a larger file is a row per range, read by tasks of their
+    own: ``content`` is the lines that begin in the range, whole, and ``range_no``
+    numbers the ranges from 0. A line is never cut, whatever its length.
+    """
+    each = ranges_of(chosen, range_bytes)
+    sizes = chosen.filter(F.col("status") == SELECTED).agg(F.sum("size")).first()[0] or 0
+    tasks = max(chosen.sparkSession.sparkContext.defaultParallelism, -(-sizes // TASK_BYTES))
+    dropped = ("error", "range_start", "range_end", *(() if range_bytes else ("range_no",)))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in each.schema if f.name != "error")
+    read = each.repartition(int(tasks)).mapInArrow(
         _read_files(skip_binary), f"{schema}, content binary, error string"
     )
-    return inspect_files(read, skip_binary=skip_binary)
+    return inspect_files(read.drop(*dropped[1:]), skip_binary=skip_binary)
+
+
+def _count_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        counts = []
+        rows = (batch.column(n).to_pylist() for n in ("root", "abs_path", "range_start", "range_end"))
+        for root, path, start, end in zip(*rows):
+            try:
+                with store_of(root)[0].open(path) as handle:
+                    counts.append(read_lines_of(handle, start, end).count(b"\n"))
+            except OSError:  # the pass that reads for the findings reports it
+                counts.append(0)
+        columns = [batch.column("abs_path"), batch.column("range_no"), pa.array(counts, pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, ["abs_path", "range_no", "lines"])
+
+
+def lines_before(chosen: DataFrame, range_bytes: int) -> DataFrame:
+    """``(abs_path, range_no, lines_before)`` of every range but the first of its file.
+
+    Only files of several ranges are read for it, a range by a task of its own.
+    """
+    large = ranges_of(chosen.filter((F.col("status") == SELECTED) & (F.col("size") > range_bytes)), range_bytes)
+    named = large.select("root", "abs_path", "range_no", "range_start", "range_end").filter(F.col("range_end").isNotNull())
+    ranges = named.count()
+    counted = named.repartition(max(1, ranges), "abs_path", "range_no").mapInArrow(_count_lines, "abs_path string, range_no long, lines long")
+    before = F.sum("lines").over(Window.partitionBy("abs_path").orderBy("range_no"))
+    sums = materialized(counted.select("abs_path", (F.col("range_no") + 1).alias("range_no"), before.alias("lines_before")), "lines-before")
+    return sums
 
 
 def read_tree(

@@ -159,7 +159,7 @@ def test_unreadable_and_missing(spark, tree, rules):
     with pytest.raises(FileNotFoundError):
         read_tree(spark, [str(tree / "nowhere")], path_matcher())
     with pytest.raises(ValueError, match="mounted"):
-        read_tree(spark, ["s3a://bucket/tree"], path_matcher())
+        read_tree(spark, ["nosuch://bucket/tree"], path_matcher())
     files = spark.createDataFrame(
         [(0, "/x", "x", 5, None, "denied")],
         "root_ord int, abs_path string, path string, size bigint, content binary, error string",
