@@ -391,6 +391,7 @@ def _oracles() -> dict[str, str]:
     out["history_dedup"] = f"{ON_PATCHES}, {dedup(False)} SELECT {COMMIT}, inline_hits FROM dd"
     out["history_dedup_strict"] = f"{ON_PATCHES}, {dedup(True)} SELECT {COMMIT}, inline_hits FROM dd"
     out["stream_dedup"] = f"{ON_PATCHES}, {dedup(False)} SELECT {COMMIT} FROM dd"
+    out["stream_dedup_expiring"] = out["stream_dedup"]
     out["staged_findings"] = (
         f"{ON_PATCHES}, {dedup(False, live_only=True, commit=False)} SELECT {PLAIN} FROM dd WHERE NOT hidden"
     )
@@ -403,6 +404,7 @@ def _oracles() -> dict[str, str]:
     )
     out["baseline_new"] = f"{BASELINE} SELECT {COMMIT} FROM marked WHERE NOT known"
     out["stream_new_findings"] = out["baseline_new"]
+    out["stream_growing_baseline"] = f"{BASELINE} SELECT {COMMIT} FROM marked WHERE event_id % 2 = 0 OR NOT known"
     out["baseline_roundtrip"] = f"{ON_LEAKS} SELECT {COMMIT} FROM found WHERE NOT hidden"
     many = (
         "many AS (SELECT concat('r', cast(event_id % 3 AS string)) AS repo, replace(path, 'docs', 'dö' || chr(9) || 'cs') AS path,"

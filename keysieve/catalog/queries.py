@@ -43,7 +43,7 @@ from keysieve.sources.rulesets import (
 from keysieve.sources.scratch import materialized, scratch_path
 from keysieve.sources.stores import local_path
 from keysieve.sources.tree import IGNORE_FILE, list_tree, read_selected, read_tree, select_tree, write_tree
-from keysieve.streaming import incremental
+from keysieve.streaming import incremental, keyed
 
 OVERLAY = """
 [extend]
@@ -600,6 +600,28 @@ def stream_dedup(spark, sf_dir):
     return incremental.latest_rows(spark, path).select(*FINDING_FIELDS)
 
 
+def stream_dedup_expiring(spark, sf_dir):
+    """Deduplication whose state expires; the merged table holds the rows."""
+    lines = _as_stream(added_lines(corpus.patches(spark, sf_dir)), "patch-lines")
+    path = scratch_path(spark, "stream-merged")
+    parts = keyed.stream_parts(incremental.stream_findings(lines, rules(), keep=("seq",)), idle_ms=1)
+    keyed.write_merged(parts, path, path + "-progress", every=2, availableNow=True).awaitTermination()
+    return keyed.merged_rows(spark, path).select(*FINDING_FIELDS)
+
+
+def stream_growing_baseline(spark, sf_dir):
+    """A stream with no baseline at first; the second half of the lines meets one."""
+    lines = corpus.leaks(spark, sf_dir)
+    source, base, out = (scratch_path(spark, name) for name in ("lines", "growing-baseline", "stream-new"))
+    for half in (0, 1):
+        lines.filter(f"event_id % 2 = {half}").write.mode("append").parquet(source)
+        found = incremental.stream_findings(spark.readStream.schema(lines.schema).parquet(source), rules()).select(*FINDING_FIELDS)
+        keyed.write_new(found, base, out, out + "-progress", availableNow=True).awaitTermination()
+        if half == 0:
+            keyed.add_known(_baseline(spark, sf_dir), base)
+    return spark.read.parquet(out).select(*FINDING_FIELDS)
+
+
 def _tree(spark, sf_dir):
     texts = corpus.files(spark, sf_dir).filter("root_ord < 2 AND error IS NULL")
     root = local_path(scratch_path(spark, "tree-root"))
@@ -696,7 +718,8 @@ QUERIES = {
         "findings_sorted", "scan_summary", "scan_verdict", "patch_summary", "report_json",
         "report_lines", "history_report", "probe_set", "verification_labels", "verification_tally",
         "github_status", "aws_status", "aws_pairing", "aws_key_pairs", "stream_findings",
-        "stream_new_findings", "stream_dedup", "tree_findings", "tree_coverage", "tree_manifest",
+        "stream_new_findings", "stream_dedup", "stream_dedup_expiring", "stream_growing_baseline",
+        "tree_findings", "tree_coverage", "tree_manifest",
         "tree_unread", "tree_large_files", "tree_ignored", "project_rules", "commit_times",
     )
 }

@@ -37,6 +37,23 @@ def keep_earliest(
     A plain aggregation: a secret copied into a million commits is reduced
     before the shuffle, and the same code keeps state on a stream.
     """
+    each = occurrences(findings, order=order, show_suppressed=show_suppressed, strict=strict, keep=keep)
+    return rows_of(merged(each), keep=keep)
+
+
+def occurrences(
+    findings: DataFrame,
+    *,
+    order: str = "seq",
+    show_suppressed: bool = True,
+    strict: bool = False,
+    keep: tuple[str, ...] = (),
+) -> DataFrame:
+    """One row per finding for :func:`merged`: what is shown and where it is placed, each with what decides.
+
+    ``([repo], fingerprint, seen, shown, placed, place, hits)``; the smallest
+    ``seen`` gives ``shown``, the smallest ``placed`` gives ``place``.
+    """
     hidden = F.coalesce("suppressed", F.lit(False))
     seen = F.struct(F.col(order), F.col("line"), F.col("column"))
     dated = F.nullif("commit_date", F.lit(""))
@@ -46,13 +63,27 @@ def keep_earliest(
         seen = F.struct(hidden.alias("hidden"), seen.alias("seen"))
     if not show_suppressed:
         placed = F.struct(hidden.alias("hidden"), placed.alias("placed"))
-    shown = (*SHOWN, *keep)
     repo = [c for c in (REPO,) if c in findings.columns]
-    grouped = findings.groupBy(*repo, "fingerprint").agg(
-        F.min_by(F.struct(*shown), seen).alias("shown"),
-        F.min_by(F.struct(*PLACE), placed).alias("place"),
-        F.sum(hidden.cast("long")).alias("inline_hits"),
+    return findings.select(
+        *repo, "fingerprint", seen.alias("seen"), F.struct(*SHOWN, *keep).alias("shown"),
+        placed.alias("placed"), F.struct(*PLACE).alias("place"), hidden.cast("long").alias("hits"),
+    )
+
+
+def merged(parts: DataFrame) -> DataFrame:
+    """Occurrences, or what was merged before, as one row per fingerprint; a null ``seen`` or ``placed`` decides nothing."""
+    repo = [c for c in (REPO,) if c in parts.columns]
+    return parts.groupBy(*repo, "fingerprint").agg(
+        F.min("seen").alias("seen"),
+        F.min_by("shown", "seen").alias("shown"),
+        F.min("placed").alias("placed"),
+        F.min_by("place", "placed").alias("place"),
+        F.sum("hits").alias("hits"),
     )
+
+
+def rows_of(merged_rows: DataFrame, *, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Finding records of merged occurrences."""
     columns = [
         F.col("fingerprint")
         if name == "fingerprint"
@@ -60,4 +91,5 @@ def keep_earliest(
         for name in FINDING_COLUMNS
     ]
     kept = [F.col(f"shown.{name}").alias(name) for name in keep]
-    return grouped.select(*columns, "inline_hits", *kept, *repo)
+    repo = [c for c in (REPO,) if c in merged_rows.columns]
+    return merged_rows.select(*columns, F.col("hits").alias("inline_hits"), *kept, *repo)
