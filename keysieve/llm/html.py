@@ -43,15 +43,23 @@ LEAST_PAGES_IN_ARTICLE, LEAST_PAGES = 12, 3
 # Element names of the HTML standard by how they are treated here.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 UNSEEN = frozenset(
-    "head script style template noscript iframe object svg canvas audio video map select datalist title textarea".split()
+    "head script style template noscript iframe object svg canvas audio video map select datalist title textarea "
+    "annotation annotation-xml".split()
 )
 APART = frozenset("nav footer aside form menu dialog button label fieldset".split())
+#: Elements that are no nodes of the tree; they belong to the text around them.
 INLINE = frozenset(
     "a abbr b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub "
     "sup time tt u var wbr "
-    "math semantics annotation mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom menclose maction "
+    "math semantics mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom menclose maction "
     "msub msup msubsup munder mover munderover mmultiscripts mprescripts none mtable mtr mlabeledtr mtd".split()
 )
+#: Elements that begin and end a block of text. All others, unknown ones included, stand within a line.
+BLOCKS = frozenset(
+    "html head title body address article aside blockquote center dialog dd details dir div dl dt fieldset figcaption figure footer "
+    "form frameset h1 h2 h3 h4 h5 h6 header hgroup hr legend li listing main menu nav ol optgroup option p plaintext pre search "
+    "section summary table caption colgroup col thead tbody tfoot tr td th ul xmp".split()
+)
 #: What may stand in ``head``; any other element, and any text, ends a head that is still open.
 IN_HEAD = frozenset("head base basefont bgsound link meta title style script noscript noframes template".split())
 MAIN_TAGS = frozenset(("article", "main"))
@@ -73,6 +81,14 @@ APART_WORDS = frozenset(
     "share sharing social follow subscribe subscription newsletter signup login search searchbox form "
     "related recommended recommendations teaser teasers more copyright legal skip hidden".split()
 )
+PART_WORDS = frozenset(
+    "site page main top bottom left right side block box container wrapper wrap inner outer area section list item items links link "
+    "bar buttons button slot unit zone region content text message info group panel primary secondary posts post articles article "
+    "stories entries us id wp js the and by user reader social media global local sticky fixed".split()
+)
+CONTAINERS = frozenset("div section ul ol dl table figure details iframe center ins span".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 p li".split())
+COMMENT_IDS = frozenset("comments comment-list commentlist comments-list comments-area disqus_thread respond".split())
 MAIN_WORDS = frozenset("article articlebody post postbody entry story main maincontent content body text".split())
 MAIN_PAIRS = frozenset(
     "article-body article-content article-text entry-content entry-body post-content post-body post-text story-body "
@@ -112,6 +128,32 @@ def marks(attributes: list[tuple[str, str | None]]) -> tuple[set[str], set[str],
     return words, names, hidden
 
 
+def says(name: str, words: frozenset[str]) -> bool:
+    """Whether a name consists of such words and of words for parts of pages: ``related-posts``, not ``related-work``."""
+    parts = WORDS.findall(name.replace("_", "-"))
+    return any(w in words for w in parts) and all(w in words or w in PART_WORDS for w in parts)
+
+
+def apart_by_name(tag: str, attributes: list, zone: int) -> bool:
+    """Whether class, role or id put an element apart.
+
+    An id is often a slug of a heading, and a paragraph or a heading is text
+    whatever it is called: outside a marked article a whole name must say so, inside
+    one the name of a container. There, an id tells reader comments alone.
+    """
+    named = {k: (v or "").lower().split() for k, v in attributes if k in ("class", "id", "role")}
+    labels = named.get("class", []) + named.get("role", [])
+    if zone == MAIN:
+        inside = APART_WORDS - {"header"}
+        return tag in CONTAINERS and (
+            any(says(n, inside) for n in labels) or any(n in COMMENT_IDS for n in named.get("id", []))
+        )
+    if tag in HEADINGS:
+        return any(says(n, APART_WORDS) for n in labels)
+    own = {w for n in labels for w in WORDS.findall(n.replace("_", "-"))}
+    return bool(own & APART_WORDS) or any(says(n, APART_WORDS) for n in named.get("id", []))
+
+
 def zone_of(tag: str, attributes: list, zone: int) -> int:
     """Whether an element's text is left out, open, or in the marked article."""
     if zone == LEFT or tag in APART or tag in UNSEEN:
@@ -120,10 +162,7 @@ def zone_of(tag: str, attributes: list, zone: int) -> int:
     main = tag in MAIN_TAGS or "main" in names or "articlebody" in names or bool(names & MAIN_PAIRS)
     if hidden:
         return LEFT
-    apart = words & APART_WORDS
-    if zone == MAIN:
-        apart -= {"header"}
-    if apart and tag not in ("article", "main", "body", "html") and not names & MAIN_PAIRS:
+    if tag not in ("article", "main", "body", "html") and not names & MAIN_PAIRS and apart_by_name(tag, attributes, zone):
         return LEFT
     if tag == "header":
         return zone if zone == MAIN else LEFT
@@ -177,11 +216,11 @@ class PageParser(HTMLParser):
 
     def handle_starttag(self, tag, attrs):
         self.close_head(tag)
-        if tag in ("br", "annotation", "mtr", "mtd"):
+        if tag in ("br", "mtr", "mtd"):
             self.pieces.append(" ")
         if tag == "br":
             return
-        if tag not in INLINE:
+        if tag in BLOCKS:
             self.flush()
         if tag in CLOSES_PARAGRAPH and (open_p := self.open_above(("p",), SCOPES)):
             self.pop_to(open_p)
@@ -203,10 +242,10 @@ class PageParser(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag):
-        if tag not in INLINE:
+        if tag in BLOCKS:
             self.flush()
         node = None if tag in VOID else self.open_above((tag,))
-        if node is None or (tag in INLINE and any(n.tag not in INLINE for n in self.between(node))):
+        if node is None or (tag in INLINE and any(n.tag in BLOCKS for n in self.between(node))):
             return  # an inline element does not close the blocks inside it
         self.pop_to(node)
 

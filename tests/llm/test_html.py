@@ -1,4 +1,5 @@
 import random
+import re
 
 from keysieve.llm import html
 
@@ -41,10 +42,51 @@ def test_head_without_an_end(spark):
 
 
 def test_formulas_are_text(spark):
+    """What is shown of a formula is; its source in another language is not shown."""
     formula = "<math><mrow><mi>x</mi><mo>=</mo><mfrac><mn>1</mn><mi>y</mi></mfrac><mspace width='1'/></mrow></math>"
     tex = "<math><semantics><mi>z</mi><annotation encoding='application/x-tex'>z</annotation></semantics></math>"
     got = text_of(spark, [(1, "http://a.org/", f"<body><article><p>Let {formula} hold, and {tex}.</p></article>")])
-    assert got == {1: "Let x=1y hold, and z z."}
+    assert got == {1: "Let x=1y hold, and z."}
+
+
+def test_names_of_text_are_no_marks(spark):
+    """Ids are slugs of headings; inside an article only a container whose whole name says so is apart."""
+    kept = ("<h2 id='related-work'>1</h2><h2 id='legal-status'>2</h2><h2 id='search' class='search-title'>3</h2><p id='comment-on-results'>4</p>"
+            "<p class='read-more-text'>5</p><section id='form-of-government'><p>6</p></section><h3 id='comments'>7</h3>"
+            "<div class='legal-status'>8</div><ul><li id='menu'>9</li></ul><div class='more-results-of-search'>10</div>")
+    gone = ("<div class='related-posts'>a</div><div class='social-share'>b</div><div id='comments'><p>c</p></div><div role='navigation'>d</div>"
+            "<ul class='share-buttons'><li>e</li></ul><div class='ad-slot'>f</div><div hidden>g</div><section class='comments-area'>h</section>")
+    open_ = "<h2 id='related-work'>1</h2><p id='legal-status'>2</p><p class='cookie-notice'>a</p><div id='main-menu'>b</div><div class='sidebar'>c</div>"
+    got = text_of(spark, [(1, "http://a.org/", f"<body><article>{kept}{gone}</article></body>"), (2, "http://b.org/", f"<body>{open_}</body>")])
+    assert got == {1: "\n".join(map(str, range(1, 11))), 2: "1\n2"}
+
+
+def test_paragraphs_are_not_cut(spark):
+    """Elements that are not blocks stand within a line, unknown ones included, whether their text is shown or not."""
+    line = ("<p>one <script>x</script>two <acronym>NATO</acronym> three <svg><text>s</text></svg>four <picture><source><img></picture>five "
+            "<x-tip>six</x-tip> sev<button>b</button>en <video>v</video><input>eight <nobr>ni</nobr>ne</p>")
+    got = text_of(spark, [(1, "http://a.org/", f"<body><article>{line}<x-card><p>a</p>b</x-card></article></body>")])
+    assert got == {1: "one two NATO three four five six seven eight nine\na\nb"}
+
+
+def test_induction_decides_where_marks_are_missing(spark, sf_dir):
+    """Pages without any mark: what their host repeats goes only if pages of the host are seen together."""
+    rows = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html").limit(40).collect()
+    pages, alone = [], []
+    for n, r in enumerate(rows):
+        plain = re.sub(r"<(/?)(?:article|main|nav|aside|header|footer|form)\b[^>]*>", r"<\1div>", r.html or "")
+        plain = re.sub(r'(?<=div) (?:class|id|role)="[^"]*"', "", plain)
+        plain = plain.replace("<body>", "<body><div><p>The same welcome</p></div>").replace("</body>", "<div><p>The same end</p></div></body>")
+        pages.append((n, "http://host.org/", plain))
+        alone.append((n, f"http://host{n}.org/", plain))
+    together, apart = text_of(spark, pages), text_of(spark, alone)
+    assert sum("The same" in t for t in apart.values()) == len(rows)
+    assert sum("The same" in t for t in together.values()) <= 0.1 * len(rows)
+
+
+def test_invalid_utf8(spark):
+    frame = spark.sql("SELECT 1L AS page_id, 'u' AS url, cast(unhex(concat(hex('<article>a'), 'FF', hex('b'))) AS string) AS html")
+    assert [r.text for r in html.extract(frame).collect()] == ["a�b"]
 
 
 def test_induced_template(spark):
