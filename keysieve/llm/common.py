@@ -76,17 +76,33 @@ def fresh(frame: DataFrame, name: str) -> str:
 def per_batch(work: Callable[[pa.RecordBatch], pa.RecordBatch], rows: int) -> Callable:
     """An Arrow iterator function that works on at most so many rows at a time.
 
-    Batches are cut, never shortened: every row is handled.
+    Batches are cut, never shortened: every row is handled. Texts are readable in
+    Python: bytes that are not UTF-8 have become U+FFFD.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, rows):
-                yield work(batch.slice(start, rows))
+                yield work(readable(batch.slice(start, rows)))
 
     return run
 
 
+def readable(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """The batch with U+FFFD in its texts where bytes are not UTF-8, which Spark strings may hold."""
+    columns = []
+    for column in batch.columns:
+        if pa.types.is_string(column.type) or pa.types.is_large_string(column.type):
+            try:
+                column.validate(full=True)
+            except pa.ArrowInvalid:
+                raw = column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary())
+                texts = [None if one is None else one.decode("utf-8", "replace") for one in raw.to_pylist()]
+                column = pa.array(texts, column.type)
+        columns.append(column)
+    return pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+
+
 def valid_text(column: Column | str) -> Column:
     """The column as text in which bytes that are not UTF-8 have become U+FFFD; Python could not read them."""
     return F.make_valid_utf8((F.col(column) if isinstance(column, str) else column).cast("string"))

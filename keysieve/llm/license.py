@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from keysieve.llm.common import broadcast_if_small, per_batch, written
+from keysieve.llm.common import broadcast_if_small, per_batch, valid_text, written
 
 BATCH_ROWS = 512
 LEAST_SIMILARITY = 0.75
@@ -164,7 +164,7 @@ def word_counts(files: DataFrame) -> DataFrame:
                     count = Counter()
         yield rows(count)
 
-    return files.select("text").mapInArrow(work, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    return files.select(valid_text("text").alias("text")).mapInArrow(work, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
 
 def document_frequencies(words: DataFrame) -> tuple[int, dict[str, int]]:

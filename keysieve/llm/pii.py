@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from keysieve.llm.common import per_batch, worker_memory
+from keysieve.llm.common import per_batch, valid_text, worker_memory
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "uri", "account")
@@ -276,7 +276,7 @@ def redact(frame: DataFrame, text: str = "text") -> DataFrame:
 
         return pd.Series([mask(t) for t in texts], dtype=object)
 
-    return frame.withColumn(text, masked(F.col(text)))
+    return frame.withColumn(text, masked(valid_text(text)))
 
 
 def mask(text: str | None) -> str | None:

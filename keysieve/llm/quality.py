@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from keysieve.llm.common import fresh, held_out, per_batch, written
+from keysieve.llm.common import fresh, held_out, per_batch, valid_text, written
 
 THRESHOLD = 0.3
 POOLING = 0.7
@@ -214,4 +214,4 @@ def keep_good(documents: DataFrame, labels: DataFrame, threshold: float = THRESH
         x = np.array([statistics(t) for t in texts], dtype=np.float64).reshape(len(texts), len(STATISTICS))
         return pd.Series(model.score(x) >= threshold)
 
-    return documents.withColumn(kept, good(F.col("text"))).where(F.col(kept)).drop(kept)
+    return documents.withColumn(kept, good(valid_text("text"))).where(F.col(kept)).drop(kept)
