@@ -330,6 +330,15 @@ def _oracles() -> dict[str, str]:
     )
     out["dense_lines"] = f"WITH {LEAKS}, {dense}, {ctes('dense').strip()} SELECT {PLAIN} FROM found"
     out["rules_from_table_findings"] = f"{ON_LEAKS} SELECT rule_id, count(*) AS findings FROM found GROUP BY rule_id"
+    globally = " OR ".join(any_of(column, [p for a in default.allowlists for p in getattr(a, kind)])
+                           for column, kind in (("v", "regexes"), ("path", "paths")))
+    out["indexed_findings"] = (
+        f"{ON_LEAKS}, watched AS (SELECT event_id % 400 AS customer, 'Acct#' || event_id % 400 || '~' || (event_id % 9000 + 1000) AS v, path"
+        " FROM leaks WHERE event_id % 24 = 21)"
+        " SELECT rule_id, secret, count(*) AS findings FROM (SELECT rule_id, secret FROM found UNION ALL"
+        " SELECT 'customer-' || customer, CASE WHEN strlen(v) < 16 THEN '[REDACTED]' ELSE left(v, 4) || '****...****' || right(v, 4) END"
+        f" FROM watched WHERE customer IN (SELECT c_custkey FROM customer) AND NOT ({globally})) GROUP BY ALL"
+    )
     out["keyword_gate"] = (
         f"WITH {DOC_TEXTS}, {LINES} SELECT path, line_no, md5(line) AS line_md5 FROM lines WHERE {any_gate(default, 'line')}"
     )

@@ -24,6 +24,7 @@ from keysieve.functions.text import (
 from keysieve.operators import detect as det
 from keysieve.operators import verify
 from keysieve.operators.dedup import keep_earliest
+from keysieve.operators.indexed import build_index, detect_indexed
 from keysieve.operators.files import coverage, file_status, scanned_texts, unread
 from keysieve.operators.suppress import apply_baseline, known_findings, new_findings, reportable
 from keysieve.plans import report, scan
@@ -115,6 +116,22 @@ def rules_from_table_findings(spark, sf_dir):
     return found.groupBy("rule_id").agg(F.count(F.lit(1)).alias("findings"))
 
 
+def indexed_findings(spark, sf_dir):
+    """Detection with rules that stay a table: the built-in ones, and one per customer that watches for its account number."""
+    own = corpus.table(spark, sf_dir, "customer").selectExpr(
+        "cast(c_custkey + 1000 AS int) AS ordinal", "concat('customer-', c_custkey) AS id", "c_name AS description",
+        "concat('[Aa]cct#', c_custkey, '~[0-9]{4}') AS regex", "cast(0 AS double) AS entropy", "array(concat('acct#', c_custkey, '~')) AS keywords",
+        "0 AS secret_group", "false AS is_heuristic",
+    )
+    built_in = rules_table(spark, rules())
+    own = own.withColumn("allowlists", F.array().cast(built_in.schema["allowlists"].dataType))
+    lines = corpus.leaks(spark, sf_dir)
+    watched = F.when(F.col("event_id") % 24 == 21, F.concat("line", F.lit(" Acct#"), F.col("event_id") % 400, F.lit("~"), F.col("event_id") % 9000 + 1000))
+    index = build_index(built_in.unionByName(own))
+    found = detect_indexed(lines.withColumn("line", F.coalesce(watched, "line")), index, allowlists=rules().allowlists)
+    return found.groupBy("rule_id", "secret").agg(F.count(F.lit(1)).alias("findings"))
+
+
 def keyword_gate(spark, sf_dir):
     lines = det.lines_of(det.gate(corpus.documents(spark, sf_dir), rules(), "text"))
     return det.gate(lines, rules()).select("path", "line_no", F.md5("line").alias("line_md5"))
@@ -706,7 +723,7 @@ def commit_times(spark, sf_dir):
 QUERIES = {
     name: globals()[name]
     for name in (
-        "leak_findings", "doc_findings", "dense_lines", "rules_from_table_findings", "keyword_gate", "rule_candidates",
+        "leak_findings", "doc_findings", "dense_lines", "rules_from_table_findings", "indexed_findings", "keyword_gate", "rule_candidates",
         "regex_matches", "entropy_gate", "entropy_off", "secret_entropy", "allowlist_filtered",
         "redacted", "fingerprints", "content_keys", "sanitized_text", "path_excluded",
         "excluded_counts", "ignore_negation", "file_statuses", "file_coverage", "file_findings",

@@ -233,6 +233,11 @@ def matches(lines: DataFrame, ruleset: RuleSet, directive: str | None = None) ->
             found = found.withColumn(name, cut(specs)("rule_ord", F.when(chosen, F.col("_subject"))))
             marked = F.when(chosen, F.col(name)).otherwise(marked)
     found = found.withColumn("_pieces", F.split(marked, "\n"))
+    return _hits(found, per_rule(ruleset, lambda r: quoted(r.id), "cast(NULL AS string)"))
+
+
+def _hits(found: DataFrame, rule_id: Column) -> DataFrame:
+    """One row per match of lines that are cut into ``_pieces``, as :func:`matches` describes it."""
     sizes = F.transform(
         "_pieces",
         lambda p: F.when(F.col("_latin"), F.length(p)).otherwise(F.octet_length(p)).cast("long"),
@@ -260,7 +265,7 @@ def matches(lines: DataFrame, ruleset: RuleSet, directive: str | None = None) ->
 
     found = found.withColumns(
         {
-            "rule_id": per_rule(ruleset, lambda r: quoted(r.id), "cast(NULL AS string)"),
+            "rule_id": rule_id,
             "column": F.col("_hit.column"),
             "before": raw(F.col("_hit.before")),
             "raw": raw(F.col("_hit.secret")),
@@ -325,6 +330,13 @@ def project(
     heuristic = per_rule(
         ruleset, lambda r: "true" if r.is_heuristic else None, "cast(NULL AS boolean)"
     )
+    return records(found, heuristic, directive=directive, keep=keep, keep_raw=keep_raw)
+
+
+def records(
+    found: DataFrame, heuristic: Column, *, directive: str | None, keep: tuple[str, ...], keep_raw: bool
+) -> DataFrame:
+    """Finding records of matches; ``heuristic`` is true for rules that are, else null."""
     hidden = F.lit(None).cast("boolean")
     if directive is not None:
         hidden = F.when(in_scope(F.col("_directive"), F.col("rule_id"), directive), F.lit(True))
