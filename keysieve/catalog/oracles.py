@@ -382,6 +382,11 @@ def _oracles() -> dict[str, str]:
     out["ignore_negation"] = (
         f"WITH {LEAKS} SELECT DISTINCT path, {last} AS file_excluded, ({last}) OR {in_svc3} AS excluded FROM leaks"
     )
+    out["repos_ignored"] = (
+        f"WITH {LEAKS}, many AS (SELECT DISTINCT concat('r', cast(event_id % 3 AS string)) AS repo, path FROM leaks) SELECT repo, path,"
+        f" CASE repo WHEN 'r0' THEN ({last}) OR {in_svc3} WHEN 'r1' THEN contains(path, '/docs/') OR"
+        " (path LIKE '%.go' AND NOT starts_with(path, 'svc2/')) ELSE false END AS excluded FROM many"
+    )
     out["file_statuses"] = f"WITH {LEAKS}, {FILES} SELECT CAST(root_ord AS INTEGER) AS root_ord, abs_path, path, status FROM files"
     out["file_coverage"] = f"WITH {LEAKS}, {FILES} SELECT {COUNTERS} FROM files"
     out["file_findings"] = f"{ON_OPEN_FILES}, {ctes('lines').strip()} SELECT {PLAIN} FROM found"

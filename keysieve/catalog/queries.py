@@ -24,8 +24,9 @@ from keysieve.functions.text import (
 from keysieve.operators import detect as det
 from keysieve.operators import verify
 from keysieve.operators.dedup import keep_earliest
-from keysieve.operators.indexed import build_index, detect_indexed
 from keysieve.operators.files import coverage, file_status, scanned_texts, unread
+from keysieve.operators.ignores import ignore_patterns, with_ignored
+from keysieve.operators.indexed import build_index, detect_indexed
 from keysieve.operators.suppress import apply_baseline, known_findings, new_findings, reportable
 from keysieve.plans import report, scan
 from keysieve.sources.baseline import read_baseline, write_baseline
@@ -237,6 +238,15 @@ def ignore_negation(spark, sf_dir):
 LIMITS = {"max_mb": 10, "skip_binary": True}
 
 
+def repos_ignored(spark, sf_dir):
+    """Three repositories, two of them with an ignore file of their own."""
+    files = corpus.leaks(spark, sf_dir).select(F.concat(F.lit("r"), (F.col("event_id") % 3).cast("string")).alias("repo"), "path").distinct()
+    lines = [("r0", n, line) for n, line in enumerate(IGNORES)] + [("r1", 0, "**/*.go"), ("r1", 1, "!svc2/**"), ("r1", 2, "**/docs/**")]
+    patterns = ignore_patterns(spark.createDataFrame(lines, "repo string, ordinal int, line string"))
+    found = with_ignored(files, patterns, everywhere=path_matcher((), defaults=False))
+    return found.select("repo", "path", F.col("excluded_by").isNotNull().alias("excluded"))
+
+
 def file_statuses(spark, sf_dir):
     files = file_status(corpus.files(spark, sf_dir), path_matcher(), **LIMITS)
     return files.select("root_ord", "abs_path", "path", "status")
@@ -726,7 +736,7 @@ QUERIES = {
         "leak_findings", "doc_findings", "dense_lines", "rules_from_table_findings", "indexed_findings", "keyword_gate", "rule_candidates",
         "regex_matches", "entropy_gate", "entropy_off", "secret_entropy", "allowlist_filtered",
         "redacted", "fingerprints", "content_keys", "sanitized_text", "path_excluded",
-        "excluded_counts", "ignore_negation", "file_statuses", "file_coverage", "file_findings",
+        "excluded_counts", "ignore_negation", "repos_ignored", "file_statuses", "file_coverage", "file_findings",
         "lines_exploded", "document_lines", "patch_lines", "files_in_patches", "history_findings",
         "staged_findings", "history_dedup", "history_dedup_strict", "history_many_repos", "history_huge_commit", "staged_export",
         "repos_summary",

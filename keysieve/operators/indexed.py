@@ -28,19 +28,19 @@ from keysieve.functions.keywords import BY_RARITY, folded, minimal
 from keysieve.functions.regex import PYTHON, parse
 from keysieve.functions.text import as_characters, shannon_entropy
 from keysieve.operators.detect import _hits, _marked, _marking, allowlisted, any_of, lines_of, records
-from keysieve.operators.suppress import DIRECTIVE, first_directive
+from keysieve.operators.suppress import DIRECTIVE, REPO, first_directive
 from keysieve.sources.rulesets import Allowlist, Rule, RuleError
 from keysieve.sources.scratch import materialized
 
 RUN = 3
 COMPILED = (
     "rule_ord int, rule_id string, rule_entropy double, rule_heuristic boolean, rule_values string, rule_paths string,"
-    " _keywords array<string>, _runs array<string>, _pattern string, _replacement string, _capture string, _problem string"
+    " _scope string, _keywords array<string>, _runs array<string>, _pattern string, _replacement string, _capture string, _problem string"
 )
 COMPILED_ARROW = pa.schema(
     [
         ("rule_ord", pa.int32()), ("rule_id", pa.string()), ("rule_entropy", pa.float64()), ("rule_heuristic", pa.bool_()),
-        ("rule_values", pa.string()), ("rule_paths", pa.string()), ("_keywords", pa.list_(pa.string())),
+        ("rule_values", pa.string()), ("rule_paths", pa.string()), ("_scope", pa.string()), ("_keywords", pa.list_(pa.string())),
         ("_runs", pa.list_(pa.string())), ("_pattern", pa.string()), ("_replacement", pa.string()), ("_capture", pa.string()),
         ("_problem", pa.string()),
     ]
@@ -59,7 +59,7 @@ def _compiled(row: dict) -> dict:
     lists = [Allowlist(regexes=tuple(a["regexes"] or ()), paths=tuple(a["paths"] or ())) for a in row["allowlists"] or ()]
     out = {
         "rule_ord": row["ordinal"], "rule_id": row["id"], "rule_entropy": row["entropy"] or None,
-        "rule_heuristic": True if row["is_heuristic"] else None, "_keywords": words, "_runs": [rarest_run(w) for w in words],
+        "rule_heuristic": True if row["is_heuristic"] else None, "_scope": row.get(REPO) or "", "_keywords": words, "_runs": [rarest_run(w) for w in words],
     }
     rule = Rule(id=row["id"], regex=row["regex"], keywords=tuple(words), secret_group=row["secret_group"] or 0)
     try:
@@ -107,7 +107,7 @@ def _cut_by_capture(patterns: pd.Series, subjects: pd.Series) -> pd.Series:
 
 @dataclass(frozen=True)
 class RuleIndex:
-    """``rules`` has a row per rule, ``runs`` a row per keyword: ``run, keyword, earlier, rule_ord``."""
+    """``rules`` has a row per rule, ``runs`` a row per keyword: ``run, scope, keyword, earlier, rule_ord``."""
 
     rules: DataFrame
     runs: DataFrame
@@ -115,11 +115,16 @@ class RuleIndex:
     sizes: tuple[int, ...]
     #: Whether there are rules whose secret sits under a repetition or an alternation.
     nested: bool
+    #: Whether rules may hold for one repository only; lines then have a ``repo``.
+    scoped: bool = False
 
 
 def build_index(table: DataFrame) -> RuleIndex:
     """The index of a table of rules, as :func:`keysieve.sources.rulesets.rules_table` lays them out.
 
+    Ordinals are unique in the table. With a ``repo`` column, a rule holds for that
+    repository alone, one without for all.
+
     A pattern that cannot be read fails the build and is named. Rules without a
     keyword are never tried. The driver gets the distinct letters of all keywords,
     to fold their cases, and the lengths of runs.
@@ -128,9 +133,9 @@ def build_index(table: DataFrame) -> RuleIndex:
     problem = rules.filter("_problem IS NOT NULL").orderBy("rule_ord").select("_problem").first()
     if problem:
         raise RuleError(problem["_problem"])
-    each = rules.select("rule_ord", "_keywords", F.posexplode(F.arrays_zip("_keywords", "_runs")).alias("_at", "_word"))
+    each = rules.select("rule_ord", "_scope", "_keywords", F.posexplode(F.arrays_zip("_keywords", "_runs")).alias("_at", "_word"))
     runs = each.select(
-        F.col("_word._runs").alias("run"), F.col("_word._keywords").alias("keyword"),
+        F.col("_word._runs").alias("run"), F.col("_scope").alias("scope"), F.col("_word._keywords").alias("keyword"),
         F.slice("_keywords", F.lit(1), F.col("_at")).alias("earlier"), "rule_ord",
     )
     runs = materialized(runs, "rule-runs")
@@ -138,7 +143,7 @@ def build_index(table: DataFrame) -> RuleIndex:
     found = sorted(r["c"] for r in letters.collect() if r["c"].isalpha())
     sizes = sorted(r["n"] for r in runs.select(F.char_length("run").alias("n")).distinct().collect())
     nested = not rules.filter("_capture IS NOT NULL").limit(1).isEmpty()
-    return RuleIndex(rules.drop("_problem", "_keywords", "_runs"), runs, "".join(found), tuple(sizes), nested)
+    return RuleIndex(rules.drop("_problem", "_scope", "_keywords", "_runs"), runs, "".join(found), tuple(sizes), nested, REPO in table.columns)
 
 
 def indexed_candidates(lines: DataFrame, index: RuleIndex, directive: str | None = None) -> DataFrame:
@@ -149,10 +154,12 @@ def indexed_candidates(lines: DataFrame, index: RuleIndex, directive: str | None
     broken = F.raise_error(F.lit("a line holds a newline; cut texts with lines_of")).cast("string")
     whole = F.when(F.contains("line", F.lit("\n")), broken).otherwise(F.col("line"))
     each = lines.withColumn("line", whole).withColumn("_low", low).select("*", F.explode(every).alias("run"))
-    tried = each.join(index.runs, "run").filter(
+    own = F.array(F.lit(""), F.coalesce(F.col(REPO), F.lit(""))) if index.scoped else F.array(F.lit(""))
+    each = each.withColumn("scope", F.explode(F.array_distinct(own)))
+    tried = each.join(index.runs, ["run", "scope"]).filter(
         F.contains("_low", F.col("keyword")) & ~F.exists("earlier", lambda word: F.contains(F.col("_low"), word))
     )
-    tried = tried.drop("run", "keyword", "earlier", "_low")
+    tried = tried.drop("run", "scope", "keyword", "earlier", "_low")
     if directive is not None:
         tried = tried.withColumn("_directive", first_directive(F.col("line"), directive))
     return tried.join(index.rules, "rule_ord")

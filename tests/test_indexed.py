@@ -96,6 +96,19 @@ def test_fifty_thousand_rules(spark, rules, sf_dir):
     assert abs(sizes[0] - sizes[1]) < 2000
 
 
+def test_rules_of_repositories(spark):
+    """A rule file per repository, and rules that hold for all; the same id may mean another pattern elsewhere."""
+    common, own = Rule("common", "k[0-9]+", ("k",)), {"r0": Rule("own", "a[0-9]+", ("a", "k")), "r1": Rule("own", "b[0-9]+", ("b",))}
+    both = RuleSet(rules=(common, own["r0"], own["r1"]))
+    table = rules_table(spark, both).withColumn("repo", F.expr("CASE ordinal WHEN 1 THEN 'r0' WHEN 2 THEN 'r1' END"))
+    lines = [(repo, "p", n, line) for repo in ("r0", "r1", "r2") for n, line in enumerate(["k1 a2 b3", "a4 b5", "none"])]
+    frame = spark.createDataFrame(lines, "repo string, path string, line_no int, line string")
+    found = detect_indexed(frame, build_index(table), keep=("repo",))
+    for repo in ("r0", "r1", "r2"):
+        ruleset = validate(RuleSet(rules=(common, *([own[repo]] if repo in own else []))))
+        assert same(found.filter(F.col("repo") == repo), detect(frame.filter(F.col("repo") == repo), ruleset)) > 0
+
+
 def test_a_bad_pattern_is_named(spark):
     table = rules_table(spark, RuleSet(rules=(Rule("good", "a", ("a",)), Rule("bad", "(?=a)", ("a",)))))
     with pytest.raises(RuleError, match="bad"):
