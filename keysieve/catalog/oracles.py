@@ -429,6 +429,9 @@ def _oracles() -> dict[str, str]:
         f"{on_many} SELECT repo, path AS file, rule_id, first(secret) AS secret, fingerprint, min(commit_date) AS commit_date"
         " FROM found WHERE NOT hidden GROUP BY repo, path, rule_id, fingerprint"
     )
+    out["stream_export"] = (
+        f"{on_many} SELECT rule_id, path AS file, count(*) AS findings, count(DISTINCT event_id) AS commits FROM found GROUP BY rule_id, path"
+    )
     on_whole = on_many.replace("replace(path, 'docs', 'dö' || chr(9) || 'cs') AS path", "path")
     out["history_huge_commit"] = (
         f"{on_whole} SELECT repo, path AS file, CAST(min(line_no) AS INTEGER) AS line, rule_id, first(secret) AS secret, fingerprint,"

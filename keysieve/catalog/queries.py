@@ -30,7 +30,7 @@ from keysieve.operators.indexed import build_index, detect_indexed
 from keysieve.operators.suppress import apply_baseline, known_findings, new_findings, reportable
 from keysieve.plans import report, scan
 from keysieve.sources.baseline import read_baseline, write_baseline
-from keysieve.sources.patches import added_lines, files_touched, read_history
+from keysieve.sources.patches import added_lines, files_touched, read_history, split_commits
 from keysieve.sources.rulesets import (
     PROJECT_FILE,
     RuleSet,
@@ -45,7 +45,7 @@ from keysieve.sources.rulesets import (
 from keysieve.sources.scratch import materialized, scratch_path
 from keysieve.sources.stores import local_path
 from keysieve.sources.tree import IGNORE_FILE, list_tree, read_selected, read_tree, select_tree, write_tree
-from keysieve.streaming import incremental, keyed
+from keysieve.streaming import exports, incremental, keyed
 
 OVERLAY = """
 [extend]
@@ -283,8 +283,8 @@ def files_in_patches(spark, sf_dir):
     return files_touched(patches.withColumn("new_path", F.when(~gone, F.col("new_path"))))
 
 
-def _exports(spark, sf_dir):
-    """A history export per repository, written as text: equal paths and secrets in all, and names beyond ASCII."""
+def _export_rows(spark, sf_dir):
+    """A commit per line of the corpus as text: equal paths and secrets in three repositories, and names beyond ASCII."""
     line = corpus.leaks(spark, sf_dir).withColumn("repo", F.concat(F.lit("r"), (F.col("event_id") % 3).cast("string")))
 
     def quoted(side: str):
@@ -297,8 +297,13 @@ def _exports(spark, sf_dir):
         F.lit("\n--- "), quoted("a"), F.lit("\n+++ "), quoted("b"), F.lit("\n@@ -0,0 +"), F.col("line_no").cast("string"),
         F.lit(" @@\n+"), "line",
     )
+    return line.select("repo", text.alias("value"))
+
+
+def _exports(spark, sf_dir):
+    """A history export per repository."""
     path = scratch_path(spark, "exports")
-    line.select("repo", text.alias("value")).write.partitionBy("repo").text(path)
+    _export_rows(spark, sf_dir).write.partitionBy("repo").text(path)
     return path
 
 
@@ -649,6 +654,22 @@ def stream_growing_baseline(spark, sf_dir):
     return spark.read.parquet(out).select(*FINDING_FIELDS)
 
 
+def stream_export(spark, sf_dir):
+    """A stream over a folder of exports, which gets more files between two runs of the query."""
+    exports.register(spark)
+    path, out = scratch_path(spark, "growing-exports"), scratch_path(spark, "stream-export")
+    rows = _export_rows(spark, sf_dir).withColumn("half", F.pmod(F.xxhash64("value"), F.lit(2)))
+    for half in (0, 1):
+        rows.filter(F.col("half") == half).select("value").repartition(4).write.mode("append").text(path)
+        commits = spark.readStream.format(exports.NAME).option("closed", "true").load(path)
+        found = incremental.stream_findings(added_lines(split_commits(commits)), rules())
+        query = incremental.write_appended(found.select(*FINDING_FIELDS), out, out + "-progress", processingTime="0 seconds")
+        query.processAllAvailable()
+        query.stop()
+    found = spark.read.schema(found.select(*FINDING_FIELDS).schema).parquet(out)
+    return found.groupBy("rule_id", "file").agg(F.count(F.lit(1)).alias("findings"), F.count_distinct("commit_sha").alias("commits"))
+
+
 def _tree(spark, sf_dir):
     texts = corpus.files(spark, sf_dir).filter("root_ord < 2 AND error IS NULL")
     root = local_path(scratch_path(spark, "tree-root"))
@@ -745,7 +766,7 @@ QUERIES = {
         "findings_sorted", "scan_summary", "scan_verdict", "patch_summary", "report_json",
         "report_lines", "history_report", "probe_set", "verification_labels", "verification_tally",
         "github_status", "aws_status", "aws_pairing", "aws_key_pairs", "stream_findings",
-        "stream_new_findings", "stream_dedup", "stream_dedup_expiring", "stream_growing_baseline",
+        "stream_new_findings", "stream_dedup", "stream_dedup_expiring", "stream_growing_baseline", "stream_export",
         "tree_findings", "tree_coverage", "tree_manifest",
         "tree_unread", "tree_large_files", "tree_ignored", "project_rules", "commit_times",
     )
