@@ -378,8 +378,15 @@ def inline_suppressed(spark, sf_dir):
 
 
 def _baseline(spark, sf_dir):
+    """What is known of the lines: the findings of a third of them, a table that is there before the query."""
     third = corpus.leaks(spark, sf_dir).filter("event_id % 3 = 0")
-    return materialized(reportable(det.detect(third, rules())), "baseline")
+    return corpus.stored(spark, "baseline", sf_dir, lambda: reportable(det.detect(third, rules())))
+
+
+def _file_baseline(spark, sf_dir):
+    """What is known of the files, in the same way."""
+    texts = corpus.files(spark, sf_dir).filter("first_id % 3 = 0").selectExpr("path", "cast(content AS string) AS text")
+    return corpus.stored(spark, "file-baseline", sf_dir, lambda: reportable(det.detect_texts(texts, rules())))
 
 
 def baseline_roundtrip(spark, sf_dir):
@@ -465,10 +472,7 @@ def findings_sorted(spark, sf_dir):
 
 def _file_scan(spark, sf_dir, **options):
     files = corpus.files(spark, sf_dir)
-    baseline = det.detect_texts(
-        files.filter("first_id % 3 = 0").selectExpr("path", "cast(content AS string) AS text"), rules()
-    )
-    baseline = materialized(reportable(baseline), "baseline")
+    baseline = _file_baseline(spark, sf_dir)
     limited = rules().with_options(max_file_size_mb=LIMITS["max_mb"])
     return scan.scan_files(files, limited, baseline=baseline, duration_ms=1234, skip_binary=True, **options)
 
@@ -488,7 +492,7 @@ def scan_verdict(spark, sf_dir):
 
 
 def patch_summary(spark, sf_dir):
-    row = scan.scan_patches(corpus.patches(spark, sf_dir), rules()).summary
+    row = scan.scan_patches(corpus.patches(spark, sf_dir), rules(), keep_on_disk=False).summary  # nothing but the counts is used
     inline = F.try_element_at("suppressed", F.lit("inline-ignore")).alias("inline_ignore")
     return row.select("files_scanned", "finding_count", "active_files", inline, "verdict")
 
