@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keysieve.functions.joins import SALTS, salted_lookup
+from keysieve.functions.joins import SALTS, hot_keys, salted_lookup
 from keysieve.functions.regex import portable
 from keysieve.functions.text import content_key
 
@@ -54,13 +54,16 @@ def baseline_keys(baseline: DataFrame) -> DataFrame:
     return keys.select(*repo, content_key(F.col("fingerprint")).alias("content_key")).distinct()
 
 
-def mark_known(findings: DataFrame, baseline: DataFrame, *, salts: int = SALTS, any_repo: bool = False) -> DataFrame:
+def mark_known(
+    findings: DataFrame, baseline: DataFrame, *, salts: int = SALTS, any_repo: bool = False, measured: bool = False
+) -> DataFrame:
     """Adds ``known``: whether the baseline holds the finding's content key.
 
     Findings of several repositories need a baseline that names them: without, the
     known secret of one would hide the same secret in all others. ``any_repo`` asks
     for just that. One leaked key may own a large share of all findings, hence the
-    salted join.
+    salted join. ``measured`` looks for such keys first, in a pass over the findings,
+    which should be a table; only they are spread, and the baseline is shuffled once.
     """
     keyed = findings.withColumn("content_key", content_key(F.col("fingerprint")))
     on = ["content_key"]
@@ -70,7 +73,8 @@ def mark_known(findings: DataFrame, baseline: DataFrame, *, salts: int = SALTS,
         on = [REPO, "content_key"]
     keys = baseline_keys(baseline.drop(*({REPO} - set(on)))).withColumn("known", F.lit(True))
     place = ["file", "line", "column", "commit_sha"]
-    marked = salted_lookup(keyed, keys, on, place, salts)
+    hot = hot_keys(keyed, on) if measured else None
+    marked = salted_lookup(keyed, keys, on, place, salts, hot)
     return marked.withColumn("known", F.coalesce("known", F.lit(False))).select(*findings.columns, "known")
 
 

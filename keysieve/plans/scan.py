@@ -83,7 +83,8 @@ def finish(
     """
     findings = hash_raw(findings)
     if baseline is not None:
-        findings = apply_baseline(findings, baseline)
+        findings = materialized(findings, "detected") if keep_on_disk else findings
+        findings = apply_baseline(findings, baseline, measured=keep_on_disk)
     if status is not None:
         findings = label(findings, status, show_suppressed=show_suppressed)
     if keep_on_disk:

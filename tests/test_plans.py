@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from keysieve.catalog import corpus
 from keysieve.functions.globs import path_matcher
-from keysieve.functions.joins import salted_lookup
+from keysieve.functions.joins import hot_keys, key_hash, salted_lookup
 from keysieve.operators import detect as D
 from keysieve.operators import suppress as S
 from keysieve.operators.dedup import keep_earliest
@@ -123,6 +123,30 @@ def test_a_hot_key_is_spread(spark):
     assert sum(s[1] for s in sizes) == 4000 and max(s[1] for s in sizes) < 4000
 
 
+def test_only_hot_keys_are_spread(spark):
+    """Measured keys: the same rows as a plain join, the lookup repeated for hot keys alone."""
+    frame = spark.range(20_000).selectExpr("if(id % 3 = 0, 'hot', if(id % 50 = 1, 'warm', concat('k', id % 700))) AS key", "id AS n")
+    frame = frame.unionByName(spark.sql("SELECT CAST(NULL AS string) AS key, 5L AS n"))
+    lookup = spark.range(700).selectExpr("concat('k', id) AS key", "id AS v").unionByName(spark.sql("SELECT 'hot' AS key, -1L AS v"))
+    hot = hot_keys(frame, ["key"])
+    named = {r["h"]: r["key"] for r in frame.select("key", key_hash(["key"]).alias("h")).distinct().collect()}
+    assert sorted(named[h] for h in hot) == ["hot", "warm"]
+    settings = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")
+    for name, value in zip(settings, ("-1", "false")):
+        spark.conf.set(name, value)
+    try:
+        joined = salted_lookup(frame, lookup, ["key"], ["n"], hot=hot)
+        assert sorted(map(repr, joined.collect())) == sorted(map(repr, frame.join(lookup, "key", "left").select("key", "n", "v").collect()))
+        sizes = joined.filter("key = 'hot'").groupBy(F.spark_partition_id()).count().collect()
+        text = plan(joined)
+    finally:
+        for name in settings:
+            spark.conf.unset(name)
+    assert len(sizes) > 1 and text.count("Exchange (") <= 3
+    assert hot_keys(frame.limit(0), ["key"]) == [] and hot_keys(frame.filter("key LIKE 'k%'"), ["key"]) == []
+    assert salted_lookup(frame, lookup, ["key"], ["n"], hot=[]).count() == 20_001
+
+
 def test_a_scan_detects_once(spark, sf_dir):
     from keysieve.catalog import queries
 
