@@ -152,8 +152,10 @@ def write_merged(parts: DataFrame, path: str, checkpoint: str, *, every: int = C
         if (batch + 1) % every:
             return
         whole, upto, batches = _parts(spark, path)
+        if upto and upto[-1] >= batch:  # a repeated batch: its parts are merged already
+            return
         merged(whole).write.mode("overwrite").parquet(f"{path}/merged/{UPTO}={batch}")
-        if upto and upto[-1] < batch:
+        if upto:
             Folder(spark, f"{path}/changes", BATCH).drop([b for b in batches if b <= upto[-1]])
             Folder(spark, f"{path}/merged", UPTO).drop(upto[:-1])
 

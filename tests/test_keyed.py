@@ -1,5 +1,6 @@
 """State that expires, merged tables, and a baseline that grows while the stream runs."""
 
+import os
 import random
 import time
 
@@ -99,6 +100,18 @@ def test_an_unfinished_merge_does_not_count(spark, run, tmp_path):
     run([row(1, 3, 3, "2022-01-01")])
 
 
+def test_a_repeated_batch_changes_nothing(spark, run, tmp_path):
+    """A failure after a merge, before the batch counts as done: it is run again."""
+    run([row(1, 1, 1, "2024-01-01", " // scan:ignore")], every=1)
+    run([row(1, 2, 2, "2023-01-01", " // scan:ignore"), row(2, 3, 3, "2023-01-01")], every=1)
+    commits = tmp_path / "progress" / "commits"
+    last = max(int(f) for f in os.listdir(commits) if f.isdigit())
+    for name in (str(last), f".{last}.crc"):
+        if (commits / name).exists():
+            os.remove(commits / name)
+    run([row(1, 4, 4, "2022-01-01")], every=1)
+
+
 def test_repositories(spark, rules, tmp_path):
     source, out = str(tmp_path / "in"), str(tmp_path / "out")
     frame = spark.createDataFrame([row(1, 1, 4, "2024-01-01"), row(1, 2, 5, "2024-01-02")], SCHEMA).selectExpr("*", "concat('r', seq) AS repo")
