@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from keysieve.functions.joins import salted_lookup
 from keysieve.llm.common import broadcast_if_small, per_batch, valid_text, written
 
 BATCH_ROWS = 512
@@ -391,7 +392,7 @@ def scan(files: DataFrame, least: float = LEAST_SIMILARITY, file_share: float =
     """
     own = own_notices(files.select("key", "path", "text"), least)
     own = own.withColumn("dir", F.regexp_extract("path", r"^(.*)/[^/]*$", 1))
-    inherited = own.join(nearest(own, file_share), "dir", "left")
+    inherited = salted_lookup(own, nearest(own, file_share), ["dir"], ["key", "path"])  # a directory may hold most files
     missing = F.col("license").isNull()
     return inherited.select(
         "key",
