@@ -12,7 +12,6 @@ from __future__ import annotations
 
 import unicodedata
 from dataclasses import dataclass, field
-from functools import lru_cache
 
 MAX_CODE = 0x10FFFF
 MAX_REPEAT = 1000
@@ -59,6 +58,30 @@ for _name, _texts in ASSERTIONS.items():
     _texts["line end"] = "(?m:$)" if _name == RE2 else f"(?=\\n|{_texts['end']})"
 
 
+class remembered:
+    """A function that remembers its latest results.
+
+    Unlike what ``functools`` offers, it travels to tasks by value, as the functions
+    of this package do, and leaves behind what it remembers.
+    """
+
+    MOST = 4096
+
+    def __init__(self, work):
+        self.work, self.known = work, {}
+        self.__doc__ = work.__doc__
+
+    def __call__(self, *given):
+        if given not in self.known:
+            if len(self.known) >= self.MOST:
+                self.known.clear()
+            self.known[given] = self.work(*given)
+        return self.known[given]
+
+    def __reduce__(self):
+        return remembered, (self.work,)
+
+
 class PatternError(ValueError):
     """The pattern is not valid RE2 syntax (or uses a construct RE2 lacks)."""
 
@@ -280,7 +303,7 @@ def _complement(ranges) -> tuple:
     return tuple(out)
 
 
-@lru_cache(maxsize=1)
+@remembered
 def _orbits() -> dict[int, frozenset[int]]:
     """For each cased character, all characters that differ from it in case alone.
 
@@ -313,7 +336,7 @@ def _fold(ranges) -> tuple:
     return _merge(found)
 
 
-@lru_cache(maxsize=None)
+@remembered
 def _category(name: str) -> tuple:
     ranges, start = [], None
     for code in range(MAX_CODE + 2):
@@ -622,7 +645,7 @@ class _Reader:
         return self.char_escape() if char == "\\" else ord(char)
 
 
-@lru_cache(maxsize=4096)
+@remembered
 def parse(source: str, dialect: str = JAVA) -> Pattern:
     """Read an RE2 pattern; raises :class:`PatternError` if RE2 would reject it."""
     return _Reader(source, dialect).read()
