@@ -114,6 +114,14 @@ def store_of(address: str) -> tuple[Mounted | Addressed, str]:
     return Addressed(system), path.rstrip("/")
 
 
+class Stores(dict):
+    """Stores by the address of a root, each opened once per task."""
+
+    def __missing__(self, address: str) -> Mounted | Addressed:
+        self[address], _ = store_of(address)
+        return self[address]
+
+
 def reason(problem: OSError) -> str:
     return problem.strerror or str(problem) or "unreadable"
 

@@ -21,7 +21,7 @@ from keysieve.functions.globs import PathMatcher, ignore_lines
 from keysieve.operators.files import EXCLUDED, SELECTED, SNIFF_BYTES, inspect_files, select_files
 from keysieve.sources.rulesets import MAX_FILE_SIZE_MB
 from keysieve.sources.scratch import materialized, scratch_path
-from keysieve.sources.stores import local_path, read_lines_of, reason, store_of
+from keysieve.sources.stores import Stores, local_path, read_lines_of, reason, store_of
 
 IGNORE_FILE = ".keysieveignore"
 SKIPPED_FOLDER = ".git"
@@ -64,9 +64,8 @@ def read_ignore(root: str, name: str = IGNORE_FILE) -> list[str]:
         return []
 
 
-def _entries(folder: dict) -> Iterator[dict]:
+def _entries(folder: dict, store) -> Iterator[dict]:
     """Regular files and sub-folders of one folder."""
-    store, _ = store_of(folder["root"])
     for entry in store.entries(folder["abs_path"]):
         if not (entry.folder and entry.name == SKIPPED_FOLDER):
             path = f"{folder['path']}/{entry.name}" if folder["path"] else entry.name
@@ -82,9 +81,10 @@ def _unlisted(folder: dict, problem: OSError) -> dict:
 
 
 def _list_folders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    stores = Stores()
     for batch in batches:
         for folder in batch.to_pylist():
-            found = _entries(folder)
+            found = _entries(folder, stores[folder["root"]])
             while True:
                 rows = []
                 try:
@@ -100,12 +100,13 @@ def _list_folders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def _ask_sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Adds the sizes of files whose store does not tell them when it lists a folder."""
+    stores = Stores()
     for batch in batches:
         rows = batch.to_pylist()
         for row in rows:
             if row["size"] is None and row["error"] is None and not row["folder"]:
                 try:
-                    row["size"] = store_of(row["root"])[0].size(row["abs_path"])
+                    row["size"] = stores[row["root"]].size(row["abs_path"])
                 except OSError as problem:
                     row["error"] = reason(problem)
         yield pa.RecordBatch.from_pylist(rows, ENTRY_ARROW)
@@ -156,6 +157,7 @@ def _read_files(skip_binary: bool):
     """A function that adds content and error; files to be skipped are not read whole."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stores = Stores()
         for batch in batches:
             content, errors, start, held = [], [], 0, 0
             places = batch.schema.get_field_index("error")
@@ -174,7 +176,7 @@ def _read_files(skip_binary: bool):
                 data = None
                 if status == SELECTED:
                     try:
-                        with store_of(root)[0].open(path) as handle:
+                        with stores[root].open(path) as handle:
                             data = handle.read(SNIFF_BYTES)
                             if not skip_binary or b"\x00" not in data:
                                 data = read_lines_of(handle, first, end)
@@ -237,12 +239,13 @@ def read_selected(chosen: DataFrame, *, skip_binary: bool = False, range_bytes:
 
 
 def _count_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    stores = Stores()
     for batch in batches:
         counts = []
         rows = (batch.column(n).to_pylist() for n in ("root", "abs_path", "range_start", "range_end"))
         for root, path, start, end in zip(*rows):
             try:
-                with store_of(root)[0].open(path) as handle:
+                with stores[root].open(path) as handle:
                     counts.append(read_lines_of(handle, start, end).count(b"\n"))
             except OSError:  # the pass that reads for the findings reports it
                 counts.append(0)
@@ -253,12 +256,13 @@ def _count_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def lines_before(chosen: DataFrame, range_bytes: int) -> DataFrame:
     """``(abs_path, range_no, lines_before)`` of every range but the first of its file.
 
-    Only files of several ranges are read for it, a range by a task of its own.
+    Only files of several ranges are read for it, a large range by a task of its own.
     """
     large = ranges_of(chosen.filter((F.col("status") == SELECTED) & (F.col("size") > range_bytes)), range_bytes)
     named = large.select("root", "abs_path", "range_no", "range_start", "range_end").filter(F.col("range_end").isNotNull())
     ranges = named.count()
-    counted = named.repartition(max(1, ranges), "abs_path", "range_no").mapInArrow(_count_lines, "abs_path string, range_no long, lines long")
+    tasks = min(max(1, ranges), max(chosen.sparkSession.sparkContext.defaultParallelism, -(-ranges * range_bytes // TASK_BYTES)))
+    counted = named.repartition(tasks).mapInArrow(_count_lines, "abs_path string, range_no long, lines long")
     before = F.sum("lines").over(Window.partitionBy("abs_path").orderBy("range_no"))
     sums = materialized(counted.select("abs_path", (F.col("range_no") + 1).alias("range_no"), before.alias("lines_before")), "lines-before")
     return sums
