@@ -118,6 +118,18 @@ def test_one_commit_is_read_by_many_tasks(spark, rules, tmp_path, block_bytes):
     assert read_pieces(spark, str(tmp_path), "\n").select("_block").distinct().count() > 15
 
 
+def test_lines_are_brought_into_order_once(spark, tmp_path):
+    """One shuffle and one sort for all that is carried along; texts without a role stay behind."""
+    from keysieve.sources.exports import _in_order
+
+    (tmp_path / "r.log").write_text("x\n")
+    ordered = _in_order(read_pieces(spark, str(tmp_path), "\n"), lambda line: line.contains("AKIA"))
+    text = ordered._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Exchange hashpartitioning") == 1 and text.count("Sort [") == 1
+    shuffled = text[text.index("Exchange hashpartitioning") :]
+    assert "CASE WHEN" in shuffled and "AKIA" in shuffled
+
+
 def test_nothing_to_read(spark, tmp_path):
     (tmp_path / "empty.log").write_text("")
     export = read_export(spark, str(tmp_path))
