@@ -92,3 +92,13 @@ def test_running_starts(spark):
     got = column(spark, values, running_starts("v"), kind="array<bigint>")
     for value, (starts,) in zip(values, got):
         assert starts == [sum(value[:i]) for i in range(len(value))]
+
+
+def test_entropy_evaluates_its_text_once(spark):
+    """What is given is an expression; inside the loop over characters it would be evaluated for each of them."""
+    given = spark.range(1).select(F.concat(F.col("id").cast("string"), F.lit("aab")).alias("v"))
+    scored = given.select(T.shannon_entropy(F.upper("v"), F.octet_length(F.reverse("v"))).alias("e"))
+    plan = scored._jdf.queryExecution().optimizedPlan().toString()
+    loop = plan.split("lambdafunction", 1)[1]
+    assert "upper" not in loop and "reverse" not in loop and "octet_length" not in loop
+    assert scored.first()["e"] == 1.5
