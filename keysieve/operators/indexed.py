@@ -3,10 +3,12 @@
 In :mod:`keysieve.operators.detect` rules are constants of the plan, which is
 fastest for the dozens of rules of a scan and impossible for tens of thousands.
 Here a rule is a row. Each keyword is filed under its rarest run of three
-characters; a line looks up its own runs in that index, an equi-join that is
-broadcast while the index measures small, and a candidate is confirmed by
-searching for the keyword itself. Only then does a line meet the rest of its rule:
-pattern, entropy threshold and allowlists are columns.
+characters, and each run lists at which places of keywords of which lengths it
+stands: a small table, as many rules share a run and its places. A line looks up
+its own runs there, cuts out what could be a keyword, and looks that up as a
+whole, an equi-join; so a line meets the rules whose keyword it holds, however many
+others share a run. Only then does a line meet the rest of its rule: pattern, entropy
+threshold and allowlists are columns.
 
 The size of the plan does not depend on the number of rules. Patterns are
 translated in tasks, once per index.
@@ -31,17 +33,18 @@ from keysieve.operators.detect import _hits, _marked, _marking, allowlisted, any
 from keysieve.operators.suppress import DIRECTIVE, REPO, first_directive
 from keysieve.sources.rulesets import Allowlist, Rule, RuleError
 from keysieve.sources.scratch import materialized
+from keysieve.sources.tables import spread
 
 RUN = 3
 COMPILED = (
     "rule_ord int, rule_id string, rule_entropy double, rule_heuristic boolean, rule_values string, rule_paths string,"
-    " _scope string, _keywords array<string>, _runs array<string>, _pattern string, _replacement string, _capture string, _problem string"
+    " _scope string, _keywords array<string>, _runs array<string>, _places array<string>, _pattern string, _replacement string, _capture string, _problem string"
 )
 COMPILED_ARROW = pa.schema(
     [
         ("rule_ord", pa.int32()), ("rule_id", pa.string()), ("rule_entropy", pa.float64()), ("rule_heuristic", pa.bool_()),
         ("rule_values", pa.string()), ("rule_paths", pa.string()), ("_scope", pa.string()), ("_keywords", pa.list_(pa.string())),
-        ("_runs", pa.list_(pa.string())), ("_pattern", pa.string()), ("_replacement", pa.string()), ("_capture", pa.string()),
+        ("_runs", pa.list_(pa.string())), ("_places", pa.list_(pa.string())), ("_pattern", pa.string()), ("_replacement", pa.string()), ("_capture", pa.string()),
         ("_problem", pa.string()),
     ]
 )
@@ -53,6 +56,12 @@ def rarest_run(keyword: str, size: int = RUN) -> str:
     return min(runs, key=lambda run: (sum(BY_RARITY.find(c) for c in run), run))
 
 
+def place_of(run: str, keyword: str) -> str:
+    """A pattern that cuts out every text as long as the keyword with the run at the same place."""
+    at = keyword.index(run)
+    return f"(?s)(?=(.{{{at}}}\\Q{run}\\E.{{{len(keyword) - at - len(run)}}}))"
+
+
 def _compiled(row: dict) -> dict:
     """A rule as columns; what cannot be used names its problem instead."""
     words = minimal(row["keywords"] or ())
@@ -60,6 +69,7 @@ def _compiled(row: dict) -> dict:
     out = {
         "rule_ord": row["ordinal"], "rule_id": row["id"], "rule_entropy": row["entropy"] or None,
         "rule_heuristic": True if row["is_heuristic"] else None, "_scope": row.get(REPO) or "", "_keywords": words, "_runs": [rarest_run(w) for w in words],
+        "_places": [place_of(rarest_run(w), w) for w in words],
     }
     rule = Rule(id=row["id"], regex=row["regex"], keywords=tuple(words), secret_group=row["secret_group"] or 0)
     try:
@@ -107,9 +117,13 @@ def _cut_by_capture(patterns: pd.Series, subjects: pd.Series) -> pd.Series:
 
 @dataclass(frozen=True)
 class RuleIndex:
-    """``rules`` has a row per rule, ``runs`` a row per keyword: ``run, scope, keyword, earlier, rule_ord``."""
+    """``rules`` has a row per rule, ``words`` a row per keyword: ``run, scope, keyword, earlier, rule_ord``.
+
+    ``runs`` has a row per run, with the ``places`` it has in keywords.
+    """
 
     rules: DataFrame
+    words: DataFrame
     runs: DataFrame
     letters: str
     sizes: tuple[int, ...]
@@ -129,21 +143,23 @@ def build_index(table: DataFrame) -> RuleIndex:
     keyword are never tried. The driver gets the distinct letters of all keywords,
     to fold their cases, and the lengths of runs.
     """
-    rules = materialized(table.filter("regex <> ''").mapInArrow(_compile, COMPILED), "rules")
+    rules = materialized(spread(table.filter("regex <> ''")).mapInArrow(_compile, COMPILED), "rules")
     problem = rules.filter("_problem IS NOT NULL").orderBy("rule_ord").select("_problem").first()
     if problem:
         raise RuleError(problem["_problem"])
-    each = rules.select("rule_ord", "_scope", "_keywords", F.posexplode(F.arrays_zip("_keywords", "_runs")).alias("_at", "_word"))
-    runs = each.select(
+    each = rules.select("rule_ord", "_scope", "_keywords", F.posexplode(F.arrays_zip("_keywords", "_runs", "_places")).alias("_at", "_word"))
+    words = each.select(
         F.col("_word._runs").alias("run"), F.col("_scope").alias("scope"), F.col("_word._keywords").alias("keyword"),
         F.slice("_keywords", F.lit(1), F.col("_at")).alias("earlier"), "rule_ord",
     )
-    runs = materialized(runs, "rule-runs")
-    letters = runs.select(F.explode(F.array_distinct(F.split("keyword", ""))).alias("c")).distinct()
+    words = materialized(words, "rule-words")
+    places = each.groupBy(F.col("_word._runs").alias("run")).agg(F.collect_set("_word._places").alias("places"))
+    runs = materialized(places, "rule-runs")
+    letters = words.select(F.explode(F.array_distinct(F.split("keyword", ""))).alias("c")).distinct()
     found = sorted(r["c"] for r in letters.collect() if r["c"].isalpha())
     sizes = sorted(r["n"] for r in runs.select(F.char_length("run").alias("n")).distinct().collect())
     nested = not rules.filter("_capture IS NOT NULL").limit(1).isEmpty()
-    return RuleIndex(rules.drop("_problem", "_scope", "_keywords", "_runs"), runs, "".join(found), tuple(sizes), nested, REPO in table.columns)
+    return RuleIndex(rules.drop("_problem", "_scope", "_keywords", "_runs", "_places"), words, runs, "".join(found), tuple(sizes), nested, REPO in table.columns)
 
 
 def indexed_candidates(lines: DataFrame, index: RuleIndex, directive: str | None = None) -> DataFrame:
@@ -154,9 +170,12 @@ def indexed_candidates(lines: DataFrame, index: RuleIndex, directive: str | None
     broken = F.raise_error(F.lit("a line holds a newline; cut texts with lines_of")).cast("string")
     whole = F.when(F.contains("line", F.lit("\n")), broken).otherwise(F.col("line"))
     each = lines.withColumn("line", whole).withColumn("_low", low).select("*", F.explode(every).alias("run"))
+    found = F.transform("places", lambda place: F.regexp_extract_all("_low", place, F.lit(1)))
+    each = each.join(index.runs, "run").withColumn("keyword", F.explode(F.array_distinct(F.flatten(found)))).drop("places")
     own = F.array(F.lit(""), F.coalesce(F.col(REPO), F.lit(""))) if index.scoped else F.array(F.lit(""))
     each = each.withColumn("scope", F.explode(F.array_distinct(own)))
-    tried = each.join(index.runs, ["run", "scope"]).filter(
+    # a keyword is filed under one run, so a line meets it once
+    tried = each.join(index.words, ["run", "keyword", "scope"]).filter(
         F.contains("_low", F.col("keyword")) & ~F.exists("earlier", lambda word: F.contains(F.col("_low"), word))
     )
     tried = tried.drop("run", "scope", "keyword", "earlier", "_low")

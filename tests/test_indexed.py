@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from keysieve.catalog import corpus
 from keysieve.operators.detect import FINDING_COLUMNS, detect
-from keysieve.operators.indexed import build_index, detect_indexed, detect_texts_indexed, rarest_run
+from keysieve.operators.indexed import build_index, detect_indexed, detect_texts_indexed, indexed_candidates, rarest_run
 from keysieve.sources.rulesets import RULE_SCHEMA, Rule, RuleError, RuleSet, rules_from_text, rules_table, validate
 
 
@@ -115,5 +115,25 @@ def test_a_bad_pattern_is_named(spark):
         build_index(table)
 
 
+def test_rules_that_share_a_run_do_not_meet_its_lines(spark):
+    """Thousands of keywords with one rarest run; a line is joined with those it holds, not with all that share the run."""
+    table = spark.range(4000).selectExpr(
+        "cast(id AS int) AS ordinal", "concat('r', id) AS id", "'' AS description", "concat('acct#zzq', id, '~[0-9]') AS regex",
+        "cast(0 AS double) AS entropy", "array(concat('acct#zzq', id, '~')) AS keywords", "0 AS secret_group", "false AS is_heuristic",
+        "cast(array() AS array<struct<description: string, regexes: array<string>, paths: array<string>>>) AS allowlists",
+    )
+    index = build_index(table)
+    assert index.runs.count() < 10
+    rows = [("p", n, f"\U0001f511 é Acct#zzq{n}~7 acct#zzq{n}~8 Acct#zzq{n + 5000}~1") for n in range(300)]
+    frame = spark.createDataFrame(rows, "path string, line_no int, line string")
+    found = indexed_candidates(frame.repartition(2), index)
+    assert found.count() == 300
+    low = F.lower("line")
+    held = F.flatten(F.transform("places", lambda place: F.regexp_extract_all(low, place, F.lit(1))))
+    looked_up = frame.crossJoin(index.runs).select(F.explode(F.array_distinct(held)).alias("keyword"))
+    assert looked_up.count() < 300 * 40
+    assert detect_indexed(frame, index).count() == 300
+
+
 def test_runs():
     assert rarest_run("ab") == "ab" and rarest_run("token_x9") in {"n_x", "_x9"} and rarest_run("aaa") == "aaa"
