@@ -15,6 +15,7 @@ from keysieve.operators.files import select_files
 from keysieve.operators.verify import label
 from keysieve.plans.report import report_json, summary
 from keysieve.sources.patches import added_lines
+from keysieve.sources.scratch import materialized
 from keysieve.sources.rulesets import Rule, RuleSet
 
 FORBIDDEN = ("BroadcastNestedLoopJoin", "CartesianProduct")
@@ -123,6 +124,16 @@ def test_a_hot_key_is_spread(spark):
     assert sum(s[1] for s in sizes) == 4000 and max(s[1] for s in sizes) < 4000
 
 
+def test_a_repeated_lookup_is_not_sent_to_the_driver(spark):
+    """Its file is far below the broadcast limit, what is made of it is not."""
+    lookup = materialized(spark.range(130_000).selectExpr("concat('k', id) AS key", "'active' AS status"), "lookup")
+    frame = materialized(spark.range(1000).selectExpr("concat('k', id) AS key", "id AS n"), "frame")
+    joined = salted_lookup(frame, lookup, ["key"], ["n"])
+    assert "BroadcastHashJoin" not in joined._jdf.queryExecution().sparkPlan().toString()
+    assert joined.filter("status = 'active'").count() == 1000
+    assert "BroadcastHashJoin" in salted_lookup(frame, lookup, ["key"], ["n"], hot=[])._jdf.queryExecution().sparkPlan().toString()
+
+
 def test_only_hot_keys_are_spread(spark):
     """Measured keys: the same rows as a plain join, the lookup repeated for hot keys alone."""
     frame = spark.range(20_000).selectExpr("if(id % 3 = 0, 'hot', if(id % 50 = 1, 'warm', concat('k', id % 700))) AS key", "id AS n")
