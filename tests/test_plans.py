@@ -13,7 +13,7 @@ from keysieve.operators import suppress as S
 from keysieve.operators.dedup import keep_earliest
 from keysieve.operators.files import select_files
 from keysieve.operators.verify import label
-from keysieve.plans.report import report_json, summary
+from keysieve.plans.report import SORT_COLUMNS, numbered, report_json, summary
 from keysieve.sources.patches import added_lines
 from keysieve.sources.scratch import materialized
 from keysieve.sources.rulesets import Rule, RuleSet
@@ -175,3 +175,18 @@ def test_report_never_gathers_findings(spark, rules):
 
 def test_corpus_files_are_small(spark, sf_dir):
     assert corpus.leaks(spark, sf_dir).groupBy("path").count().agg(F.max("count")).first()[0] <= 10
+
+
+def test_numbering_runs_its_input_once(spark):
+    """A sort reads its input twice; what is sorted is written first."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counting(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    columns = ", ".join(f"{c} string" for c in SORT_COLUMNS)
+    rows = spark.range(1000).selectExpr(*(f"cast(id * 7919 % 1000 AS string) AS {c}" for c in SORT_COLUMNS))
+    numbers = numbered(rows.repartition(4).mapInArrow(counting, columns))
+    assert numbers.agg(F.max("row_no")).first()[0] == 1000 and seen.value == 1000
