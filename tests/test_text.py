@@ -102,3 +102,12 @@ def test_entropy_evaluates_its_text_once(spark):
     loop = plan.split("lambdafunction", 1)[1]
     assert "upper" not in loop and "reverse" not in loop and "octet_length" not in loop
     assert scored.first()["e"] == 1.5
+
+
+def test_entropy_counts_no_characters_per_character(spark):
+    """The length in characters is a pass over the text; inside the loop it would be one for each character."""
+    scored = spark.range(1).select(T.shannon_entropy(F.concat(F.col("id").cast("string"), F.lit("éé€"))).alias("e"))
+    loop = scored._jdf.queryExecution().optimizedPlan().toString().split("lambdafunction", 1)[1]
+    assert "bit_length(" in loop and " length(" not in loop and "-length(" not in loop and "(length(" not in loop
+    counts = [1, 1, 2]  # of 8 bytes
+    assert scored.first()["e"] == -sum(n / 8 * math.log2(n / 8) for n in counts)
