@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keysieve.functions.text import as_characters, from_characters
-from keysieve.sources.patches import HUNK, REPO, iso_date, named_paths, repo_of
+from keysieve.sources.patches import HUNK, REPO, iso_date, repo_of, with_paths
 from keysieve.sources.pieces import BLOCK, FILE, ROW, handed_on, last_before, read_pieces, so_far, sum_before, within
 from keysieve.sources.scratch import materialized
 
@@ -176,9 +176,8 @@ def read_export(spark: SparkSession, location: str, worth: Callable[[Column], Co
         "_added", "_line",
     )
     placed = placed.withColumns({"_latin": ~F.is_valid_utf8("_preamble"), "_preamble": as_characters(F.col("_preamble"))})
-    old_path, new_path = named_paths(F.col("_preamble"), F.col("_latin"))
     date = F.coalesce(iso_date(F.col("_date")), "_date")
-    placed = placed.withColumns({"old_path": old_path, "new_path": new_path, "commit_date": date})
+    placed = with_paths(placed).withColumn("commit_date", date)
     length = F.nullif(F.regexp_extract("_hunk", HUNK, 2), F.lit("")).cast("long")
     inside = F.col("_added") & F.col("_in_hunk") & (F.col("_nth") <= F.coalesce(length, F.lit(1)))
     text = F.aes_decrypt("_line", key)

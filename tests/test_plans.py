@@ -14,7 +14,7 @@ from keysieve.operators.dedup import keep_earliest
 from keysieve.operators.files import select_files
 from keysieve.operators.verify import label
 from keysieve.plans.report import SORT_COLUMNS, numbered, report_json, summary
-from keysieve.sources.patches import added_lines
+from keysieve.sources.patches import added_lines, split_commits
 from keysieve.sources.scratch import materialized
 from keysieve.sources.rulesets import Rule, RuleSet
 
@@ -190,3 +190,10 @@ def test_numbering_runs_its_input_once(spark):
     rows = spark.range(1000).selectExpr(*(f"cast(id * 7919 % 1000 AS string) AS {c}" for c in SORT_COLUMNS))
     numbers = numbered(rows.repartition(4).mapInArrow(counting, columns))
     assert numbers.agg(F.max("row_no")).first()[0] == 1000 and seen.value == 1000
+
+
+def test_paths_are_looked_for_once_per_file(spark):
+    """A column that the next step uses several times is a step of its own, not repeated in each use."""
+    commits = spark.createDataFrame([(1, "commit x\ndiff --git a/p b/p\n--- a/p\n+++ b/p\n@@ -0,0 +1 @@\n+x")], "seq int, text string")
+    text = added_lines(split_commits(commits))._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("^\\+\\+\\+ (.+)$") == 1 and text.count("commit ([0-9a-f]") == 1
