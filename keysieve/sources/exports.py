@@ -25,9 +25,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from keysieve.functions.joins import salted_lookup
 from keysieve.functions.text import as_characters, from_characters
 from keysieve.sources.patches import HUNK, REPO, iso_date, repo_of, with_paths
-from keysieve.sources.pieces import BLOCK, FILE, ROW, handed_on, last_before, read_pieces, so_far, sum_before, within
+from keysieve.sources.pieces import BLOCK, FILE, ROW, last_before, read_pieces, so_far, sum_before, within
 from keysieve.sources.scratch import materialized
 
 # How lines of an export begin.
@@ -148,7 +149,8 @@ def read_export(spark: SparkSession, location: str, worth: Callable[[Column], Co
     line = F.when(F.col("_added"), F.aes_encrypt(F.col("text").cast("binary"), key))
     ordered = materialized(ordered.withColumn("_line", line).drop("text"), "export-lines")
     handed = _handed(ordered.filter("_closes"))
-    rows = handed_on(ordered, handed)
+    # no order is needed from here on: blocks are few, and a task with two of them would keep the others waiting
+    rows = salted_lookup(ordered, handed, [FILE, BLOCK], [ROW])
     for state in LASTING:
         own = F.col(state)
         if state == "hunk":

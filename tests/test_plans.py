@@ -14,6 +14,7 @@ from keysieve.operators.dedup import keep_earliest
 from keysieve.operators.files import select_files
 from keysieve.operators.verify import label
 from keysieve.plans.report import SORT_COLUMNS, numbered, report_json, summary
+from keysieve.sources.exports import read_export
 from keysieve.sources.patches import added_lines, split_commits
 from keysieve.sources.scratch import materialized
 from keysieve.sources.rulesets import Rule, RuleSet
@@ -197,3 +198,10 @@ def test_paths_are_looked_for_once_per_file(spark):
     commits = spark.createDataFrame([(1, "commit x\ndiff --git a/p b/p\n--- a/p\n+++ b/p\n@@ -0,0 +1 @@\n+x")], "seq int, text string")
     text = added_lines(split_commits(commits))._jdf.queryExecution().optimizedPlan().toString()
     assert text.count("^\\+\\+\\+ (.+)$") == 1 and text.count("commit ([0-9a-f]") == 1
+
+
+def test_lines_of_a_block_are_spread_for_detection(spark, tmp_path):
+    (tmp_path / "r.txt").write_text("diff --git a/p b/p\n--- a/p\n+++ b/p\n@@ -0,0 +1,2 @@\n+x\n+y\n")
+    added = read_export(spark, str(tmp_path)).added
+    assert "hashpartitioning(_file" in plan(added) and "_salt" in plan(added)
+    assert sorted((r.path, r.line_no, r.line) for r in added.collect()) == [("p", 1, "x"), ("p", 2, "y")]
